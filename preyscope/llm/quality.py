@@ -33,9 +33,9 @@ class Rule:
 RULES = (
     Rule("too_short", ("n_words",), lambda m: m["n_words"] < 50),
     Rule("repeated_words", ("n_words", "n_repeat_words"), lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
-    Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m["n_symbols"] > 4 * m["n_words"]),
+    Rule("symbols", ("n_words", "n_symbols"), lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
     Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
 )
 #: The rules that decide base_failed.
 BASE = ("too_short", "repeated_words")
