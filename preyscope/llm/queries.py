@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sentencepiece_codec
+from . import licenses, mixing, pii, quality, sentencepiece_codec
 from .common import documents
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     order = [rule for rule, _, _ in quality.rank_rules(docs)]
@@ -33,5 +41,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op8_sentencepiece, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_pii, op4_quality, op8_sentencepiece, op9_mixing)}
 ORACLE: dict[str, str] = {}
