@@ -68,16 +68,18 @@ class Shape:
 
 @dataclass
 class Segments:
-    """Segments of a batch: document index, first window start, number of windows, gram and token hashes."""
+    """Segments of a batch: document index, first window start, number of windows, gram and token hashes, tokens before
+    the gram."""
 
     doc: np.ndarray
     start: np.ndarray
     count: np.ndarray
     key: np.ndarray
     seg: np.ndarray
+    lead: np.ndarray
 
     def take(self, rows: np.ndarray) -> Segments:
-        return Segments(*(x[rows] for x in (self.doc, self.start, self.count, self.key, self.seg)))
+        return Segments(*(x[rows] for x in vars(self).values()))
 
 
 class Hashed:
@@ -104,7 +106,7 @@ class Hashed:
         s, n = self.shape, self.n
         none = np.empty(0, np.int64)
         if n < s.length:
-            return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+            return Segments(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
         shift = s.gram - s.half
         grams = mix(self.gram_half[: n - s.gram + 1], self.gram_half[shift : shift + n - s.gram + 1])
         low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -131,7 +133,7 @@ class Hashed:
         span = stop - begin - s.piece
         seg = mix(mix(self.block[begin], self.block[stop - s.piece]), mix(self.block[begin + span // 2], span.astype(np.uint64)))
         doc = np.searchsorted(self.bounds, begin, "right") - 1
-        return Segments(doc, begin, end - begin + 1, grams[anchor[begin]], seg)
+        return Segments(doc, begin, end - begin + 1, grams[anchor[begin]], seg, anchor[begin] - begin)
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -196,22 +198,23 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*"abcdef"[: len(columns)]])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*"abcdefgh"[: len(columns)]])
 
 
-def emit(key: np.ndarray, seg: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, seg, did, s, c): the first of equal segments with kind 0, the others' spans with kind REPEAT."""
+def emit(key: np.ndarray, seg: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """ROWS: the first of equal segments with kind 0, the others' spans with kind REPEAT."""
     order, fresh = _first_rows(key, seg, row, start)
     own, late = order[fresh], order[~fresh]
     zero = np.zeros(len(own), np.int8)
-    yield _batch(zero, key[own].view(np.int64), seg[own].view(np.int64), row[own], start[own], count[own])
+    yield _batch(zero, key[own].view(np.int64), seg[own].view(np.int64), row[own], start[own], count[own], lead[own])
     if len(late):
         r, s, e = merged(row[late], start[late], start[late] + count[late] - 1 + length)
         spread = mix(r.astype(np.uint64), s.astype(np.uint64)).view(np.int64)
-        yield _batch(np.full(len(r), REPEAT, np.int8), spread, spread, r, s, e - s - length + 1)
+        yield _batch(np.full(len(r), REPEAT, np.int8), spread, spread, r, s, e - s - length + 1, np.zeros(len(r), np.int64))
 
 
-ROWS = "kind byte, key long, seg long, did long, s long, c long"
+#: Segments between two steps: kind, gram, tokens, document, first window, windows, tokens before the gram.
+ROWS = "kind byte, key long, seg long, did long, s long, c long, lead long"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ def hot_grams(rows: DataFrame, tokens: Tokens, shape: Shape) -> np.ndarray:
 
 
 def repeats(rows: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
-    """numbered rows -> a written table (kind, did, s, c, key).
+    """numbered rows -> a written table (kind, did, s, c, lead, key).
 
     REPEAT: the c windows from s on all start earlier elsewhere. CONTESTED: some of them may, among the segments of
     that key; CROWDED: likewise, where a key has more than MOST_VERSIONS segments.
@@ -280,10 +283,10 @@ def repeats(rows: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
                         few = s.take(crowd)
                         each = np.repeat(few.start, few.count) + _ramp(few.count)
                         code = h.window(each)
-                        one = Segments(np.repeat(few.doc, few.count), each, np.ones(len(each), np.int64), code, mix(code, code))
+                        one = Segments(np.repeat(few.doc, few.count), each, np.ones(len(each), np.int64), code, mix(code, code), np.zeros(len(each), np.int64))
                         rest = s.take(~crowd)
                         s = Segments(*(np.concatenate([a, b]) for a, b in zip(vars(rest).values(), vars(one).values(), strict=True)))
-                    yield from emit(s.key, s.seg, who[s.doc], base[s.doc] + s.start - h.bounds[s.doc], s.count, shape.length)
+                    yield from emit(s.key, s.seg, who[s.doc], base[s.doc] + s.start - h.bounds[s.doc], s.count, s.lead, shape.length)
 
     out = rows.select("did", "base", "text").mapInArrow(cut_up, ROWS)
     return written(first_wins(out, shape.length))
@@ -307,31 +310,31 @@ def _slices(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[lis
 
 
 def first_wins(found: DataFrame, length: int) -> DataFrame:
-    """ROWS -> (kind, did, s, c, key): of equal segments of a key all but the first become REPEAT rows.
+    """ROWS -> (kind, did, s, c, lead, key): of equal segments of a key all but the first become REPEAT rows.
 
     Keys with several different segments give these as CONTESTED or CROWDED. Rows of a key meet in one task, sorted;
     versions of a key are held back up to MOST_VERSIONS.
     """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # (did, s, c) of the versions of the last key
+        held: list[np.ndarray] = []  # (did, s, c, lead) of the versions of the last key
         state: dict[str, int] = {"key": 0, "seg": 0, "open": 0, "crowded": 0}
 
         def flush() -> Iterator[pa.RecordBatch]:
             if sum(map(len, held)) > 1 and not state["crowded"]:
                 v = np.concatenate(held)
-                yield _batch(np.full(len(v), CONTESTED, np.int8), v[:, 0], v[:, 1], v[:, 2], np.full(len(v), state["key"], np.int64))
+                yield _batch(np.full(len(v), CONTESTED, np.int8), *v.T, np.full(len(v), state["key"], np.int64))
             held.clear()
             state["crowded"] = 0
 
         for batch in batches:
-            kind, key, seg, did, s, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            kind, key, seg, did, s, c, lead = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
             if not len(kind):
                 continue
             done = kind == REPEAT
             if done.any():
-                yield _batch(kind[done], did[done], s[done], c[done], key[done])
-                key, seg, did, s, c = (x[~done] for x in (key, seg, did, s, c))
+                yield _batch(kind[done], did[done], s[done], c[done], lead[done], key[done])
+                key, seg, did, s, c, lead = (x[~done] for x in (key, seg, did, s, c, lead))
                 if not len(key):
                     continue
             fresh = np.ones(len(key), bool)
@@ -340,8 +343,8 @@ def first_wins(found: DataFrame, length: int) -> DataFrame:
             if not fresh.all():
                 late = ~fresh
                 r, a, e = merged(did[late], s[late], s[late] + c[late] - 1 + length)
-                yield _batch(np.full(len(r), REPEAT, np.int8), r, a, e - a - length + 1, np.zeros(len(r), np.int64))
-            v = np.stack([did, s, c], 1)[fresh]
+                yield _batch(np.full(len(r), REPEAT, np.int8), r, a, e - a - length + 1, *np.zeros((2, len(r)), np.int64))
+            v = np.stack([did, s, c, lead], 1)[fresh]
             keys = key[fresh]
             if len(keys):
                 bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
@@ -361,7 +364,7 @@ def first_wins(found: DataFrame, length: int) -> DataFrame:
                     if several.any():
                         w = v[inner][several]
                         kinds = np.where(many[several], CROWDED, CONTESTED).astype(np.int8)
-                        yield _batch(kinds, w[:, 0], w[:, 1], w[:, 2], keys[inner][several])
+                        yield _batch(kinds, *w.T, keys[inner][several])
                     held.append(v[bounds[-2] :])
                     state["key"] = int(keys[-1])
                     yield from crowd(held, state)
@@ -373,10 +376,41 @@ def first_wins(found: DataFrame, length: int) -> DataFrame:
             v = np.concatenate(held)
             held.clear()
             state["crowded"] = 1
-            yield _batch(np.full(len(v), CROWDED, np.int8), v[:, 0], v[:, 1], v[:, 2], np.full(len(v), state["key"], np.int64))
+            yield _batch(np.full(len(v), CROWDED, np.int8), *v.T, np.full(len(v), state["key"], np.int64))
 
     dealt = found.repartition("key").sortWithinPartitions("key", "seg", "did", "s")
-    return dealt.mapInArrow(settle, "kind byte, did long, s long, c long, key long")
+    return dealt.mapInArrow(settle, "kind byte, did long, s long, c long, lead long, key long")
+
+
+def windows_alone(rows: DataFrame, contested: DataFrame, tokens: Tokens, shape: Shape) -> DataFrame:
+    """The windows of contested segments as ROWS: each a segment of its own, keyed by its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, first, text, own in opened(batch):
+                s, c = own["s"], own["c"]
+                x = tokens(text)
+                h = Hashed(x, np.array([0, len(x)]), shape)
+                each = np.repeat(s, c) + _ramp(c)
+                code, one = h.window(each), np.ones(len(each), np.int64)
+                yield from emit(code, mix(code, code), one * did, each + first, one, 0 * one, shape.length)
+
+    joined = rows.join(by_document(contested.select("did", "s", "c")), "did")
+    return joined.select("did", "base", "text", "spans").mapInArrow(run, ROWS)
+
+
+def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, dict[str, np.ndarray]]]:
+    """(did, base, text, columns of spans with starts in the text) of rows (did, base, text, spans) that have spans."""
+    did, base, text, spans = (batch.column(k) for k in range(4))
+    for k in range(len(batch)):
+        if not spans[k].is_valid:
+            continue
+        own, first = spans[k].values, base[k].as_py()
+        found = {f.name: own.field(f.name).to_numpy() for f in own.type}
+        found["s"] = found["s"] - first
+        mine = (found["s"] >= 0) & (found["s"] < 1 << START_BITS)
+        if mine.any():
+            yield did[k].as_py(), first, text[k].as_py(), {c: x[mine] for c, x in found.items()}
 
 
 def by_document(spans: DataFrame) -> DataFrame:

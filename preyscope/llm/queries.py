@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings
+from . import langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_duplicates(documents(spark, sf_dir))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_duplicates(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,5 +59,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op8_sentencepiece, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing)}
 ORACLE: dict[str, str] = {}

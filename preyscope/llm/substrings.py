@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .anchors import CONTESTED, CROWDED, REPEAT, ROWS, Shape
+from .anchors import CONTESTED, CROWDED, REPEAT, Shape
 
 #: Words of a window, and of an anchor gram.
 WINDOW, GRAM = 20, 8
@@ -33,35 +33,11 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter((h(w, SEED) for w in words), np.uint64, len(words))
 
 
-def boundary_windows(rows: DataFrame, contested: DataFrame, shape: Shape) -> DataFrame:
-    """The windows of contested blocks as ROWS: each a segment of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            did, base, text, spans = (batch.column(k) for k in range(4))
-            for k in range(len(batch)):
-                own, first = spans[k].values, base[k].as_py()
-                s, c = own.field("s").to_numpy() - first, own.field("c").to_numpy()
-                mine = (s >= 0) & (s < 1 << anchors.START_BITS)
-                s, c = s[mine], c[mine]
-                if not len(s):
-                    continue
-                x = word_hashes(text[k].as_py())
-                h = anchors.Hashed(x, np.array([0, len(x)]), shape)
-                each = np.repeat(s, c) + anchors._ramp(c)
-                code = h.window(each)
-                one = np.ones(len(each), np.int64)
-                yield from anchors.emit(code, anchors.mix(code, code), one * did[k].as_py(), each + first, one, shape.length)
-
-    joined = rows.join(anchors.by_document(contested.select("did", "s", "c")), "did")
-    return joined.select("did", "base", "text", "spans").mapInArrow(run, ROWS)
-
-
 def duplicate_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """numbered rows -> (did, s, c): c windows from s on start earlier elsewhere."""
     shape = Shape(window, gram)
     found = anchors.repeats(rows, word_hashes, shape)
-    ends = boundary_windows(rows, found.where(F.col("kind").isin(CONTESTED, CROWDED)), shape)
+    ends = anchors.windows_alone(rows, found.where(F.col("kind").isin(CONTESTED, CROWDED)), word_hashes, shape)
     settled = anchors.first_wins(ends, window)
     both = found.where(f"kind = {REPEAT}").unionByName(settled)
     return both.select("did", "s", "c")
