@@ -1,8 +1,62 @@
-"""A corpus pipeline of the text operators; each stage is written as Parquet and reread as the next one's input."""
+"""A corpus pipeline of the text operators: identify, deduplicate, sanitise, mix, encode.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage works on all rows that its predecessor kept; its result is written as Parquet in the shared checkpoint
+folder and read again as the next one's documents. All but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from preyscope.llm import langid, mixing, pii, sentencepiece_codec, simhash
+from preyscope.llm.common import documents, written
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without an identifiable language."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and the terms that disclose it."""
+    return pii.sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, cuts and drops documents so that sources have their target sizes."""
+    return mixing.repeat(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row of the mix."""
+    import public_tokenizers
+
+    return sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("simhash_near_dedup", deduplicate),
+    ("pii", sanitise),
+    ("source_mixing", mix),
+    ("sentencepiece", encode),
+]
+
+#: Predictions of a trained model and token ids can't be expressed in SQL; see tests/llm/test_pipeline.py.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -17,7 +17,6 @@ bits above, which orders them as later documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import written
 
 #: Tokens that are hashed at once; longer texts come in pieces that overlap.
 PIECE = 1 << 20
@@ -234,13 +233,6 @@ def doc_id_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("did") != NO_ID, F.col("did")).cast(kind).alias("doc_id"), *[c for c in rows.columns if c != "did"])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, reread: compressed, and it outlives executors."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 Tokens = Callable[[str], np.ndarray]
 
 

@@ -174,3 +174,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     key = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"a {key}, b string, c double").toDF("doc_id", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
+    """docs without the rows whose language is und or predicted with a score below `least`; no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            found = (shared.value.predict(texts[k].as_py()) for k in range(len(batch)))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes
+from . import edit_embedding, langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes
 from .common import documents
 
 
@@ -59,5 +59,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.compare_with_next(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints)
+}
 ORACLE: dict[str, str] = {}

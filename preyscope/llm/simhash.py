@@ -107,6 +107,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows that repeat the smallest one stays."""
+    """One row of docs for each component, that of the smallest doc_id; rows without a doc_id can stand for none and go."""
     kept = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_d")).drop("_d").dropDuplicates(["doc_id"])
