@@ -50,7 +50,7 @@ def _goals(sizes: DataFrame, slots: int) -> DataFrame:
     whole = Window.partitionBy(F.lit(0))
     goals = targets(sizes).withColumn("block_words", F.greatest(F.lit(1), F.ceil(F.sum("size").over(whole) / slots)).cast("long"))
     goals = goals.withColumn("take", F.least(F.round("target"), F.col("size") * MOST).cast("long")).withColumn("blocks", F.expr("(size + block_words - 1) div block_words"))
-    upper = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(whole)
+    upper = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("target").over(whole), F.lit(0.0))
     goals = goals.withColumn("upper", F.round(F.coalesce(upper, F.lit(0.0)) * (1 << 32)).cast("long")).withColumn("lower", F.coalesce(F.lag("upper").over(Window.orderBy("rank")), F.lit(0)))
     return goals.withColumn("needs", F.expr("if(size = 0, 0, take div size * blocks + (take % size + block_words - 1) div block_words)"))
 
