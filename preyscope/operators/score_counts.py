@@ -45,7 +45,7 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls:
     return rows.join(seen, [*keys, "bait"]).withColumn("skip", F.col("most") == 0)
 
 
-def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None) -> DataFrame:
+def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value): densities, rounds, posterior, report."""
     keys = [*by, "prey", "bait"]
     cells = densities(inter, design, preys, n_controls, by).cache()
@@ -55,4 +55,4 @@ def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int
     scored = cells.withColumn("log_odds", odds).withColumn("score", F.when(none, 0.0).otherwise(1 / (1 + F.exp(-odds))))
     pairs = scoring.aggregate_replicates(scored, keys, n_replicates)
     fold = cells.groupBy(*keys).agg((F.avg("y") / F.first("eta")).alias("fold_change"), F.first("gene").alias("gene"))
-    return scoring.report(pairs.join(fold, keys), scored, scoring.control_values(inter, design, by), keys, 2)
+    return scoring.report(pairs.join(fold, keys), scored, scoring.control_values(inter, design, by), keys, digits)

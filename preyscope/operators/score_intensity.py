@@ -74,7 +74,7 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, by: Sequenc
     return rows.withColumn("z0", F.coalesce(F.col("y") > F.col("eta") + FIRST_LABEL, F.lit(False))).join(seen, [*keys, "bait"]).withColumn("skip", F.col("n_seen") == 0)
 
 
-def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None) -> DataFrame:
+def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value); preys(prey, gene[, imputed_mu])."""
     keys = [*by, "prey", "bait"]
     cells = densities(inter, design, preys, by).cache()
@@ -85,4 +85,4 @@ def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: i
     shown = scored.withColumn("y", F.exp("y"))
     fold = cells.groupBy(*keys).agg((F.avg(F.exp("at")) / F.exp(F.first("eta"))).alias("fold_change"), F.first("gene").alias("gene"), F.exp(F.first("t")).alias("imputed_value"))
     controls = scoring.control_values(log_standardise(inter, by), design, by).withColumn("value", F.exp("value"))
-    return scoring.report(pairs.join(fold, keys), shown, controls, keys, 3)
+    return scoring.report(pairs.join(fold, keys), shown, controls, keys, digits)

@@ -133,7 +133,10 @@ def frequent_preys(labelled: DataFrame, share: float = 0.5, by: Sequence[str] =
 
 
 def report(pairs: DataFrame, scored: DataFrame, controls: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
-    """pairs with the replicate and control values as pipe lists ("." for missing), sums, rounded scores and bfdr."""
+    """pairs with the replicate and control values as pipe lists ("." for missing), sums, rounded scores and bfdr.
+
+    Scores that agree in nine digits are ties for bfdr.
+    """
     shown = lambda c: F.coalesce(F.round(F.col(c), digits).cast("string"), F.lit("."))
     listed = scored.groupBy(*keys).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("experiment", shown("y").alias("v")))), lambda x: x["v"]), "|").alias("values"),
@@ -141,7 +144,7 @@ def report(pairs: DataFrame, scored: DataFrame, controls: DataFrame, keys: Seque
     )
     ctrl = controls.groupBy(*[k for k in keys if k != "bait"]).agg(F.array_join(F.transform(F.sort_array(F.collect_list("value"), asc=False), lambda v: F.round(v, digits).cast("string")), "|").alias("ctrl_values"))
     rows = pairs.join(listed, [*keys]).join(ctrl, [k for k in keys if k != "bait"], "left").withColumn("avg", F.col("sum") / F.col("n_rep"))
-    rows = tail_fdr(rows, "avg_p")
+    rows = tail_fdr(rows.withColumn("avg_p", F.round("avg_p", 9)), "avg_p")
     return rows.withColumns({c: F.round(c, digits) for c in ("avg_p", "max_p", "log_odds", "fold_change", "bfdr", "avg", "sum")})
 
 
