@@ -64,9 +64,12 @@ def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, cells: DataF
 
 def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Replicate cells with y (null: missing), the prey's parameters, lt, lf, z0 and skip; missing y is taken at t."""
+    return _densities(log_standardise(inter, by), design, preys, by)
+
+
+def _densities(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "prey"]
-    std = log_standardise(inter, by)
-    cells = scoring.replicate_cells(std, design, preys, by)
+    cells = scoring.replicate_cells(std, design, preys, by).cache()
     rows = cells.join(parameters(std, design, preys, cells, by), keys).withColumn("at", F.coalesce("y", "t"))
     top = F.col("eta") + F.col("d")
     rows = rows.withColumn("lt", normal_log_pdf_clamped(F.least("at", top), top, F.col("sd_true"))).withColumn("lf", normal_log_pdf_clamped(F.greatest("at", "eta"), F.col("eta"), F.col("sd_false")))
@@ -76,13 +79,13 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, by: Sequenc
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value); preys(prey, gene[, imputed_mu])."""
-    keys = [*by, "prey", "bait"]
-    cells = densities(inter, design, preys, by).cache()
+    keys, std = [*by, "prey", "bait"], log_standardise(inter, by).cache()
+    cells = _densities(std, design, preys, by).cache()
     beta = scoring._per_group(scoring.settle_labels(cells, by, rounds), by)
     odds = beta + F.col("lt") - F.col("lf")
     scored = cells.withColumn("log_odds", odds).withColumn("score", F.when(F.col("y").isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds))))
     pairs = scoring.aggregate_replicates(scored, keys, n_replicates)
     shown = scored.withColumn("y", F.exp("y"))
     fold = cells.groupBy(*keys).agg((F.avg(F.exp("at")) / F.exp(F.first("eta"))).alias("fold_change"), F.first("gene").alias("gene"), F.exp(F.first("t")).alias("imputed_value"))
-    controls = scoring.control_values(log_standardise(inter, by), design, by).withColumn("value", F.exp("value"))
+    controls = scoring.control_values(std, design, by).withColumn("value", F.exp("value"))
     return scoring.report(pairs.join(fold, keys), shown, controls, keys, digits)

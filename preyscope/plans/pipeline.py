@@ -32,7 +32,7 @@ def load(spark: SparkSession, kind: str, path: str, design: DataFrame, quant: st
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, **how: int) -> DataFrame:
     """Posterior and wd scores, merged. A grouped design is scored for all its groups at once, with bfdr over them all."""
-    inter = ingest.drop_control_only(ingest.drop_zero(inter), design)
+    inter = ingest.drop_control_only(ingest.drop_zero(inter), design).cache()
     if imputation and quant != "spc":
         share = pi if pi is not None else impute.estimate_pi(inter, design) if imputation == "mixture" else 0.0
         preys = preys.join(impute.impute(inter, design, preys, imputation, share).select("prey", "imputed_mu"), "prey", "left")
