@@ -287,7 +287,7 @@ _KEPT = """, kp as (select * from inter where substr(prey, 2)::bigint % 50 <> 0
 def melted_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Wide to long: flags, melt, preys of controls alone, zeros."""
     design, wide = views.design(spark, sf), ingest.drop_flagged(_wide(spark, sf))
-    inter = ingest.melt_quant(wide, design, wide.columns)
+    inter = ingest.melt_quant(wide, design, [c for c in wide.columns if c.startswith("E")])
     return ingest.drop_zero(ingest.drop_control_only(inter, design)).select("experiment", "bait", "prey", "value")
 
 
@@ -312,9 +312,9 @@ def numbered_replicates(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.number_replicates(rows, "o_orderkey").withColumn("replicate", F.col("replicate").cast("long"))
 
 
-@query("""select 'E' || l_suppkey % 10 || '_' || (l_orderkey % 3 + 1) experiment, 'P' || l_partkey prey, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) "value" from lineitem group by 1, 2""")
+@query("""select 'E' || l_suppkey % 10 || '_' || (l_orderkey % 3 + 1) experiment, 'P' || l_partkey prey, arg_max(l_quantity, l_orderkey * 100000 + l_linenumber * 1000 + l_quantity) "value" from lineitem group by 1, 2""")
 def assigned_cells(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.table(spark, sf, "lineitem").select(F.expr("concat('E', l_suppkey % 10, '_', l_orderkey % 3 + 1)").alias("experiment"), F.expr("concat('P', l_partkey)").alias("prey"), F.col("l_quantity").alias("value"), F.expr("l_orderkey * 10 + l_linenumber").alias("n"))
+    rows = views.table(spark, sf, "lineitem").select(F.expr("concat('E', l_suppkey % 10, '_', l_orderkey % 3 + 1)").alias("experiment"), F.expr("concat('P', l_partkey)").alias("prey"), F.col("l_quantity").alias("value"), F.expr("l_orderkey * 100000 + l_linenumber * 1000 + l_quantity").alias("n"))
     return scoring.assign_cells(rows, "n")
 
 
@@ -389,7 +389,7 @@ def prey_edges_from_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(""", ek as (select least(pa, pb) a, greatest(pa, pb) b from known group by 1, 2),
-zz as (select prey, e.bait, count(*) filter (spc > 40) / any_value(m) z from inter join ed e using (experiment) join (select bait, count(*) m from ed group by 1) using (bait) where "type" = 'T' group by 1, 2)
+zz as (select i.prey, e.bait, count(*) filter (spc > 40) / any_value(m) z from inter i join ed e using (experiment) join (select bait b2, count(*) m from ed group by 1) on b2 = e.bait where "type" = 'T' group by 1, 2)
 select a prey, bait, round(sum(z), 6) support from ek join zz on zz.prey = ek.b where z > 0 group by 1, 2""")
 def neighbour_support(spark: SparkSession, sf: str) -> DataFrame:
     cells = scoring.replicate_cells(_counts(spark, sf), views.design(spark, sf), views.preys(spark, sf).withColumn("gene", F.lit(None).cast("string")))
@@ -549,8 +549,8 @@ def threshold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(analytics.threshold_metrics(scored_view(spark, sf), known, score=0.5))
 
 
-@query(SCORED + """select round(s / 20, 2) cutoff, count(*) filter (score >= s / 20 - 1e-9) n, round(count(*) filter (is_known and score >= s / 20 - 1e-9) / nullif(count(*) filter (score >= s / 20 - 1e-9), 0), 6) share_known
-from scored, range(21) t(s) group by s""")
+@query(SCORED + """select round(u / 20, 2) cutoff, count(*) filter (score >= u / 20 - 1e-9) n, round(count(*) filter (is_known and score >= u / 20 - 1e-9) / nullif(count(*) filter (score >= u / 20 - 1e-9), 0), 6) share_known
+from scored, range(21) t(u) group by u""")
 def retention_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(analytics.retention_curve(scored_view(spark, sf)).withColumn("cutoff", F.round("cutoff", 2)))
 
@@ -563,8 +563,8 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(SCORED + """, rp as (select sum(count(*) filter (not is_known)) over w / sum(count(*) filter (not is_known)) over () f, sum(count(*) filter (is_known)) over w / sum(count(*) filter (is_known)) over () t
-  from scored group by wd window w as (order by wd desc rows between unbounded preceding and current row)), ra as (select 0 f, 0 t union all select f, t from rp)
-select round(sum(a), 6) auc from (select (f - lag(f) over w) * (t + lag(t) over w) / 2 a from ra window w as (order by f, t))""")
+  from scored group by wd window w as (order by wd desc rows between unbounded preceding and current row)), ra as (select 0.0::double f, 0.0::double t union all select f, t from rp)
+select round(sum(a), 6) auc from (select (f - lag(f) over (order by f, t)) * (t + lag(t) over (order by f, t)) / 2 a from ra)""")
 def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(analytics.auc(analytics.roc_curve(scored_view(spark, sf), "wd")))
 
