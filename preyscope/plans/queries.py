@@ -530,7 +530,7 @@ def median_preference(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def affinity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of the type-and-brand terms by similarity."""
-    return affinity.affinity_clusters(term_similarity(spark, sf).where("similarity > 0"), 0.5, rounds=30)
+    return affinity.affinity_clusters(term_similarity(spark, sf).where("similarity > 0"), 0.5, rounds=10)
 
 
 @query(SCORED + "select bait, prey, score, wd from scored where score >= 0.4 and bfdr <= 0.5 and wd >= 5 and coalesce(wd_fdr, 1) <= 0.02")
