@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 12
 #: Labelled rows used for training at most, and characters read of each of them: the bound of the sample.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 3000
+TRAIN_ROWS, TRAIN_CHARS = 3000, 3000
 EPOCHS, C = 6, 1e-4
 
 # Families of languages by ISO 639-1 code; other languages are families of their own.
@@ -145,11 +145,16 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     for r in drawn.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.lit(12), "doc_id").alias("h")).orderBy("h").limit(2 * rows + 64 * len(counts)).collect():
         if len(have := sample.setdefault(r.lang, [])) < each:
             have.append(r.text)
-    found = [(lang, x) for lang, texts in sorted(sample.items()) for t in texts if (x := features(t)) is not None]
-    langs = sorted({lang for lang, _ in found})
+    x = np.empty((sum(map(len, sample.values())), BUCKETS), np.float32)  # one block, given back to the system as a whole
+    labels: list[str] = []
+    for lang, texts in sorted(sample.items()):
+        for text in texts:
+            if (v := features(text)) is not None:
+                x[len(labels)] = v
+                labels.append(lang)
+    x, y, langs = x[: len(labels)], np.array(labels), sorted({*labels})
     if not langs:
         return Model([], np.zeros((0, BUCKETS + 1)), {})
-    x, y = np.stack([v for _, v in found]).astype(np.float32), np.array([lang for lang, _ in found])
     family = np.array([family_of(lang) for lang in y])
     families = sorted(set(family.tolist()))
     one = len(families) == 1
