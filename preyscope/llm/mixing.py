@@ -69,16 +69,16 @@ def schedule(goals: DataFrame) -> DataFrame:
         .withColumn("point", F.expr(f"(slot * {GOLDEN}) & 4294967295")).withColumn("cell", F.expr(f"point div {cell}"))
     )
     touched = goals.where("upper > lower").select("rank", "lower", "upper", F.explode(F.expr(f"sequence(lower div {cell}, (upper - 1) div {cell})")).alias("cell"))
-    hits = points.join(touched, "cell").where("point >= lower and point < upper").select("rank", "run", "slot")
+    hits = points.join(touched.hint("merge"), "cell").where("point >= lower and point < upper").select("rank", "run", "slot")
     per = hits.groupBy("rank", "run").agg(F.count(F.lit(1)).alias("c"))
     base = per.select("rank", "run", F.coalesce(F.sum("c").over(Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = hits.join(base, ["rank", "run"]).select("rank", "slot", (F.col("base") + F.row_number().over(Window.partitionBy("rank", "run").orderBy("slot")) - 1).alias("k"))
+    ranked = hits.join(base.hint("merge"), ["rank", "run"]).select("rank", "slot", (F.col("base") + F.row_number().over(Window.partitionBy("rank", "run").orderBy("slot")) - 1).alias("k"))
     found = per.groupBy("rank").agg(F.sum("c").alias("found"))
     late = (
-        goals.join(found, "rank", "left").where("needs > coalesce(found, 0)")
+        goals.join(found.hint("merge"), "rank", "left").where("needs > coalesce(found, 0)")
         .select("rank", F.lit(None).cast("long").alias("slot"), F.explode(F.expr("sequence(coalesce(found, 0L), needs - 1)")).alias("k"))
     )
-    kept = ranked.unionByName(late).join(goals.select("rank", "size", "block_words", "blocks", "take", "needs"), "rank").where("k < needs")
+    kept = ranked.unionByName(late).join(goals.select("rank", "size", "block_words", "blocks", "take", "needs").hint("merge"), "rank").where("k < needs")
     kept = kept.withColumn("round", F.expr("k div blocks")).withColumn("block", F.expr("k % blocks"))
     return kept.select("rank", "slot", "k", "block", F.expr("least(block_words, size - block * block_words, take - round * size - block * block_words)").alias("words"))
 
@@ -94,7 +94,7 @@ def _laid_out(docs: DataFrame, seed: int) -> DataFrame:
     before = Window.partitionBy("rank").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("rank", "stretch", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("rank", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.join(base, ["rank", "stretch"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("base", "h", "stretch")
+    return hashed.join(base.hint("merge"), ["rank", "stretch"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("base", "h", "stretch")
 
 
 def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> DataFrame:
@@ -103,13 +103,14 @@ def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> DataFrame:
     `taken` counts the words that the schedule takes of the document, repeats included: at most three times its size,
     and over a source its target to the nearest word. Null texts have size 0 and are never taken; a null source is a
     source of its own; rows that repeat a doc_id each have their own place in the stream. An empty table gives no
-    rows; other columns are not read. Only ids, sources and sizes are shuffled, never texts.
+    rows; other columns are not read. Only ids, sources and sizes are shuffled, never texts. Joins are merge joins: a
+    table of a few rows would take the driver 64 MB and more to broadcast, several times over.
     """
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
     goals = cut(_goals(sized.groupBy("source").agg(F.sum("size").alias("size")), slots))
     turns = schedule(goals).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("least"), F.max("words").alias("whole"))
     side = goals.select(F.col("source").alias("s"), "rank", F.col("size").alias("source_size"), "target", "block_words")
-    ranked = sized.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranked = sized.join(side.hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     names = ["doc_id", "source", "size", "source_size", "target"]
     placed = _laid_out(ranked.where("size > 0"), seed)
     parts = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> DataFrame:
     # A block is taken n times: whole each time but perhaps the last, when only its first `least` words are.
     first = F.greatest(F.lit(0), F.least(high, F.col("block") * F.col("block_words") + F.col("least")) - low)
     got = F.when(F.col("n") == 1, first).otherwise((F.col("n") - 1) * (high - low) + first)
-    taken = parts.join(turns, ["rank", "block"], "left").groupBy(*names, "rank", "start").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
+    taken = parts.join(turns.hint("merge"), ["rank", "block"], "left").groupBy(*names, "rank", "start").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
     return taken.select(*names, "taken").unionByName(ranked.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
 
 
@@ -129,7 +130,7 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     times = F.expr("transform(sequence(1, cast((_taken + _size - 1) div _size as int)), i -> least(_size, _taken - (i - 1) * _size))")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_words", F.explode(times))
+    rows = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_words", F.explode(times))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     whole = F.col("_words") == F.col("_size")
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")))
