@@ -24,7 +24,9 @@ MARK = "▁"
 #: Segments of at most so many characters are encoded together.
 SHORT = 24
 #: A Python worker remembers the segments met last, in two generations of some so many.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: A batch is taken in pieces of about so many characters.
+PART = 1_000_000
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 
 
@@ -262,7 +264,7 @@ def encode_decode(docs: DataFrame, model_path: str, ids_column: str | None = "id
 
     Null texts count as empty; an empty text has the end id alone. Repeated rows give repeated rows; other columns are
     not read. The model file (a few hundred kB) goes to the executors with the function; texts stay where they are, so
-    there is no shuffle, and a batch is taken in pieces of some 4 MB of text.
+    there is no shuffle, and a batch is taken in pieces of about PART characters; both bounds keep a worker's memory small.
     """
     with open(model_path, "rb") as f:
         data = f.read()
@@ -276,7 +278,7 @@ def encode_decode(docs: DataFrame, model_path: str, ids_column: str | None = "id
             at = 0
             while at < len(batch):
                 part, chars, first = [], 0, at
-                while at < len(batch) and chars < 4_000_000:
+                while at < len(batch) and chars < PART:
                     part.append(texts[at].as_py() or "")
                     chars += len(part[-1])
                     at += 1
@@ -288,7 +290,9 @@ def encode_decode(docs: DataFrame, model_path: str, ids_column: str | None = "id
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in rows]),
                 ]
                 if ids_column:
-                    columns.append(pa.array([[int(x) for x in i.split(" ")] for i, _ in rows], pa.list_(pa.int32())))
+                    ids = [np.fromstring(i, np.int32, sep=" ") for i, _ in rows]
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), type=pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [*"abcde"[: len(columns)]])
 
     key = dict(docs.dtypes)["doc_id"]
