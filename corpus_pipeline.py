@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from preyscope.llm import langid, mixing, pii, sentencepiece_codec, simhash
+from preyscope.llm import langid, mixing, near_copies, pii, sentencepiece_codec
 from preyscope.llm.common import documents, written
 
 
@@ -20,8 +20,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near copies: five-word shingles of similarity 0.8 or more, verified."""
+    return near_copies.keep_one(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, cuts and drops documents so that sources have their target sizes."""
-    return mixing.repeat(docs, mixing.mix(docs))
+    return mixing.mix_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ takes its k-th block, from the start again after the last, so sources are interl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words
@@ -93,25 +93,26 @@ def _laid_out(docs: DataFrame, seed: int) -> DataFrame:
     per = hashed.groupBy("rank", "stretch").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("rank").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("rank", "stretch", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("rank", "stretch").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("rank", "stretch").orderBy("h", "doc_id", "size", *(["row"] if "row" in docs.columns else [])).rowsBetween(Window.unboundedPreceding, -1)
     return hashed.join(base.hint("merge"), ["rank", "stretch"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("base", "h", "stretch")
 
 
-def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS, row: str | None = None) -> DataFrame:
     """doc_id, source, size (words), source_size, target, taken for every row of docs(doc_id, source, text).
 
     `taken` counts the words that the schedule takes of the document, repeats included: at most three times its size,
     and over a source its target to the nearest word. Null texts have size 0 and are never taken; a null source is a
     source of its own; rows that repeat a doc_id each have their own place in the stream. An empty table gives no
     rows; other columns are not read. Only ids, sources and sizes are shuffled, never texts. Joins are merge joins: a
-    table of a few rows would take the driver 64 MB and more to broadcast, several times over.
+    table of a few rows would take the driver 64 MB and more to broadcast, several times over. A column `row` that tells
+    rows of one doc_id apart is handed on as `row`.
     """
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
+    sized = cut(docs.select("doc_id", *([F.col(row).alias("row")] if row else []), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
     goals = cut(_goals(sized.groupBy("source").agg(F.sum("size").alias("size")), slots))
     turns = schedule(goals).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("least"), F.max("words").alias("whole"))
     side = goals.select(F.col("source").alias("s"), "rank", F.col("size").alias("source_size"), "target", "block_words")
     ranked = sized.join(side.hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    names = ["doc_id", "source", "size", "source_size", "target"]
+    names = ["doc_id", *(["row"] if row else []), "source", "size", "source_size", "target"]
     placed = _laid_out(ranked.where("size > 0"), seed)
     parts = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
     low, high = F.expr("greatest(start, block * block_words)"), F.expr("least(start + size, (block + 1) * block_words)")
@@ -126,14 +127,29 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix as rows of docs: a document comes once for each whole time it is taken and once for a part of it.
 
     The part is the document's first words with the blanks before them. Documents with no taken word go. doc_id has
-    to be a key of docs.
+    to be a key of docs; mix_rows() takes any rows.
     """
-    plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    return _repeated(docs, mixed.withColumn("row", F.lit(0)), F.lit(0)).select(*docs.columns)
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """repeat(docs, mix(docs)) for rows that may share a doc_id or have none: told apart by id, source and text.
+
+    Rows that are equal in all three are taken together.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    plan = mix(docs.withColumn("_row", row), row="_row").groupBy("doc_id", "row").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    return _repeated(docs.withColumn("_key", row).dropDuplicates(["doc_id", "_key"]).drop("_key"), plan, row).select(*docs.columns)
+
+
+def _repeated(docs: DataFrame, mixed: DataFrame, row: Column) -> DataFrame:
+    """Rows of docs by the rows of mixed with the same doc_id and `row`."""
+    plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     times = F.expr("transform(sequence(1, cast((_taken + _size - 1) div _size as int)), i -> least(_size, _taken - (i - 1) * _size))")
-    rows = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_words", F.explode(times))
+    rows = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (row == F.col("_r"))).withColumn("_words", F.explode(times))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     whole = F.col("_words") == F.col("_size")
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows
