@@ -97,35 +97,66 @@ def _laid_out(docs: DataFrame, seed: int) -> DataFrame:
     return hashed.join(base.hint("merge"), ["rank", "stretch"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("base", "h", "stretch")
 
 
-def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS, row: str | None = None) -> DataFrame:
-    """doc_id, source, size (words), source_size, target, taken for every row of docs(doc_id, source, text).
-
-    `taken` counts the words that the schedule takes of the document, repeats included: at most three times its size,
-    and over a source its target to the nearest word. Null texts have size 0 and are never taken; a null source is a
-    source of its own; rows that repeat a doc_id each have their own place in the stream. An empty table gives no
-    rows; other columns are not read. Only ids, sources and sizes are shuffled, never texts. Joins are merge joins: a
-    table of a few rows would take the driver 64 MB and more to broadcast, several times over. A column `row` that tells
-    rows of one doc_id apart is handed on as `row`.
+def pieces(placed: DataFrame, goals: DataFrame) -> DataFrame:
+    """The mix itself: placed rows with slot, round, from and words, one for each piece of a document that a slot takes.
+
+    Sorted by slot, rank and start, it is the interleaved stream. What the points left out comes after all other slots,
+    by its turn. A piece has `words` words from word `from` of its document on.
     """
+    n = goals.agg(F.sum("needs")).first()[0] or 0
+    slots = schedule(goals).withColumn("slot", F.coalesce("slot", F.col("k") + n)).withColumnRenamed("words", "whole")
+    slots = slots.join(goals.select("rank", "blocks").hint("merge"), "rank").withColumn("round", F.expr("k div blocks")).drop("blocks", "k")
+    parts = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
+    low = F.expr("greatest(start, block * block_words)")
+    high = F.expr("least(start + size, block * block_words + whole)")
+    rows = parts.join(slots.hint("merge"), ["rank", "block"]).withColumn("from", low - F.col("start")).withColumn("words", high - low)
+    return rows.where("words > 0").drop("whole", "block")
+
+
+def _placed(docs: DataFrame, seed: int, slots: int, row: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row with its rank and source, those with words with their place in the stream, and the goals."""
     sized = cut(docs.select("doc_id", *([F.col(row).alias("row")] if row else []), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
     goals = cut(_goals(sized.groupBy("source").agg(F.sum("size").alias("size")), slots))
-    turns = schedule(goals).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("least"), F.max("words").alias("whole"))
     side = goals.select(F.col("source").alias("s"), "rank", F.col("size").alias("source_size"), "target", "block_words")
     ranked = sized.join(side.hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return ranked, _laid_out(ranked.where("size > 0"), seed), goals
+
+
+def stream(docs: DataFrame, seed: int = 7, slots: int = SLOTS) -> DataFrame:
+    """(slot, source, place, doc_id, from, words): the interleaved mix, a row a piece, in order of slot and place."""
+    _, placed, goals = _placed(docs, seed, slots, None)
+    rows = pieces(placed, goals)
+    rows = rows.repartitionByRange("slot", "rank", "start").sortWithinPartitions("slot", "rank", "start")
+    return rows.select("slot", "source", F.col("start").alias("place"), "doc_id", "from", "words")
+
+
+def mix(docs: DataFrame, seed: int = 7, slots: int = SLOTS, row: str | None = None) -> DataFrame:
+    """doc_id, source, size (words), source_size, target, taken, slots, place for every row of docs(doc_id, source, text).
+
+    `taken` counts the words of the pieces() of the document, repeats included: at most three times its size, and over
+    a source its target to the nearest word. `slots` has the slot at which each of its copies starts, the last one
+    perhaps cut, and `place` its first word's place in the source's stream. Null texts have size 0 and are never taken;
+    a null source is a source of its own; rows that repeat a doc_id each have their own place in the stream. An empty
+    table gives no rows; other columns are not read. Only ids, sources and sizes are shuffled, never texts. Joins are
+    merge joins: a table of a few rows would take the driver 64 MB and more to broadcast, several times over. A column
+    `row` that tells rows of one doc_id apart is handed on as `row`.
+    """
+    ranked, placed, goals = _placed(docs, seed, slots, row)
+    placed = cut(placed)
     names = ["doc_id", *(["row"] if row else []), "source", "size", "source_size", "target"]
-    placed = _laid_out(ranked.where("size > 0"), seed)
-    parts = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
-    low, high = F.expr("greatest(start, block * block_words)"), F.expr("least(start + size, (block + 1) * block_words)")
-    # A block is taken n times: whole each time but perhaps the last, when only its first `least` words are.
-    first = F.greatest(F.lit(0), F.least(high, F.col("block") * F.col("block_words") + F.col("least")) - low)
-    got = F.when(F.col("n") == 1, first).otherwise((F.col("n") - 1) * (high - low) + first)
-    taken = parts.join(turns.hint("merge"), ["rank", "block"], "left").groupBy(*names, "rank", "start").agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-    return taken.select(*names, "taken").unionByName(ranked.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
+    own = ["rank", "start"]
+    turns = pieces(placed, goals).groupBy(*own).agg(F.sum("words").alias("taken"), F.collect_list(F.when(F.col("from") == 0, F.struct("round", "slot"))).alias("turns"))
+    slots_of = F.transform(F.array_sort("turns"), lambda x: x["slot"])
+    taken = placed.join(turns.hint("merge"), own, "left").select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(slots_of, F.array().cast("array<bigint>")).alias("slots"), F.col("start").alias("place"))
+    none = [F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("slots"), F.lit(None).cast("long").alias("place")]
+    return taken.unionByName(ranked.where("size = 0").select(*names, *none))
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix as rows of docs: a document comes once for each whole time it is taken and once for a part of it.
 
+    Rows are in order of the slots at which they start, by partitions and within them, so sources are interleaved.
+
     The part is the document's first words with the blanks before them. Documents with no taken word go. doc_id has
     to be a key of docs; mix_rows() takes any rows.
     """
@@ -138,15 +169,19 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     Rows that are equal in all three are taken together.
     """
     row = F.xxhash64("doc_id", "source", "text")
-    plan = mix(docs.withColumn("_row", row), row="_row").groupBy("doc_id", "row").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    plan = mix(docs.withColumn("_row", row), row="_row").groupBy("doc_id", "row").agg(
+        F.max("size").alias("size"), F.sum("taken").alias("taken"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"), F.min("place").alias("place")
+    )
     return _repeated(docs.withColumn("_key", row).dropDuplicates(["doc_id", "_key"]).drop("_key"), plan, row).select(*docs.columns)
 
 
 def _repeated(docs: DataFrame, mixed: DataFrame, row: Column) -> DataFrame:
     """Rows of docs by the rows of mixed with the same doc_id and `row`."""
-    plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = mixed.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("slots").alias("_slots"), F.col("place").alias("_place"))
     times = F.expr("transform(sequence(1, cast((_taken + _size - 1) div _size as int)), i -> least(_size, _taken - (i - 1) * _size))")
-    rows = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (row == F.col("_r"))).withColumn("_words", F.explode(times))
+    rows = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (row == F.col("_r"))).select("*", F.posexplode(times).alias("_turn", "_words"))
+    rows = rows.withColumn("_slot", F.get("_slots", F.col("_turn"))).drop("_slots")
+    rows = rows.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     whole = F.col("_words") == F.col("_size")
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")))
