@@ -1,8 +1,9 @@
 """Licence scan by a positional index of rare tokens.
 
 Templates of licence notices are indexed by word and place. The document frequency of the templates' words is counted
-over the whole corpus; each file then looks up the licence words it holds with the highest inverse document frequency,
-and every occurrence votes for (template, place in the file - place in the template). A template is a candidate where
+over the whole corpus; each template is looked up by its own words with the highest inverse document frequency, in the
+files that hold its mandatory key phrases, and every occurrence about such a phrase votes for (template, place in the
+file - place in the template). A template is a candidate where
 several different words agree on that relative position, and is reported if its mandatory key phrases stand there too.
 Everything happens within a row, so nothing but the word counts is shuffled.
 """
@@ -56,10 +57,8 @@ TEMPLATES = (
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     Template("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
 )
-#: Licence words that a file looks up at most.
+#: Words by which a template is looked up at most.
 LOOKED_UP = 8
-#: Words in more than this share of all documents are not looked up.
-COMMON = 0.2
 #: Different words that have to agree on a relative position.
 AGREEING = 3
 #: Words that a key phrase may stand outside the notice.
@@ -97,7 +96,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     place. Null texts count as empty; repeated rows give repeated rows; other columns are not read.
     """
     total, frequency = document_frequency(docs, templates)
-    idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items() if n <= COMMON * total}
+    idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items()}
     keys = sorted({k for t in templates for k in t.keys})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", ascii_lower(text).alias("t"), F.regexp_count(ascii_lower(text), F.lit(WORDS)).cast("long").alias("n_words"))
@@ -105,8 +104,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     bases = let(words, lambda w: F.array(*[_places(w, p) for p in BASE]))
     none = F.array(*[F.array().cast("array<int>")] * len(BASE))
     rows = rows.withColumn("base", F.when(F.col("t").rlike("license|cc"), bases).otherwise(none))
-    found = _found(words, idf, keys, templates) if idf else F.array().cast("array<struct<label:string,n:int>>")
-    rows = rows.withColumn("found", found)
+    # A template needs its key phrases, so files without any need no words.
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    some = F.col("t").rlike("|".join(gap.join(k.split()) for k in keys))
+    rows = rows.withColumn("found", F.when(some, _found(words, idf, keys, templates)).otherwise(F.array().cast("array<struct<label:string,n:int>>")))
     starts, best = F.flatten("base"), F.array_max(F.transform("found", lambda x: x["n"]))
     base_labels = F.filter(F.array(*[F.when(F.size(F.get("base", i)) > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
     labels = F.array_union(base_labels, F.transform("found", lambda x: x["label"]))
@@ -120,21 +121,24 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
 def _found(words: Column, idf: dict[str, float], keys: list[str], templates: tuple[Template, ...]) -> Column:
     """(label, agreeing words) of each verified template and place, for one file's words."""
-    rare = sorted(idf, key=lambda w: (-idf[w], w))
-    wanted = F.array(*map(F.lit, rare))
+    chosen = [sorted(set(m.text.split()), key=lambda w: (-idf[w], w))[:LOOKED_UP] for m in templates]
     # Votes by word: struct(template, place in the template).
     postings = F.create_map(*[
-        x for w in rare
-        for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, m in enumerate(templates) for p, v in enumerate(m.text.split()) if v == w]))
+        x for w in sorted({w for c in chosen for w in c})
+        for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, m in enumerate(templates) if w in chosen[t] for p, v in enumerate(m.text.split()) if v == w]))
     ])
+    reach = max(len(m.text.split()) for m in templates) + NEAR
     lengths = F.array(*[F.lit(len(m.text.split())) for m in templates])
     need = F.array(*[F.array(*[F.lit(keys.index(k)) for k in m.keys]) for m in templates])
     names = F.array(*[F.lit(m.label) for m in templates])
 
-    def verified(w: Column, top: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(top, h["w"]))
+    def verified(w: Column) -> Column:
+        return let(F.array(*[_places(w, k) for k in keys]), lambda found: let(F.array_distinct(F.flatten(found)), lambda places: voted(w, found, places)))
+
+    def voted(w: Column, found: Column, places: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.map_contains_key(postings, h["w"]) & F.exists(places, lambda p: F.abs(h["i"] - p) <= reach))
         votes = F.flatten(F.transform(at, lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"), h["w"].alias("w")))))
-        return let(F.sort_array(F.array_distinct(votes)), lambda v: let(F.array(*[_places(w, k) for k in keys]), lambda found: agreed(v, found)))
+        return let(F.sort_array(F.array_distinct(votes)), lambda v: agreed(v, found))
 
     def agreed(v: Column, found: Column) -> Column:
         # Votes are sorted, so equal (template, place) stand together; the AGREEING-th of each run counts it.
@@ -149,6 +153,4 @@ def _found(words: Column, idf: dict[str, float], keys: list[str], templates: tup
         last = F.get(v, k)
         return F.size(F.filter(F.slice(v, F.greatest(F.lit(1), k - LOOKED_UP + 2), F.lit(LOOKED_UP)), lambda x: (x["t"] == last["t"]) & (x["o"] == last["o"])))
 
-    none = F.array().cast("array<struct<label:string,n:int>>")
-    # `rare` is in descending order of idf, and array_intersect keeps the order of its first argument.
-    return let(words, lambda w: let(F.slice(F.array_intersect(wanted, w), 1, LOOKED_UP), lambda top: F.when(F.size(top) < AGREEING, none).otherwise(verified(w, top))))
+    return let(words, verified)
