@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def affinity_clusters(similar: DataFrame, preference: float, damping: float = 0.
 
     Responsibilities need a node's two best sums, availabilities the positive responsibilities of a target: two
     aggregates a round over the edges, checkpointed every few rounds. It ends when the exemplars stay the same for
-    `stable` rounds. Ties go to the smaller name; nodes without an exemplar among their edges stand for themselves.
+    `stable` rounds, and warns if `rounds` run out before. Ties go to the smaller name; nodes without an exemplar among their edges stand for themselves.
     """
     both = similar.select("a", "b", "similarity").union(similar.select("b", "a", "similarity")).toDF("i", "k", "s")
     nodes = both.select("i").distinct()
@@ -38,6 +40,8 @@ def affinity_clusters(similar: DataFrame, preference: float, damping: float = 0.
             last = heads
             if same >= stable and heads[0]:
                 break
+    else:
+        warnings.warn(f"affinity_clusters: exemplars not stable for {stable} of {rounds} rounds", RuntimeWarning, stacklevel=2)
     heads = state.where("i = k and r + a > 0").select(F.col("i").alias("k"))
     choice = state.join(heads, "k").groupBy("i").agg(F.min_by("k", F.struct(-F.when(F.col("i") == F.col("k"), F.lit(1e30)).otherwise(F.col("s")), F.col("k"))).alias("exemplar"))
     assigned = nodes.join(choice, "i", "left").select("i", F.coalesce("exemplar", "i").alias("exemplar"))

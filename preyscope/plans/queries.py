@@ -402,7 +402,7 @@ def topology_scores(spark: SparkSession, sf: str) -> DataFrame:
     inter, design, preys = _counts(spark, sf), views.design(spark, sf), views.preys(spark, sf)
     cells = score_counts.densities(inter, design, preys).cache()
     pairs = score_counts.score(inter, design, preys, rounds=3).select("prey", "bait", "avg_p")
-    return rounded(network.topology_scores(cells, prey_edges(spark, sf), pairs, rounds=2), 4)
+    return rounded(network.topology_scores(cells, prey_edges(spark, sf), pairs), 4)
 
 
 @query(_count_sql(False) + WD + """select av.prey, av.bait, round(avg_p, 6) avg_p, round(wd, 6) wd, round(p_value, 6) p_value, null::int source_group from av left join w9 on w9.experiment = av.bait and w9.prey = av.prey""")
@@ -530,7 +530,7 @@ def median_preference(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def affinity_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of the type-and-brand terms by similarity."""
-    return affinity.affinity_clusters(term_similarity(spark, sf).where("similarity > 0"), 0.5, rounds=10)
+    return affinity.affinity_clusters(term_similarity(spark, sf).where("similarity > 0"), 0.5, rounds=500, stable=50)
 
 
 @query(SCORED + "select bait, prey, score, wd from scored where score >= 0.4 and bfdr <= 0.5 and wd >= 5 and coalesce(wd_fdr, 1) <= 0.02")
