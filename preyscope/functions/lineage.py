@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the session names in spark.checkpoint.dir; in one of our own if it names none."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
+
+    A session in one process (master local) that names none gets a folder of its own; on a cluster that would be one
+    that the executors can't see, so it is an error there.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="preyscope-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        one_process = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not named and not one_process:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="preyscope-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder: what follows plans and reads that table, not what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 
 
@@ -31,30 +34,86 @@ def normal_log_pdf_clamped(x: Column, mean: Column, sd: Column, most: float = 5.
     return -0.5 * F.pow(F.least(F.abs((x - mean) / sd), F.lit(most)), F.lit(2)) - F.log(sd) - HALF_LOG_2PI
 
 
+def running(df: DataFrame, order: str, totals: dict[str, tuple[str, str]], descending: bool = False) -> DataFrame:
+    """df with running sums or minima in the order of a column that tells its rows apart: {name: (sum or min, column)}.
+
+    Rows are dealt by ranges of the column. The totals of the ranges, a row a shuffle partition, are run over first,
+    then the rows within each range, so no task sees more than a range.
+    """
+    ordered = F.desc(order) if descending else F.asc(order)
+    dealt = cut(df.repartitionByRange(ordered).withColumn("_part", F.spark_partition_id()))
+    fold = {"sum": F.sum, "min": F.min}
+    parts = dealt.groupBy("_part").agg(*[fold[f](c).alias(f"_{name}") for name, (f, c) in totals.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *[fold[f](f"_{name}").over(before).alias(f"_{name}") for name, (f, _) in totals.items()])
+    within = Window.partitionBy("_part").orderBy(ordered).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(F.broadcast(parts), "_part")
+    for name, (f, c) in totals.items():
+        own = fold[f](c).over(within)
+        rows = rows.withColumn(name, own + F.coalesce(f"_{name}", F.lit(0)) if f == "sum" else F.least(own, f"_{name}"))
+    return rows.drop("_part", *[f"_{name}" for name in totals])
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of exact, linearly interpolated quantiles {name: (column, share)}; nulls do not count, none gives null."""
+    out = []
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        ranked = running(counts, "_v", {"_upto": ("sum", "_c")})
+        rows = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("_c").alias("_n"))))
+        picks = []
+        for name, (c, share) in wanted.items():
+            if c == column:
+                place = share * (F.col("_n") - 1)
+                low, high = (F.min(F.when(F.col("_upto") > f(place), F.col("_v"))) for f in (F.floor, F.ceil))
+                picks.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+        out.append(rows.agg(*picks))
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), out)
+
+
+def upper_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., median): the value at place n div 2, counted from 0, of each group's ordered values that are not null."""
+    keys = [*by]
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts.withColumn("_o", F.struct(*keys, "_v")), "_o", {"_upto": ("sum", "_c")})
+    groups = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_base"))
+    rows = ranked.join(F.broadcast(groups), keys) if keys else ranked.crossJoin(F.broadcast(groups))
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("_upto") - F.col("_base") > F.floor(F.col("_n") / 2), F.col("_v"))).alias("median"))
+
+
 def tail_fdr(df: DataFrame, score: str, into: str = "bfdr") -> DataFrame:
     """df with 1 - mean(score of all rows with a strictly greater score), in [0, 1]; 0 for the top, equal for ties.
 
-    Scores are summed by distinct value first, so that the running window sees one row a value.
+    Scores are counted by distinct value first; the running sums over these go by ranges of the score.
     """
     value = F.coalesce(F.col(score), F.lit(0.0))
-    sums = df.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
-    rate = 1 - F.sum(F.col("_v") * F.col("n")).over(before) / F.sum("n").over(before)
-    rates = sums.select("_v", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate)), F.lit(0.0)).alias(into))
+    sums = df.groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.col("_v") * F.col("n"))
+    rows = running(sums, "_v", {"above": ("sum", "s"), "count": ("sum", "n")}, descending=True)
+    greater = F.col("count") - F.col("n")
+    rate = 1 - (F.col("above") - F.col("s")) / F.nullif(greater, F.lit(0))
+    rates = rows.select("_v", F.when(greater == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate))).alias(into))
     return df.withColumn("_v", value).join(rates, "_v").drop("_v")
 
 
 def bh_adjust(df: DataFrame, p: str, into: str, by: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values over all rows, or within groups. Null p-values stay null and do not count.
 
-    Works on distinct (group, p) values with their counts: adjusted = min over larger p of p * n / rank.
+    Works on distinct (group, p) values with their counts: adjusted = min over larger p of p * n / rank. Without groups
+    ranks and minima run by ranges of p; with groups, by windows of the group.
     """
     keys = [*by]
     counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    down = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.withColumn(into, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("n") / F.col("rank")).over(down))).select(*keys, "_p", into)
+    value = F.col("_p") * F.col("n") / F.col("rank")
+    if keys:
+        up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("rank", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+        down = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+        least = ranked.withColumn("least", F.min(value).over(down))
+    else:
+        ranked = running(counts, "_p", {"rank": ("sum", "c")})
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("c").alias("n")))).withColumn("value", value)
+        least = running(ranked, "_p", {"least": ("min", "value")}, descending=True)
+    adjusted = least.select(*keys, "_p", F.least(F.lit(1.0), "least").alias(into))
     return df.withColumn("_p", F.col(p)).join(adjusted, [*keys, "_p"], "left").drop("_p")
 
 

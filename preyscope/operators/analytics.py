@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import bh_adjust, hypergeom_tail, t_two_sided
+from ..functions.lineage import cut
+from ..functions.stats import bh_adjust, hypergeom_tail, running, t_two_sided
 from ..functions.text import features, intensities
 
 
@@ -65,22 +66,22 @@ def retention_curve(scored: DataFrame, steps: int = 20, similarity: str | None =
 
 
 def roc_curve(scored: DataFrame, column: str, descending: bool = True, baits: Sequence[str] | None = None) -> DataFrame:
-    """(threshold, fpr, tpr): one point a distinct value, with (0, 0) first (threshold null); knowns are the positives."""
+    """(threshold, fpr, tpr, d_fpr, d_tpr): one point a distinct value, with (0, 0) first (threshold null); knowns are
+    the positives, and d_fpr and d_tpr are what a point adds. Running sums go by ranges of the value."""
     rows = (scored if baits is None else scored.where(F.col("bait").isin([*baits]))).where(F.col(column).isNotNull())
     value = F.col(column) if descending else -F.col(column)
     counts = rows.groupBy(value.alias("threshold")).agg(F.count_if("is_known").alias("tp"), F.count_if(~F.col("is_known")).alias("fp"))
-    up, whole = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0))
-    share = lambda c: F.sum(c).over(up) / F.nullif(F.sum(c).over(whole), F.lit(0))
-    points = counts.select("threshold", share("fp").alias("fpr"), share("tp").alias("tpr"))
-    start = scored.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return start.union(points.select(F.col("threshold").cast("double"), "fpr", "tpr"))
+    summed = running(counts, "threshold", {"t": ("sum", "tp"), "f": ("sum", "fp")}, descending=True)
+    summed = summed.crossJoin(F.broadcast(summed.agg(F.nullif(F.sum("tp"), F.lit(0)).alias("p"), F.nullif(F.sum("fp"), F.lit(0)).alias("n"))))
+    share = lambda c, whole: (F.col(c) / F.col(whole)).cast("double")
+    points = summed.select(F.col("threshold").cast("double"), share("f", "n").alias("fpr"), share("t", "p").alias("tpr"), share("fp", "n").alias("d_fpr"), share("tp", "p").alias("d_tpr"))
+    start = scored.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), *[F.lit(0.0).alias(c) for c in points.columns[1:]])
+    return start.union(points)
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """The area under a roc_curve() by trapezoids."""
-    w = Window.orderBy("fpr", "tpr")
-    rows = curve.withColumn("f0", F.lag("fpr").over(w)).withColumn("t0", F.lag("tpr").over(w))
-    return rows.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
+    """The area under a roc_curve() by trapezoids, each from its own point and what it adds."""
+    return curve.agg(F.sum(F.col("d_fpr") * (F.col("tpr") - F.col("d_tpr") / 2)).alias("auc"))
 
 
 def evidence_class(scored: DataFrame) -> DataFrame:
@@ -164,8 +165,10 @@ def enrichment(scored: DataFrame, listed: DataFrame, threshold: float, least_all
     of under `least_all` preys or `least_hits` hits are left out; adjustment is by bait and feature type.
     """
     pick = F.max_by("features", "ordinal") if "ordinal" in listed.columns else F.max("features")
-    universe = scored.select("prey").distinct()
+    scored = cut(scored.select("bait", "prey", "score"))
+    universe = cut(scored.select("prey").distinct())
     feats = listed.groupBy("prey", "feature_type").agg(pick.alias("features")).join(universe, "prey", "left_semi").select("prey", "feature_type", F.explode(features(F.col("features"))).alias("feature"))
+    feats = cut(feats)
     m = universe.agg(F.count(F.lit(1)).alias("m_all"))
     total = feats.groupBy("feature_type", "feature").agg(F.count(F.lit(1)).alias("k_all")).where(F.col("k_all") >= least_all)
     hits = scored.where(F.col("score") >= threshold).select("bait", "prey").distinct()
@@ -173,11 +176,12 @@ def enrichment(scored: DataFrame, listed: DataFrame, threshold: float, least_all
     k = hits.join(feats, "prey").groupBy("bait", "feature_type", "feature").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_hits)
     rows = k.join(total, ["feature_type", "feature"]).join(F.broadcast(n), "bait").crossJoin(F.broadcast(m))
     rows = rows.withColumn("p_value", hypergeom_tail(F.col("k"), F.col("n"), F.col("k_all"), F.col("m_all"))).withColumn("enrichment", (F.col("k") / F.col("n")) / (F.col("k_all") / F.col("m_all")))
-    return bh_adjust(rows, "p_value", "adj_p", ["bait", "feature_type"])
+    return bh_adjust(cut(rows), "p_value", "adj_p", ["bait", "feature_type"])
 
 
 def enrichment_matrix(enriched: DataFrame, adj_p: float = 0.05, ratio: float = 2.0, top: int = 30, baits: Sequence[str] | None = None) -> DataFrame:
     """log2 enrichment by feature and bait (1 where missing, 1 at least) of the features that pass for most baits."""
+    enriched = cut(enriched)
     good = enriched.where((F.col("adj_p") <= adj_p) & (F.col("enrichment") >= ratio))
     best = good.groupBy("feature").agg(F.countDistinct("bait").alias("n")).orderBy(F.desc("n"), "feature").limit(top)
     names = [*baits] if baits is not None else [r.bait for r in enriched.select("bait").distinct().orderBy("bait").collect()]

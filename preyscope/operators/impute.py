@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.stats import quantiles
+
 MODES = {"prior": (3, "stddev_pop", 0.95, 0.05, 2), "mixture": (5, "stddev_samp", 0.99, 0.01, 3), "one": (5, "stddev_samp", 0.99, 0.01, 3)}
 
 _erf = np.vectorize(math.erf, otypes=[float])
@@ -36,8 +39,9 @@ def limits(inter: DataFrame, mode: str = "mixture") -> DataFrame:
     y = inter.where("value > 0").withColumn("y", F.log10("value"))
     every = y.agg(F.min("y").alias("least"), getattr(F, sd)("y").alias("sd"))
     by_prey = y.groupBy("prey").agg(F.min("value").alias("lo"), F.avg("value").alias("mean"), F.stddev_samp("y").alias("sd_y"))
-    tops = by_prey.agg(F.log10(F.percentile("lo", F.lit(0.95))).alias("upper_tlim"), F.log10(F.percentile("mean", F.lit(high))).alias("mu_high"), F.percentile("sd_y", F.lit(low)).alias("sigma_floor"))
-    return tops.crossJoin(F.broadcast(every)).select("upper_tlim", (F.col("least") - span * F.col("sd")).alias("mu_low"), "mu_high", "sigma_floor")
+    tops = quantiles(cut(by_prey), {"upper": ("lo", 0.95), "high": ("mean", high), "sigma_floor": ("sd_y", low)})
+    rows = tops.crossJoin(F.broadcast(every))
+    return rows.select(F.log10("upper").alias("upper_tlim"), (F.col("least") - span * F.col("sd")).alias("mu_low"), F.log10("high").alias("mu_high"), "sigma_floor")
 
 
 def censor_stats(inter: DataFrame, n_experiments: Column, bounds: DataFrame, mode: str = "mixture", values: bool = False) -> DataFrame:
@@ -76,16 +80,20 @@ def _search(value: Callable[[np.ndarray, np.ndarray], np.ndarray], low: np.ndarr
 
 
 def _fit(stats: DataFrame, value: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """stats with mu and sigma that maximise value, in Arrow batches of one compact row a prey."""
+    """stats with mu and sigma that maximise value, in Arrow batches of one compact row a prey.
+
+    All columns pass through the function, so stats are read once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 low, high = p[["mu_low", "sigma_floor"]].to_numpy(float), p[["mu_high", "sigma_high"]].to_numpy(float)
                 best = _search(value(p), low, np.maximum(low, high), p[["mu0", "sigma0"]].to_numpy(float))
-                yield pd.DataFrame({"prey": p.prey, "mu": best[:, 0], "sigma": best[:, 1]})
+                yield p.assign(mu=best[:, 0], sigma=best[:, 1])
 
-    return stats.join(stats.mapInPandas(run, "prey string, mu double, sigma double"), "prey")
+    schema = ", ".join(f"`{c}` {t}" for c, t in stats.dtypes)
+    return stats.mapInPandas(run, f"{schema}, mu double, sigma double")
 
 
 def _column(p: pd.DataFrame, name: str) -> np.ndarray:
@@ -203,16 +211,16 @@ def impute(inter: DataFrame, design: DataFrame, preys: DataFrame, mode: str = "m
 
     Preys without a value other than their own bait's are skipped: mu is the limit and sigma null.
     """
-    bounds = limits(inter, mode)
+    bounds = cut(limits(inter, mode))
     rows = exclude_self(inter, design)
     own = design.where("bait_id is not null").groupBy(F.col("bait_id").alias("prey")).agg(F.count(F.lit(1)).alias("own"))
     n = design.agg(F.count(F.lit(1)).alias("n"))
     stats = censor_stats(rows, F.lit(0), bounds, mode, values=mode == "prior").crossJoin(F.broadcast(n)).join(F.broadcast(own), "prey", "left")
-    stats = stats.withColumn("n_zero", F.col("n") - F.coalesce("own", F.lit(0)) - F.col("n_obs"))
+    stats = cut(stats.withColumn("n_zero", F.col("n") - F.coalesce("own", F.lit(0)) - F.col("n_obs")).drop("n", "own"))
     fits = fit(stats, mode, pi).select("prey", "mu", "sigma", "tlim")
     skipped = preys.select("prey").join(stats.select("prey"), "prey", "left_anti").crossJoin(F.broadcast(bounds.select("upper_tlim")))
     every = fits.unionByName(skipped.select("prey", F.col("upper_tlim").alias("mu"), F.lit(None).cast("double").alias("sigma"), F.col("upper_tlim").alias("tlim")))
-    out = reject_outliers(every, nan_aware=mode != "prior")
+    out = reject_outliers(cut(every), nan_aware=mode != "prior")
     return out.withColumn("imputed_mu", F.when(F.col("imputed"), F.pow(F.lit(10.0), "mu")).otherwise(0.0))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import scoring
 
 GAMMA_LIMIT = 10.0
@@ -91,7 +92,7 @@ def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_repl
     for _ in range(rounds):
         labelled = rows.withColumn("z", z)
         near = neighbour_support(labelled, edges, symmetric)
-        rows = labelled.drop("support", "neighbours", "z").join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+        rows = cut(labelled.drop("support", "neighbours", "z").join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))))
         odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
         z = odds >= 0
         beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))

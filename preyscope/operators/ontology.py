@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.lineage import cut
 
 # Weights of the two kinds of edges, and the constant of the weight.
@@ -33,7 +34,7 @@ def semantic_values(edge: DataFrame, most: int = 64) -> DataFrame:
     is deep; each round is checkpointed.
     """
     step = edge.groupBy("namespace", "child", "parent").agg(F.max("weight").alias("weight")) if "weight" in edge.columns else weigh(edge).groupBy("namespace", "child", "parent").agg(F.max("weight").alias("weight"))
-    step = step.cache()
+    step = cut(step)
     nodes = step.select("namespace", F.col("child").alias("term")).union(step.select("namespace", "parent")).distinct()
     best = cut(nodes.select("namespace", "term", F.col("term").alias("ancestor"), F.lit(1.0).alias("value")))
     frontier = best
@@ -96,9 +97,7 @@ def all_pairs(genes: DataFrame, listed: DataFrame) -> DataFrame:
 
 def upper_median(similar: DataFrame) -> DataFrame:
     """The upper median similarity by namespace."""
-    w = Window.partitionBy("namespace")
-    ranked = similar.withColumn("r", F.row_number().over(w.orderBy("similarity"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.where("r = n div 2 + 1").select("namespace", F.col("similarity").alias("preference"))
+    return stats.upper_median(similar, "similarity", ["namespace"]).withColumnRenamed("median", "preference")
 
 
 def semantic_pairs(scored: DataFrame, terms: DataFrame, values: DataFrame) -> DataFrame:

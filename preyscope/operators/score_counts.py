@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.stats import gp_log_pmf
 from . import scoring
 
@@ -40,15 +41,14 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls:
     mu = TRUE_FACTOR * F.col("eta")
     lt = gp_log_pmf(F.floor(F.least(F.col("y"), mu)), mu, F.lit(TRUE_DISPERSION))
     lf = gp_log_pmf(F.floor(F.greatest(F.col("y"), F.col("eta"))), F.col("eta"), F.col("lambda2"))
-    seen = rows.groupBy(*keys, "bait").agg(F.max("y").alias("most"))
-    rows = rows.withColumn("lt", lt).withColumn("lf", lf).withColumn("z0", F.col("y") > 2 * F.col("eta"))
-    return rows.join(seen, [*keys, "bait"]).withColumn("skip", F.col("most") == 0)
+    rows = rows.withColumn("most", F.max("y").over(Window.partitionBy(*keys, "bait"))).withColumn("lt", lt).withColumn("lf", lf).withColumn("z0", F.col("y") > 2 * F.col("eta"))
+    return rows.withColumn("skip", F.col("most") == 0)
 
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value): densities, rounds, posterior, report."""
-    keys, inter = [*by, "prey", "bait"], inter.cache()
-    cells = densities(inter, design, preys, n_controls, by).cache()
+    keys, inter = [*by, "prey", "bait"], cut(inter)
+    cells = cut(densities(inter, design, preys, n_controls, by))
     beta = scoring._per_group(scoring.settle_labels(cells, by, rounds), by)
     odds = beta + F.col("lt") - F.col("lf")
     none = (F.col("y") <= 1) | (F.col("y") <= F.col("ctrl_mean")) | (F.col("most") == 1)

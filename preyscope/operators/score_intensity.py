@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import normal_log_pdf_clamped
+from ..functions.lineage import cut
+from ..functions.stats import normal_log_pdf_clamped, upper_median
 from . import scoring
 
 SHIFT_FLOOR, FIRST_LABEL = math.log(4), math.log(5)
@@ -36,8 +37,8 @@ def default_missing_value(controls: DataFrame, by: Sequence[str] = ()) -> DataFr
 def sd_line(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Regression of ln sd on mean over fully observed preys, and the floor: exp of the upper median of ln sd."""
     full = controls.where("n = n_ctrl and sd > 0").withColumn("ln_sd", F.log("sd"))
-    logs = F.sort_array(F.collect_list("ln_sd"))
-    return full.groupBy(*by).agg(F.regr_slope("ln_sd", "mean").alias("slope"), F.regr_intercept("ln_sd", "mean").alias("intercept"), F.exp(F.get(logs, F.floor(F.size(logs) / 2).cast("int"))).alias("floor"))
+    line = full.groupBy(*by).agg(F.regr_slope("ln_sd", "mean").alias("slope"), F.regr_intercept("ln_sd", "mean").alias("intercept"))
+    return scoring._cross(line, upper_median(full, "ln_sd", by), by).withColumn("floor", F.exp("median")).drop("median")
 
 
 def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +47,7 @@ def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, cells: DataF
     preys may have `imputed_mu` (linear scale): its standardised logarithm is the prey's missing value.
     """
     keys = [*by, "prey"]
-    controls = _controls(std, design, by)
+    controls = cut(_controls(std, design, by))
     one = default_missing_value(controls, by)
     line = sd_line(controls, by)
     scale = std.groupBy(*by).agg(F.first("mean_ln").alias("mean_ln"), F.first("sd_ln").alias("sd_ln"))
@@ -55,7 +56,7 @@ def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, cells: DataF
     own = F.when(F.col("mu") > 0, (F.log("mu") - F.col("mean_ln")) / F.col("sd_ln"))
     rows = rows.withColumn("t", F.coalesce(F.nullif(own, F.lit(0.0)), "t0")).join(controls.select(*keys, "n", "mean", "sd"), keys, "left")
     sd = F.when(F.coalesce("n", F.lit(0)) == 0, F.col("floor")).when(F.col("n") >= 3, F.col("sd")).otherwise(F.exp(F.col("mean") * F.col("slope") + F.col("intercept")))
-    rows = rows.withColumn("eta", F.coalesce("mean", "t")).withColumn("sd_false", F.greatest("floor", sd))
+    rows = cut(rows.withColumn("eta", F.coalesce("mean", "t")).withColumn("sd_false", F.greatest("floor", sd)))
     test = cells.select(*keys, "y").where("y is not null").join(rows.select(*keys, "eta"), keys)
     shift = test.groupBy(*keys).agg(F.avg(F.when(F.col("y") > F.col("eta"), F.col("y"))).alias("up"), F.stddev_samp(F.when(F.col("y") > F.col("eta") + FIRST_LABEL, F.col("y"))).alias("spread"))
     rows = rows.join(shift, keys, "left").withColumn("d", F.greatest(F.lit(SHIFT_FLOOR), F.coalesce(F.col("up") - F.col("eta"), F.lit(0.0))))
@@ -64,23 +65,23 @@ def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, cells: DataF
 
 def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Replicate cells with y (null: missing), the prey's parameters, lt, lf, z0 and skip; missing y is taken at t."""
-    return _densities(log_standardise(inter, by), design, preys, by)
+    return _densities(cut(log_standardise(inter, by)), design, preys, by)
 
 
 def _densities(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "prey"]
-    cells = scoring.replicate_cells(std, design, preys, by).cache()
-    rows = cells.join(parameters(std, design, preys, cells, by), keys).withColumn("at", F.coalesce("y", "t"))
+    cells = cut(scoring.replicate_cells(std, design, preys, by))
+    rows = cells.join(cut(parameters(std, design, preys, cells, by)), keys).withColumn("at", F.coalesce("y", "t"))
     top = F.col("eta") + F.col("d")
     rows = rows.withColumn("lt", normal_log_pdf_clamped(F.least("at", top), top, F.col("sd_true"))).withColumn("lf", normal_log_pdf_clamped(F.greatest("at", "eta"), F.col("eta"), F.col("sd_false")))
-    seen = rows.groupBy(*keys, "bait").agg(F.count("y").alias("n_seen"))
-    return rows.withColumn("z0", F.coalesce(F.col("y") > F.col("eta") + FIRST_LABEL, F.lit(False))).join(seen, [*keys, "bait"]).withColumn("skip", F.col("n_seen") == 0)
+    rows = rows.withColumn("z0", F.coalesce(F.col("y") > F.col("eta") + FIRST_LABEL, F.lit(False)))
+    return rows.withColumn("skip", F.count("y").over(Window.partitionBy(*keys, "bait")) == 0)
 
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value); preys(prey, gene[, imputed_mu])."""
-    keys, std = [*by, "prey", "bait"], log_standardise(inter, by).cache()
-    cells = _densities(std, design, preys, by).cache()
+    keys, std = [*by, "prey", "bait"], cut(log_standardise(inter, by))
+    cells = cut(_densities(std, design, preys, by))
     beta = scoring._per_group(scoring.settle_labels(cells, by, rounds), by)
     odds = beta + F.col("lt") - F.col("lf")
     scored = cells.withColumn("log_odds", odds).withColumn("score", F.when(F.col("y").isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds))))

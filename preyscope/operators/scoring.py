@@ -1,8 +1,8 @@
 """Posterior scores of bait-prey pairs: what the count and the intensity model share.
 
 A model gives each replicate cell of a pair two log densities, `lt` (true) and `lf` (false). Labels follow
-beta + lt - lf >= 0; beta has a closed form given the labels; a few rounds of both are aggregates over one cached
-column. With `by` columns (paired-control groups) all of it runs for all groups in the same jobs.
+beta + lt - lf >= 0; beta has a closed form given the labels; a few rounds of both are aggregates over one written
+table. With `by` columns (paired-control groups) all of it runs for all groups in the same jobs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.stats import tail_fdr
 
 BETA_LIMIT = 15.0
@@ -144,7 +145,7 @@ def report(pairs: DataFrame, scored: DataFrame, controls: DataFrame, keys: Seque
     )
     ctrl = controls.groupBy(*[k for k in keys if k != "bait"]).agg(F.array_join(F.transform(F.sort_array(F.collect_list("value"), asc=False), lambda v: F.round(v, digits).cast("string")), "|").alias("ctrl_values"))
     rows = pairs.join(listed, [*keys]).join(ctrl, [k for k in keys if k != "bait"], "left").withColumn("avg", F.col("sum") / F.col("n_rep"))
-    rows = tail_fdr(rows.withColumn("avg_p", F.round("avg_p", 9)), "avg_p")
+    rows = tail_fdr(cut(rows.withColumn("avg_p", F.round("avg_p", 9))), "avg_p")
     return rows.withColumns({c: F.round(c, digits) for c in ("avg_p", "max_p", "log_odds", "fold_change", "bfdr", "avg", "sum")})
 
 

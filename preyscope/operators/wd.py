@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import bh_adjust
+from ..functions.lineage import cut
+from ..functions.stats import bh_adjust, quantiles
 
 
 def dedupe_replicates(counts: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def quantile_normalise(df: DataFrame, score: str, quantile: float | None) -> Dat
     """Scores divided by a quantile (interpolated) of the positive ones."""
     if not quantile:
         return df
-    at = df.agg(F.percentile(F.when(F.col(score) > 0, F.col(score)), F.lit(quantile)).alias("_q"))
+    at = quantiles(df.where(F.col(score) > 0), {"_q": (score, quantile)})
     return df.crossJoin(F.broadcast(at)).withColumn(score, F.col(score) / F.col("_q")).drop("_q")
 
 
@@ -72,9 +73,9 @@ def permutation_p(df: DataFrame, nan_as_zero: bool = False) -> DataFrame:
     """p: the chance that a shuffle of the prey's cells over all K experiments puts a greater score here.
 
     Shuffling moves whole cells, so the expected share is (number of greater scores of the prey) / K: the limit of
-    resampling, without resampling. A null score has a null p, or 0 on request.
+    resampling, without resampling. A null score has a null p, or 0 on request. Scores that agree in nine digits are ties.
     """
-    rank = F.rank().over(Window.partitionBy("prey").orderBy(F.col("wd").desc_nulls_last())) - 1
+    rank = F.rank().over(Window.partitionBy("prey").orderBy(F.round("wd", 9).desc_nulls_last())) - 1
     p = rank / F.col("k")
     return df.withColumn("p_value", F.when(F.col("wd").isNotNull(), p).otherwise(F.lit(0.0 if nan_as_zero else None).cast("double")))
 
@@ -90,10 +91,10 @@ def resampled_p(df: DataFrame, iterations: int, seed: int = 1) -> DataFrame:
 
 def wd_scores(counts: DataFrame, quantile: float | None = 0.98, iterations: int | None = None, seed: int = 1) -> DataFrame:
     """All scores of (experiment, replicate, bait, prey, count): entropy, z, wd (normalised), p_value, wd_fdr."""
-    rows = prey_statistics(average_counts(counts)).withColumn("z", z_score()).withColumn("wd", wd_score())
+    rows = cut(prey_statistics(cut(average_counts(counts))).withColumn("z", z_score()).withColumn("wd", wd_score()))
     rows = quantile_normalise(rows, "wd", quantile)
     rows = resampled_p(rows, iterations, seed) if iterations else permutation_p(rows)
-    return bh_adjust(rows, "p_value", "wd_fdr")
+    return bh_adjust(cut(rows), "p_value", "wd_fdr")
 
 
 def d_scores(counts: DataFrame, by_counts: bool = True) -> DataFrame:

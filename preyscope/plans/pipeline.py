@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.stats import tail_fdr
 from ..operators import annotate, groups, impute, ingest, score_counts, score_intensity, wd
 from ..operators.validate import validate_design
@@ -30,20 +31,21 @@ def load(spark: SparkSession, kind: str, path: str, design: DataFrame, quant: st
     return ingest.drop_zero(inter), ingest.name_preys(wide)
 
 
-def score(inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, **how: int) -> DataFrame:
-    """Posterior and wd scores, merged. A grouped design is scored for all its groups at once, with bfdr over them all."""
-    inter = ingest.drop_control_only(ingest.drop_zero(inter), design).cache()
+def score(inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, iterations: int | None = None, **how: int) -> DataFrame:
+    """Posterior and wd scores, merged; `iterations` draws p-values instead of taking them exactly. A grouped design is scored for all its groups at once, with bfdr over them all."""
+    inter, design = cut(ingest.drop_control_only(ingest.drop_zero(inter), design)), cut(design)
     if imputation and quant != "spc":
         share = pi if pi is not None else impute.estimate_pi(inter, design) if imputation == "mixture" else 0.0
-        preys = preys.join(impute.impute(inter, design, preys, imputation, share).select("prey", "imputed_mu"), "prey", "left")
+        found = cut(impute.impute(inter, design, preys, imputation, share).select("prey", "imputed_mu"))
+        preys = cut(preys.drop("imputed_mu").join(found, "prey", "left"))
     run = score_counts.score if quant == "spc" else score_intensity.score
     if groups.is_grouped(design):
         members = groups.memberships(design)
         scored = run(groups.scope_to_groups(inter, members), members, preys, by=["source_group"], **how)
-        scored = tail_fdr(scored.drop("bfdr"), "avg_p")
+        scored = tail_fdr(cut(scored.drop("bfdr")), "avg_p")
     else:
         scored = run(inter, design, preys, **how)
-    return annotate.merge_scores(scored, wd.wd_scores(ingest.wd_table(inter, design)))
+    return annotate.merge_scores(cut(scored), cut(wd.wd_scores(ingest.wd_table(inter, design), iterations=iterations)))
 
 
 def run(spark: SparkSession, kind: str, data: str, design_path: str, quant: str = "intensity", imputation: str | None = None, annotations: dict[str, DataFrame] | None = None, **how: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
+from ..functions.lineage import cut, shared_folder
 from ..operators import affinity, analytics, annotate, groups, impute, ingest, network, ontology, score_counts, score_intensity, scoring, validate, wd
 from ..sources import readers, writers
 from . import pipeline, views
@@ -400,7 +400,7 @@ def neighbour_support(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def topology_scores(spark: SparkSession, sf: str) -> DataFrame:
     inter, design, preys = _counts(spark, sf), views.design(spark, sf), views.preys(spark, sf)
-    cells = score_counts.densities(inter, design, preys).cache()
+    cells = cut(score_counts.densities(inter, design, preys))
     pairs = score_counts.score(inter, design, preys, rounds=3).select("prey", "bait", "avg_p")
     return rounded(network.topology_scores(cells, prey_edges(spark, sf), pairs), 4)
 
@@ -559,7 +559,7 @@ def retention_curve(spark: SparkSession, sf: str) -> DataFrame:
   from scored group by wd window w as (order by wd desc rows between unbounded preceding and current row))
 select null::double threshold, 0.0::double fpr, 0.0::double tpr union all select threshold, round(fpr, 6), round(tpr, 6) from rp""")
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(analytics.roc_curve(scored_view(spark, sf), "wd"))
+    return rounded(analytics.roc_curve(scored_view(spark, sf), "wd").select("threshold", "fpr", "tpr"))
 
 
 @query(SCORED + """, rp as (select sum(count(*) filter (not is_known)) over w / sum(count(*) filter (not is_known)) over () f, sum(count(*) filter (is_known)) over w / sum(count(*) filter (is_known)) over () t
@@ -626,8 +626,7 @@ def enrichment_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="preyscope-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query('select experiment, bait, prey, spc "value" from inter')
