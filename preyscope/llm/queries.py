@@ -25,13 +25,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     order = [rule for rule, _, _ in quality.rank_rules(docs)]
     out = quality.cascade(docs.select("doc_id", "text"), order)
-    failed = F.lit(False)
-    for rule in quality.RULES:
-        if rule.name in quality.BASE:
-            failed = failed | rule.rejects({c: F.col(c) for c in rule.reads})
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"),
+        "base_failed", F.col("rejected_by").isNull().alias("kept"),
     )
 
 
@@ -60,11 +56,47 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.compare_with_next(documents(spark, sf_dir))
+    return edit_embedding.compare_with_next(documents(spark, sf_dir), classes=True)
 
 
 QUERIES = {
     f.__name__: f
     for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints)
 }
-ORACLE: dict[str, str] = {}
+
+_WORD = r"[^\x20\x09-\x0D]"
+#: SQL for whole results; the other operators hash with functions that the oracle lacks, or are trained models.
+ORACLE: dict[str, str] = {
+    "op4_quality": rf"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l,
+  row_number() over () r from documents),
+u as (select r, unnest(w) x, generate_subscripts(w, 1) i from d),
+v as (select r, i, x a, lead(x) over p b, lead(x, 2) over p c from u window p as (partition by r order by i)),
+g as (select r, unnest([i, i + 1, i + 2]) i from (select *, count(*) over (partition by r, a, b, c) n from v where c is not null) where n > 1),
+n as (select r, count(distinct i) n_repeat_words from g group by 1),
+k as (select r, count(*) pairs, count(distinct (a, b)) different from v where b is not null group by 1),
+m as (select doc_id, t, l, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols,
+  len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, coalesce(pairs, 0) pairs, coalesce(different, 0) different from d left join n using (r) left join k using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 10 * n_symbols > 3 * n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+  or 2 * n_dup_lines > len(l) or 10 * length(regexp_replace(t, '[^\p{{L}}\p{{M}}]+', '', 'g')) < 7 * word_chars or (pairs > 0 and 10 * different < 3 * pairs)
+  or (len(l) >= 5 and 10 * len(list_filter(l, lambda x: len(regexp_extract_all(x, '{_WORD}+')) < 3)) > 8 * len(l))) kept from b""",
+    "op6_substrings": rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') w, row_number() over (order by doc_id nulls first, text) r from documents),
+u as (select r, unnest(w) x, generate_subscripts(w, 1) i from d),
+k as (select r, i, x, list(x) over (partition by r order by i rows between current row and 19 following) k from u),
+f as (select r, i, x, len(k) = 20 and row_number() over (partition by k order by r, i) > 1 again from k),
+c as (select r, i, x, bool_or(again) over (partition by r order by i rows between 19 preceding and current row) gone from f),
+o as (select r, count(*) filter (gone) n_removed, coalesce(string_agg(x, ' ' order by i) filter (not gone), '') kept from c group by 1)
+select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join o using (r)""",
+    "op7_suffixes": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, row_number() over (order by doc_id nulls first, text) r from documents),
+b as (select r, b, len(h) // 2 n, substr(h, 1000 * b + 1, 1198) h from (select *, unnest(range(0, (len(h) + 999) // 1000)) b from d)),
+k as (select r, 500 * b i0, h, unnest(range(1, least(500, n - 500 * b) + 1)) i from b),
+w as (select r, i0 + i i, substr(h, 2 * i - 1, 2) x, substr(h, 2 * i - 1, 200) k from k),
+f as (select r, i, x, len(k) = 200 and row_number() over (partition by k order by r, i) > 1 again from w),
+c as (select r, i, x, bool_or(again) over (partition by r order by i rows between 99 preceding and current row) gone from f),
+e as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) edge from c),
+o as (select r, count(*) filter (gone) n_removed, count(*) filter (edge) n_spans, string_agg(x, '' order by i) filter (not gone) kept from e group by 1)
+select doc_id, len(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join o using (r)""",
+}
