@@ -2,8 +2,8 @@
 
 Features are hashed character n-grams (one to three letters of lower-cased words) with square-root counts, scaled to
 length one. A linear SVM for each family against the others picks the family; each pair of languages of a family has an
-SVM of its own, and the language with the most wins (then the largest margins) is predicted. Training collects a
-bounded sample of labelled rows and runs on the driver; the weights, a few hundred kB at any input size, go to the
+SVM of its own, and the language with the most wins (then the largest margins) is predicted. Training collects the
+features of a bounded sample of labelled rows, taken from whole texts where they are, and runs on the driver; the weights, a few hundred kB at any input size, go to the
 executors with the function, which scores whole texts where they are.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 12
-#: Labelled rows used for training at most, and characters read of each of them: the bound of the sample.
-TRAIN_ROWS, TRAIN_CHARS = 3000, 3000
+#: Labelled rows used for training, the bound of the sample: shared among the languages, one of each at least.
+TRAIN_ROWS = 3000
 EPOCHS, C = 6, 1e-4
 
 # Families of languages by ISO 639-1 code; other languages are families of their own.
@@ -128,31 +128,46 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most `rows` rows that are not held out, with as many of each language as there are and fit in.
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """A model from about `rows` rows that are not held out, with as many of each language as there are and fit in.
 
-    Rows are taken by hash of doc_id, not by place. Only text and lang are learnt from; languages and their counts come
-    from all rows. Without any labelled row the model predicts und.
+    Rows are taken by the smallest hashes of doc_id and text, not by place: first the hashes alone, whose share for each
+    language follows from its count, then the features of the whole texts below each language's last one. Rows that
+    repeat an id and text are one. Only text and lang are learnt from; languages and their counts come from all rows.
+    Without any labelled row the model predicts und.
     """
-    labelled = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    labelled = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    h = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 40))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((0, BUCKETS + 1)), {})
     each = max(1, rows // len(counts))
-    chance = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.3 * each / n + 8 / n)))])
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < F.element_at(chance, F.col("lang")) * (1 << 20))
-    sample: dict[str, list[str]] = {}
-    for r in drawn.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.lit(12), "doc_id").alias("h")).orderBy("h").limit(2 * rows + 64 * len(counts)).collect():
-        if len(have := sample.setdefault(r.lang, [])) < each:
-            have.append(r.text)
-    x = np.empty((sum(map(len, sample.values())), BUCKETS), np.float32)  # one block, given back to the system as a whole
-    labels: list[str] = []
-    for lang, texts in sorted(sample.items()):
-        for text in texts:
-            if (v := features(text)) is not None:
-                x[len(labels)] = v
-                labels.append(lang)
-    x, y, langs = x[: len(labels)], np.array(labels), sorted({*labels})
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        return labelled.where(F.col("h") <= F.element_at(F.create_map(*[x for lang, limit in limits.items() for x in (F.lit(lang), F.lit(limit))]), F.col("lang")))
+
+    share = {lang: min(1 << 40, int((1 << 40) * (1.3 * each / n + 16 / n))) for lang, n in counts.items()}
+    seen: dict[str, list[int]] = {lang: [] for lang in counts}
+    for r in below(share).select("lang", "h").distinct().collect():
+        seen[r.lang].append(r.h)
+    found = below({lang: sorted(own)[:each][-1] for lang, own in seen.items() if own}).dropDuplicates(["lang", "h"]).select("lang", "text", "h")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text, h in zip(*batch.columns, strict=True):
+                if (v := features(text.as_py())) is not None:
+                    at = np.flatnonzero(v)
+                    columns = [pa.array([lang.as_py()]), pa.array([h.as_py()]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([v[at].astype("<f4").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*"abcd"])
+
+    sample = sorted(found.mapInArrow(gather, "lang string, h long, at binary, v binary").collect(), key=lambda r: (r.lang, r.h))
+    x = np.zeros((len(sample), BUCKETS), np.float32)
+    for k, r in enumerate(sample):
+        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["v"], "<f4")
+    labels = [r.lang for r in sample]
+    del sample
+    y, langs = np.array(labels), sorted({*labels})
     if not langs:
         return Model([], np.zeros((0, BUCKETS + 1)), {})
     family = np.array([family_of(lang) for lang in y])
@@ -168,7 +183,11 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs(doc_id, text); lang, source and doc_id are no inputs."""
+    """doc_id, lang_pred, score for every row of docs(doc_id, text); lang, source and doc_id are no inputs.
+
+    Null texts and texts without a letter are und with score 0; equal texts have equal results, and repeated rows each
+    have theirs. Ties go to the first name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

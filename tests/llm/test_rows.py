@@ -1,16 +1,19 @@
 """Row-wise operators against brute force: licences, personal data, quality, language ID, tokenizer."""
 
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from preyscope.llm import langid, licenses, pii, quality, sentencepiece_codec
 
-from .helpers import LOW, WORD, corpus, frame, rows_of, run, sha, with_extra
+from .helpers import LOW, WORD, corpus, frame, prose, rows_of, run, sha, with_extra
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -107,22 +110,54 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len({*lines}), len(covered)
 
 
+def brute_rules(text):
+    """The names of the cascade's rules that reject a text, base rules apart."""
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, covered = brute_quality(text)
+    pairs = [*zip(words, words[1:], strict=False)]
+    rules = {
+        "symbols": 10 * symbols > 3 * n, "word_length": chars < 2 * n or chars > 15 * n, "repeated_lines": 2 * dup > len(lines),
+        "few_letters": 10 * sum(unicodedata.category(c)[0] in "LM" for c in text) < 7 * chars, "same_pairs": bool(pairs) and 10 * len({*pairs}) < 3 * len(pairs),
+        "short_lines": len(lines) >= 5 and 10 * sum(len(WORD.findall(x)) < 3 for x in lines) > 8 * len(lines),
+    }
+    return n < 50 or 100 * covered > 50 * n, {k for k, v in rules.items() if v}
+
+
 def test_quality(spark):
-    texts = [*corpus(2, 10), "a b c", "a b c d a b c", "x\nx\n\n \nx\ny", "| # $ " * 30, "a a a", "a a a a", "é ü\x0bß\x0cz\x1cq"]
-    docs = with_extra(frame(spark, rows_of(texts)))
+    rng = random.Random(8)
+    odd = ["a b c", "a b c d a b c", "x\nx\n\n \nx\ny", "| # $ " * 30, "a a a", "a a a a", "é ü\x0bß\x0cz\x1cq"]
+    odd += ["".join(f"{rng.choice('abc')} {rng.randrange(10**6)}\n" for _ in range(80)), " ".join(rng.choice(["ab cd", "cd ab ef", "ef ab"]) + f" q{k}q" for k in range(60)), "\n".join(["same line here and there"] * 9 + [prose(rng, 60)])]
+    odd += [" ".join(f"{a}" for a in rng.choices("abcdefghij", k=300)), "supercalifragilistic-word" + " supercalifragilistic-words".join(map(str, range(80))), prose(rng, 60) + " %%% $$$" * 9, prose(rng, 50_000, 3000)]
+    texts = [*corpus(2, 10), *odd, odd[7], None]
+    docs = with_extra(frame(spark, [*rows_of(texts), (None, "no id", None, None, 5)]))
     ranked = quality.rank_rules(docs)
     assert {r.name for r, _, _ in ranked} == {r.name for r in quality.RULES} and all(a[1] / a[2] >= b[1] / b[2] for a, b in zip(ranked, ranked[1:], strict=False))
-    kept = []
+    kept, names = [], set()
     for order in ([r for r, _, _ in ranked], [*quality.RULES], [*reversed(quality.RULES)]):
         out = {r.doc_id: r for r in quality.cascade(docs, order).collect()}
+        assert out.pop(None).base_failed
         assert {k: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for k, r in out.items()} == {k: brute_quality(t) for k, t in enumerate(texts)}
-        short = {r.doc_id: r.rejected_by for r in quality.cascade(docs, order, keep_measures=False).collect()}
-        assert short == {k: r.rejected_by for k, r in out.items()}
+        for k, text in enumerate(texts):
+            failed, rules = brute_rules(text)
+            assert out[k].base_failed == failed and out[k].rejected_by == ("base" if failed else next((r.name for r in order if r.name in rules), None)), (k, text and text[:60])
+            names |= {out[k].rejected_by}
         kept.append({k for k, r in out.items() if r.rejected_by is None})
-    assert kept[0] == kept[1] == kept[2]
+    assert kept[0] == kept[1] == kept[2] and kept[0] and names >= {"base", "symbols", "few_letters", "repeated_lines"}
     assert quality.rank_rules(frame(spark, [])) and quality.cascade(frame(spark, []), [*quality.RULES]).count() == 0
 
 
+def test_rejected_rows_skip_later_rules(spark):
+    """A rule that fails when it is evaluated does no harm to rows that are rejected before."""
+    fails = quality.Rule("fails", lambda t, m: F.when(t.contains("$$$"), F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    rng = random.Random(2)
+    docs = frame(spark, rows_of([prose(rng, 60) + " $$$" * 30, prose(rng, 60), "short $$$"]))
+    out = {r.doc_id: r.rejected_by for r in quality.cascade(docs, [quality.RULES[0], fails]).collect()}
+    assert out == {0: "symbols", 1: None, 2: "base"}
+    with pytest.raises(Exception, match="evaluated"):
+        quality.cascade(docs, [fails, quality.RULES[0]]).collect()
+
+
 def test_language_id(spark):
     import pyarrow.parquet as pq
 
@@ -168,3 +203,21 @@ def test_heap_and_batch_agenda_agree():
         v.single[len(v.text) + len(v.symbol)] = c
         v.symbol[c] = len(v.text) + len(v.symbol)
     assert v.encode_short(parts) == [v.encode_long(p) for p in parts]
+
+
+def test_language_id_learns_from_whole_texts_and_odd_rows(spark):
+    """What tells the languages apart comes late in the text; ids are null or repeated, and there are many languages."""
+    rng = random.Random(5)
+    words = {"en": "the and with house water green", "de": "und der nicht haus wasser grün", "xx": "kaloma tirevu ponase wumika"}
+    same = "12 34 - " * 1000
+    rows = [(None if k % 3 == 0 else k // 2, same + " ".join(rng.choice(w.split()) for _ in range(60)), lang, None, None) for lang, w in words.items() for k in range(40)]
+    rows += [(k, f"{same} zq{k:03d} " * 3, f"l{k:03d}", None, None) for k in range(300)] + rows[:5]
+    docs = frame(spark, rows)
+    model = langid.train(docs)
+    assert {lang for names in model.languages.values() for lang in names} >= {*words, *[f"l{k:03d}" for k in range(300) if zlib.crc32(str(k).encode()) % 3 != 1]}
+    out = langid.predict(docs, model).collect()
+    assert len(out) == len(rows)
+    model = langid.train(docs.where("length(lang) = 2"))
+    assert all(model.predict(same + " ".join(rng.choice(w.split()) for _ in range(60)))[0] == lang for lang, w in words.items())
+    again = langid.train(docs.where("length(lang) = 2").repartition(7))
+    assert (again.family_weights == model.family_weights).all()
