@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from preyscope.llm import anchors, substrings, suffixes
+from preyscope.llm import anchors, queries, substrings, suffixes
 
 from .helpers import corpus, frame, prose, rows_of, run, sha, with_extra
 
@@ -102,3 +102,58 @@ def test_pieces_of_long_texts_agree():
 
     whole = windows(1 << 20)
     assert len(whole) == len(x) - 19 and windows(100) == whole and windows(257) == whole
+
+
+def plain_factors(blocks, window):
+    """Greedy factors of each block in turn against all earlier ones, by comparing words at every place."""
+    out = []
+    for k, (did, s, x) in enumerate(blocks):
+        p, end = 0, 0
+        while p + window <= len(x):
+            best = (0, None)
+            for other, start, y in blocks[:k]:
+                for q in range(len(y)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= window and n > best[0]:
+                        best = (n, (other, start + q))
+            if best[1] and p < end:
+                out.append((did, s + p, window))
+            elif best[1]:
+                out.append((did, s + p, best[0]))
+                end = p + best[0]
+                p = end - window
+            p += 1
+    return out
+
+
+def test_factors_against_a_plain_parser(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT_DOCS", 10**9)
+    rng = random.Random(9)
+    texts = corpus(7, 30)
+    for k in range(25):  # one passage with changes at many places
+        x = prose(random.Random(3), 60).split(" ")
+        x[rng.randrange(60)] = f"new{k}"
+        texts.append(prose(rng, 5) + " " + " ".join(x) + " " + prose(rng, rng.randrange(9)))
+    rows = anchors.numbered(frame(spark, rows_of(texts)))
+    found = anchors.repeats(rows, substrings.word_hashes, anchors.Shape(20, 8))
+    blocks = substrings._blocks(rows, found.where(f"kind = {anchors.CONTESTED}"), 20)
+    by_key = {}
+    for r in blocks.collect():
+        by_key.setdefault(r.key, []).append((r.did, r.s, bytes(r.words).split(b" ")))
+    expected = sorted(f for own in by_key.values() for f in plain_factors(sorted(own), 20))
+    out = substrings.factors(blocks).collect()
+    assert sorted((r.did, r.s, r.n) for r in out) == expected and len(expected) > 50
+    split = {k: (t or "").encode().split() for k, t in enumerate(texts)}
+    for r in out:
+        assert (r.ref_did, r.ref_s) < (r.did, r.s) and split[r.did][r.s : r.s + r.n] == split[r.ref_did][r.ref_s : r.ref_s + r.n]
+    assert max(r.n for r in out) > 20
+
+
+def test_registered_queries_of_repeats(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    pairs = [(r.doc_id, r.text) for r in docs]
+    expected = [(i, n, g, d) for i, n, g, _, d in brute(pairs, words, b" ".join, 20)]
+    assert run(queries.op6_substrings(spark, "/root/testdata/sf0.001")) == sorted(expected, key=repr)
+    assert run(queries.op7_suffixes(spark, "/root/testdata/sf0.001")) == sorted(brute(pairs, lambda t: list(t.encode()), bytes, 100), key=repr)
