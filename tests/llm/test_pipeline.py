@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 import corpus_pipeline
@@ -55,16 +56,81 @@ def test_likeness_falls_with_edits():
     assert edit_embedding.likeness("", "") == 1.0 and edit_embedding.likeness("", a) == 0.0
 
 
-def test_linked_by_bands(spark):
-    rng = random.Random(4)
-    texts = [prose(rng, 300) for _ in range(12)]
-    texts += [t[:-5] + "edits" for t in texts[:6]] + texts[:2]
-    prints = spark.createDataFrame([*enumerate(edit_embedding.fingerprints(texts))], "doc_id long, fingerprint string")
-    out = {r.doc_id: r for r in edit_embedding.linked(prints).collect()}
-    groups = {}
-    for k, r in out.items():
-        groups.setdefault(r.leader, set()).add(k)
-    assert len(out) == 20 and {0, 12, 18} in groups.values() and {1, 13, 19} in groups.values() and {2, 14} in groups.values() and {9} in groups.values()
+def plain_walk(text):
+    """A fingerprint step by step, with nothing but the shared tables of random numbers."""
+    out, at, n = [], 0, len(text)
+    octave = 0
+    while True:
+        low, high = (0, 64) if octave == 0 else (64 << (octave - 1), 64 << octave)
+        for _ in range(2 * n and 32):
+            out.append("-")
+        if high >= 2 * n:
+            break
+        octave += 1
+    places = {low: k for k, low in enumerate(int(j) for o in range(octave + 1) for j in edit_embedding._sampled(o))}
+    for j in range(2 * n):
+        c = 0
+        if at < n:
+            c = (ord(text[at]) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 255 + 1
+        if j in places and c:
+            out[places[j]] = "0123456789abcdef"[edit_embedding._DIGIT[c]]
+        at += int(edit_embedding._MOVES[j % edit_embedding.PERIOD, c])
+    return "".join(out)
+
+
+def test_walk_of_single_texts():
+    rng = random.Random(12)
+    texts = ["", "a", "ab" * 16, "é😀x" * 40, prose(rng, 30), prose(rng, 700), "a" * 64, "b" * 65]
+    assert edit_embedding.fingerprints(texts) == [plain_walk(t) for t in texts]
+
+
+def near_texts(rng, families=40, size=6):
+    """Families of texts with edits of all strengths, on a common head that many share."""
+    head = prose(rng, 30)
+    out = []
+    for k in range(families):
+        own = prose(rng, rng.choice([8, 40, 150, 400]))
+        text = (head + " " if k % 3 == 0 else "") + own
+        out.append(text)
+        for _ in range(size - 1):
+            some = list(text)
+            for _ in range(rng.choice([1, 1, 2, 3, 5])):
+                some[rng.randrange(len(some))] = rng.choice(["", "q", "zz"])
+            out.append("".join(some))
+    return [*out, None, "", "", " ", out[0]]
+
+
+@pytest.mark.parametrize("small", [50, 3])
+def test_classes_find_near_pairs(spark, small):
+    """Of the pairs that brute force finds near, nine in ten and more share a class; classes hold chains of such pairs only."""
+    texts = near_texts(random.Random(4))
+    prints = edit_embedding.fingerprints([t or "" for t in texts])
+    table = spark.createDataFrame(sorted({(edit_embedding.print_hash(f), f) for f in prints}), "h long, fingerprint string")
+    links = edit_embedding.linked(table, small=small).collect()
+    by_hash = {edit_embedding.print_hash(f): f for f in prints}
+    assert links and all(edit_embedding.likeness(by_hash[r.a], by_hash[r.b]) >= 0.8 for r in links)
+    root = {h: h for h in by_hash}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        a, b = sorted((find(r.a), find(r.b)))
+        root[b] = a
+    hashes = sorted(by_hash)
+    near = [(a, b) for k, a in enumerate(hashes) for b in hashes[:k] if edit_embedding.likeness(by_hash[a], by_hash[b]) >= 0.8]
+    assert len(near) > 100 and sum(find(a) == find(b) for a, b in near) >= 0.9 * len(near)
+    if small == 50:
+        rows = [*rows_of(texts), (None, texts[3], None, None, None), (2, texts[10], None, None, None)]
+        smallest = {}
+        for r in rows:
+            if r[0] is not None:
+                h = find(edit_embedding.print_hash(edit_embedding.fingerprints([r[1] or ""])[0]))
+                smallest[h] = min(r[0], smallest.get(h, r[0]))
+        out = edit_embedding.compare_with_next(with_extra(frame(spark, rows)), classes=True).collect()
+        assert len(out) == len(rows) and all(r.class_id == smallest[find(edit_embedding.print_hash(r.fingerprint))] for r in out)
 
 
 SF = "/root/testdata/sf0.001"
