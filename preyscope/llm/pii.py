@@ -36,7 +36,7 @@ NEAR = 6
 SUPPORT = 3
 #: Shares of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.6, 0.85
-#: Telling terms of documents are broadcast up to about so many bytes; beyond, both sides are shuffled.
+#: Tables of telling terms are broadcast up to about so many bytes; beyond, both sides are shuffled.
 BROADCAST_BYTES = 8 << 20
 #: Running sums are taken within blocks of so many, then over the blocks.
 BLOCK = 32
@@ -164,19 +164,23 @@ def telling_terms(spanned: DataFrame, docs: DataFrame, support: int = SUPPORT, g
     marks = holders.join(telling.where("not rare"), "entity").select("key", "term", "share")
     rare = telling.where("rare").select("entity", "term", "share")
     if not rare.isEmpty():
-        held = _words(spanned, F.col("key")).join(rare, "term").join(holders, ["key", "entity"])
+        rare = _sized(rare, F.octet_length("entity") + F.octet_length("term") + 64)
+        held = _words(some, F.col("key")).join(rare, "term").join(holders, ["key", "entity"])
         marks = marks.unionByName(held.select("key", "term", "share"))
     best = marks.groupBy("key", "term").agg(F.max("share").alias("share"))
     return best.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
 
 
+def _sized(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, marked to be broadcast if its rows have BROADCAST_BYTES at most."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def _with_terms(docs: DataFrame) -> DataFrame:
     """_spanned(docs) with `told` (null: none)."""
     spanned = _spanned(docs)
     told = cut(telling_terms(spanned, docs).withColumnRenamed("key", "k"))
-    size = told.agg(F.sum(F.lit(64) + F.aggregate(F.map_keys("told"), F.lit(0), lambda a, x: a + F.octet_length(x) + 40))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        told = F.broadcast(told)
+    told = _sized(told, F.lit(64) + F.aggregate(F.map_keys("told"), F.lit(0), lambda a, x: a + F.octet_length(x) + 40))
     return spanned.join(told, F.col("key") == F.col("k"), "left").drop("k", "key")
 
 
