@@ -1,8 +1,10 @@
+import math
 import random
+import re
 
-from preyscope.llm import licenses
+from preyscope.llm import licenses, queries
 
-from .helpers import frame, prose, rows_of
+from .helpers import LOW, frame, prose, rows_of
 
 
 def labels_of(spark, texts):
@@ -27,3 +29,44 @@ def test_every_file_has_a_notice(spark):
     assert all("mit" in x for x in same.values())
     scores = [r.score for r in licenses.scan(frame(spark, rows_of([prose(rng, 9) + " released under the mit license"] * 5))).collect()]
     assert min(scores) > 0.5
+
+
+def plain_labels(text, idf):
+    """Labels by comparing the look-up words of every template at every place."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    stands = lambda p, i: words[i : i + len(p)] == p
+    found = {label for phrase, label in licenses.BASE.items() if any(stands(phrase.split(), i) for i in range(len(words)))}
+    for t in licenses.TEMPLATES:
+        own = t.text.split()
+        rare = sorted({*own}, key=lambda w: (-idf[w], w))[: licenses.LOOKED_UP]
+        for at in range(-len(own), len(words)):
+            agree = {w for p, w in enumerate(own) if w in rare and 0 <= at + p < len(words) and words[at + p] == w}
+            near = range(max(0, at - licenses.NEAR), at + len(own) + licenses.NEAR + 1)
+            if len(agree) >= licenses.AGREEING and all(any(stands(k.split(), i) for i in near) for k in t.keys):
+                found.add(t.label)
+    return ",".join(sorted(found))
+
+
+def test_labels_of_the_registered_query_and_of_odd_files(spark):
+    rng = random.Random(7)
+    texts = [t.text for t in licenses.TEMPLATES]
+    for t in licenses.TEMPLATES * 2:  # notices with words changed, lost and added
+        words = t.text.split(" ")
+        for _ in range(rng.choice([1, 2, 4])):
+            words[rng.randrange(len(words))] = rng.choice(["", "other", "the the"])
+        texts.append(prose(rng, rng.randrange(9)) + " " + " ".join(words) + " " + rng.choice(licenses.TEMPLATES).text)
+    texts += [None, "", texts[3], texts[3], prose(rng, 30_000) + " " + licenses.TEMPLATES[0].text]
+    docs = frame(spark, [*rows_of(texts), (None, texts[5], None, None, None)])
+    total, frequency = licenses.document_frequency(docs)
+    idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items()}
+    out = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert out == {k: plain_labels(t, idf) for k, t in enumerate(texts)} | {None: plain_labels(texts[5], idf)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    total, frequency = licenses.document_frequency(docs)
+    idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items()}
+    rows = {r.doc_id: r for r in queries.op2_licenses(spark, "/root/testdata/sf0.001").collect()}
+    for d in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (d.text or "").translate(LOW))
+        starts = [i for phrase in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        r = rows[d.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None)) and r.labels == plain_labels(d.text, idf)
