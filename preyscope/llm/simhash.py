@@ -5,7 +5,7 @@ covering construction gives every bit position a non-zero vector of radius + 1 b
 that length a mask of the positions whose vector has an odd inner product with v. Any `radius` positions leave some v
 orthogonal to all their vectors, so two fingerprints that differ in at most `radius` bits agree under at least one of
 the 2^(radius + 1) - 1 masks: no pair is missed. Fingerprints that share a masked value with others are then linked
-within that value without listing pairs: see _links().
+within that value without listing pairs: see covering_links().
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BITS = 64
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
+#: Fingerprints of more rows than this, and than a thousandth of all rows, are hot: a thousand at most, so these are broadcast.
+HOT = 1000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -69,7 +71,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(fps: DataFrame, radius: int) -> DataFrame:
+def covering_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) with b the smallest fingerprint of a group that a is in; connected as the pairs within the radius are.
 
     fps(fp) is distinct. Rows (table, masked value, fp) that stand alone are dropped by counting. In what is left, a
@@ -98,15 +100,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     have fingerprint 0 and link like any other. Rows with a null doc_id count for the links but for no component_id.
     """
     found = cut(fingerprints(docs, shingle))
-    own = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = components(_links(own.select("fp"), radius)).withColumnRenamed("node", "fp")
+    own = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    groups = components(covering_links(own.select("fp"), radius)).withColumnRenamed("node", "fp")
     classes = own.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(low, "component").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; rows without a doc_id can stand for none and go."""
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_d")).drop("_d").dropDuplicates(["doc_id"])
+    named = cut(classes.join(low, "component").select("fp", "component_id", "n"))
+    total = own.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT, total // 1000)
+    common, rest = F.broadcast(named.where(hot).drop("n")), named.where(~hot).drop("n")
+    rows = found.join(common, "fp").unionByName(found.join(common.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

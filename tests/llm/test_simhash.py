@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from preyscope.llm import simhash
+from preyscope.llm import queries, simhash
 from preyscope.llm.common import components
 
 from .helpers import LOW, WORD, corpus, frame, rows_of, run, with_extra
@@ -37,8 +37,6 @@ def test_against_brute_force(spark):
     groups = brute_groups(prints)
     expected = [(i, f"{prints[i]:016x}", groups[i]) for i in prints]
     assert run(simhash.near_duplicates(with_extra(frame(spark, rows)))) == sorted(expected, key=repr)
-    kept = simhash.keep_one(frame(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
 
 
 def test_masks_cover_every_pair_of_positions():
@@ -61,7 +59,7 @@ def test_links_of_close_fingerprints(spark):
             prints.add(x)
     prints |= {base[0] ^ (1 << a) for a in range(64)}
     signed = [(simhash._signed(x),) for x in prints]
-    links = simhash._links(spark.createDataFrame(signed, "fp long"), 2)
+    links = simhash.covering_links(spark.createDataFrame(signed, "fp long"), 2)
     groups = brute_groups({x: x for x in prints})
     first = {}
     for x, g in groups.items():
@@ -83,3 +81,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 500), (None, 3)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 500: 500}
+
+
+def test_registered_query_and_hot_fingerprints(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    prints = {r.doc_id: brute_print(r.text) for r in docs}
+    groups = brute_groups(prints)
+    expected = sorted([(i, f"{prints[i]:016x}", groups[i]) for i in prints], key=repr)
+    assert run(queries.op1_simhash(spark, "/root/testdata/sf0.001")) == expected
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert run(queries.op1_simhash(spark, "/root/testdata/sf0.001")) == expected
