@@ -1,6 +1,10 @@
-"""Near copies: all pairs of texts whose word shingles are alike, by a prefix join, verified.
+"""Near copies: all pairs of texts whose word shingles are alike: SimHash covering tables first, then a prefix join.
 
-Shingles are put in one order: those that a bounded sample finds often last, the rest by hash. Two sets whose Jaccard
+The covering tables of simhash.py, over fingerprints of the same shingles, find the pairs within their radius. Sets of
+similarity 0.8 differ in about 10 of 64 bits, where the covering construction would need 2^11 tables; so a prefix join
+finds what is further apart. Every pair of either is held against the texts' whole sets.
+
+For the prefix join, shingles are put in one order: those that a bounded sample finds often last, the rest by hash. Two sets whose Jaccard
 similarity is at least t share a shingle among the first n - ceil(t n) + 1 of each, so no pair is missed, whatever the
 order. The order only keeps common passages out of these prefixes. Candidates are held against each other's whole sets.
 
@@ -19,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, cut
 
 SHINGLE = 5
@@ -154,6 +159,17 @@ def _led(postings: DataFrame, least: float) -> DataFrame:
     return postings.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_batched(run, "abcde"), f"{POSTING}, leader long")
 
 
+def _covered(texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): texts with one SimHash fingerprint, each with the smallest, and the smallest of linked fingerprints."""
+    prints = cut(simhash.fingerprints(texts.select(F.col("key").alias("doc_id"), "text"), shingle).toDF("key", "fp").distinct())
+    own = cut(prints.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = prints.join(own.where("n > 1"), "fp").where("key <> first").select("key", "first")
+    links = simhash.covering_links(own.select("fp"))
+    first = lambda c: own.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links.join(first("a"), "a").join(first("b"), "b").select("a_first", "b_first")
+    return same.union(near).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _between(led: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs that share a posting, in different components, whose sizes and places leave the similarity open."""
 
@@ -204,8 +220,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     Components chain over pairs whose similarity is at least `least`, every one of them verified.
     """
     texts = _keyed(docs)
+    covered = _covered(texts, shingle)
     led = cut(_led(_postings(texts, _common(texts, shingle), shingle, least), least))
-    first = _verified(led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), texts, shingle, least)
+    pairs = led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).union(covered)
+    first = _verified(pairs.distinct(), texts, shingle, least)
     rest = _verified(_between(led, cut(components(first)), least), texts, shingle, least)
     return components(first.union(rest)).toDF("key", "component")
 

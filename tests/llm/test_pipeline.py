@@ -7,10 +7,10 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from preyscope.llm import edit_embedding, langid, mixing, pii, queries, simhash
+from preyscope.llm import edit_embedding, langid, mixing, pii, queries
 from preyscope.llm.common import documents
 
-from .helpers import corpus, frame, prose, rows_of, run, sha, with_extra
+from .helpers import LOW, WORD, corpus, frame, prose, rows_of, run, sha, with_extra
 
 
 def test_fingerprints_with_next(spark, monkeypatch):
@@ -140,20 +140,23 @@ def test_pipeline_against_brute_force(spark):
     docs = documents(spark, SF)
     model = langid.train(docs)
     identified = [r for r in docs.collect() if (p := model.predict(r.text))[0] != "und" and p[1] >= 0.25]
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in identified}
-    root = {i: i for i in prints}
+    # The contract of near-duplicate stages: five words, similarity of 0.8 or more.
+    split = {r.doc_id: WORD.findall(r.text.translate(LOW)) for r in identified}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in prints:
-        for b in prints:
-            if b < a and (prints[a] ^ prints[b]).bit_count() <= 2:
+    for a in sets:
+        for b in sets:
+            if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     kept = [r for r in identified if find(r.doc_id) == r.doc_id]
+    assert 100 < len(kept) < len(identified)
     clean = pii.sanitise(spark.createDataFrame(kept, docs.schema))
     plan = {r.doc_id: r for r in mixing.mix(clean).collect()}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
