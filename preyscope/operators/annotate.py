@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import clean_go, feature_notes, first_item, first_location, go_ids
-
+from . import ontology
+
+# Taxonomy ids, and whether there are an atlas of locations and a table of complexes.
+ORGANISMS = {
+    "human": {"taxon": 9606, "human_tables": True},
+    "mouse": {"taxon": 10090, "human_tables": False},
+    "yeast": {"taxon": 559292, "human_tables": False},
+}
+COMPONENT = "cellular_component"
 GO_COLUMNS = ("go_cellular", "go_process", "go_function")
 NOTE_COLUMNS = ("motif", "region", "repeat", "bias", "domain")
 
@@ -59,7 +68,7 @@ def match_by_synonym(genes: DataFrame, proteins: DataFrame, atlas: DataFrame) ->
 
 def prey_is_bait(df: DataFrame, bait_ids: DataFrame) -> DataFrame:
     """df with prey_is_bait: any of the prey's ids is a bait id. bait_ids(bait_id) has one row a bait."""
-    hits = df.select("prey").distinct().select("prey", F.explode(F.split("prey", ";")).alias("bait_id")).join(F.broadcast(bait_ids.select("bait_id").distinct()), "bait_id", "left_semi")
+    hits = df.select("prey").distinct().select("prey", F.explode(F.split("prey", ";")).alias("bait_id")).join(bait_ids.select("bait_id").distinct(), "bait_id", "left_semi")
     return df.join(hits.select("prey", F.lit(True).alias("prey_is_bait")).distinct(), "prey", "left").withColumn("prey_is_bait", F.coalesce("prey_is_bait", F.lit(False)))
 
 
@@ -100,16 +109,35 @@ def join_known(df: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("is_known", F.coalesce("is_known", F.lit(False))).withColumn("multivalidated", F.coalesce("multivalidated", F.lit(False)))
 
 
-def annotate(merged: DataFrame, design: DataFrame, proteins: DataFrame, known: DataFrame, atlas: DataFrame | None = None, complexes: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
+def component_terms(proteins: DataFrame) -> DataFrame:
+    """(gene, term): the cellular-component terms of each protein, by its entry."""
+    return proteins.select(F.col("entry").alias("gene"), F.explode(go_ids(F.col("go_cellular"))).alias("term")).distinct()
+
+
+def component_similarity(rows: DataFrame, proteins: DataFrame, values: DataFrame) -> DataFrame:
+    """(bait_id, first_id, similarity) of rows by their cellular-component terms; values are ontology.semantic_values()."""
+    found = ontology.semantic_pairs(rows, component_terms(proteins), values.where(F.col("namespace") == COMPONENT))
+    return found.drop("namespace")
+
+
+def annotate(
+    merged: DataFrame, design: DataFrame, proteins: DataFrame, known: DataFrame, atlas: DataFrame | None = None, complexes: DataFrame | None = None,
+    similarity: DataFrame | None = None, values: DataFrame | None = None, organism: str = "human",
+) -> DataFrame:
     """merged(prey, gene, bait, ...) with protein columns, flags, known pairs; atlas and complexes where they are given
-    (human data), and similarity(bait_id, first_id, similarity) of ontology terms."""
-    ids = design.select("bait", "bait_id").distinct()
-    rows = first_ids(merged.join(F.broadcast(ids), "bait", "left"))
+    (human data alone), and the similarity of bait and prey: a table (bait_id, first_id, similarity), or from the
+    semantic values of the ontology and the proteins' cellular components."""
+    ids = cut(design.select("bait", "bait_id").distinct())
+    rows = cut(first_ids(merged.join(ids, "bait", "left")))
+    if similarity is None and values is not None and "go_cellular" in proteins.columns:
+        similarity = component_similarity(rows, proteins, values)
     rows = join_known(self_interaction(prey_is_bait(join_proteins(rows, clean_proteins(proteins)), ids)), known)
-    if atlas is not None:
+    human = ORGANISMS[organism]["human_tables"]
+    if atlas is not None and human:
+        rows = cut(rows)
         named = match_by_synonym(rows.select(F.col("first_gene").alias("gene")), proteins, atlas).withColumnRenamed("gene", "first_gene")
         places = atlas.groupBy(F.col("gene").alias("atlas_gene")).agg(F.min("main_location").alias("atlas_location"))
         rows = rows.join(named.join(places, "atlas_gene", "left"), "first_gene", "left")
-    if complexes is not None:
-        rows = complex_membership(rows, complexes)
+    if complexes is not None and human:
+        rows = complex_membership(cut(rows), complexes)
     return rows.join(similarity, ["bait_id", "first_id"], "left") if similarity is not None else rows

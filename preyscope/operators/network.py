@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +11,22 @@ from . import scoring
 GAMMA_LIMIT = 10.0
 
 
+#: Preys of a term that are paired in one task; larger terms are dealt over several.
+TERM_PREYS = 1000
+
+
 def edges_from_terms(terms: DataFrame, preys: DataFrame) -> DataFrame:
     """(a, b), a < b: preys that share a term of terms(term, members), members separated by blanks.
 
-    A term's members meet by an equi-join on the term; terms that name most preys make long lists by nature.
+    The pairs of a term are the result, so a term that names most preys has their square; its preys are dealt by hash,
+    each part with a copy of all the term's preys, so that no task pairs more than TERM_PREYS with them.
     """
-    rows = terms.select("term", F.explode(F.array_distinct(F.split("members", " +"))).alias("prey")).join(preys.select("prey").distinct(), "prey", "left_semi")
-    left, right = rows.select("term", F.col("prey").alias("a")), rows.select("term", F.col("prey").alias("b"))
-    return left.join(right, "term").where("a < b").select("a", "b").distinct()
+    rows = cut(terms.select("term", F.explode(F.array_distinct(F.split("members", " +"))).alias("prey")).join(preys.select("prey").distinct(), "prey", "left_semi"))
+    parts = rows.groupBy("term").agg((F.floor(F.count(F.lit(1)) / TERM_PREYS) + 1).alias("parts"))
+    sized = rows.join(parts, "term")
+    left = sized.select("term", F.pmod(F.xxhash64("prey"), F.col("parts")).alias("part"), F.col("prey").alias("a"))
+    right = sized.select("term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("prey").alias("b"))
+    return left.join(right, ["term", "part"]).where("a < b").select("a", "b").distinct()
 
 
 def edges_from_pairs(pairs: DataFrame, preys: DataFrame) -> DataFrame:
@@ -44,41 +50,40 @@ def neighbour_support(labelled: DataFrame, edges: DataFrame, symmetric: bool = F
 def fit_beta_gamma(pairs: DataFrame) -> tuple[float, float]:
     """(beta, gamma) that maximise sum z (beta + gamma s) - ln(1 + e^(beta + gamma s)) over pairs(z, support).
 
-    Pairs collapse to a histogram by support (rounded to 6 digits), the only rows that reach the driver; Newton steps
-    within the limits; gamma is 0 unless it helps.
+    Pairs collapse to a histogram by support (rounded to 6 digits), which is written; each Newton step within the limits
+    is an aggregate over it for the slopes and one for all step lengths at once. gamma is 0 unless it helps.
     """
-    grid = [(r.s, r.z, r.n) for r in pairs.groupBy(F.round("support", 6).alias("s")).agg(F.sum("z").alias("z"), F.count(F.lit(1)).alias("n")).collect()]
-    if not grid:
+    grid = cut(pairs.groupBy(F.round("support", 6).alias("s")).agg(F.sum("z").alias("z"), F.count(F.lit(1)).alias("n")))
+    whole = grid.agg(F.sum("z").alias("z"), F.sum("n").alias("n")).first()
+    if not whole.n:
         return 0.0, 0.0
-    p = sum(z for _, z, _ in grid) / sum(n for *_, n in grid)
-    start = scoring.beta_of(p)
+    s, z, n = F.col("s"), F.col("z"), F.col("n")
 
-    def value(b: float, g: float) -> float:
-        return sum(z * (b + g * s) - n * (max(0.0, b + g * s) + math.log1p(math.exp(-abs(b + g * s)))) for s, z, n in grid)
+    def values(at: list[tuple[float, float]]) -> list[float]:
+        odds = [F.lit(b) + g * s for b, g in at]
+        return [*grid.agg(*[F.sum(z * x - n * (F.greatest(F.lit(0.0), x) + F.log1p(F.exp(-F.abs(x))))).alias(f"v{k}") for k, x in enumerate(odds)]).first()]
 
+    start = scoring.beta_of(whole.z / whole.n)
     b, g = start, 0.0
+    first = now = values([(b, g)])[0]
     for _ in range(100):
-        gb = gg = hbb = hbg = hgg = 0.0
-        for s, z, n in grid:
-            q = 1 / (1 + math.exp(-max(-500.0, min(500.0, b + g * s))))
-            w = n * q * (1 - q) + 1e-12
-            gb, gg, hbb, hbg, hgg = gb + z - n * q, gg + s * (z - n * q), hbb + w, hbg + w * s, hgg + w * s * s
-        det = hbb * hgg - hbg * hbg
+        q = 1 / (1 + F.exp(-(F.lit(b) + g * s)))
+        w = n * q * (1 - q) + 1e-12
+        t = grid.agg(F.sum(z - n * q).alias("b"), F.sum(s * (z - n * q)).alias("g"), F.sum(w).alias("bb"), F.sum(w * s).alias("bg"), F.sum(w * s * s).alias("gg")).first()
+        det = t.bb * t.gg - t.bg * t.bg
         if det <= 1e-12:
             break
-        step_b, step_g, size = (hgg * gb - hbg * gg) / det, (hbb * gg - hbg * gb) / det, 1.0
-        while size > 1e-6:
-            nb, ng = max(-15.0, min(15.0, b + size * step_b)), max(0.0, min(GAMMA_LIMIT, g + size * step_g))
-            if value(nb, ng) > value(b, g):
-                break
-            size /= 2
-        else:
+        step_b, step_g = (t.gg * t.b - t.bg * t.g) / det, (t.bb * t.g - t.bg * t.b) / det
+        sizes = [0.5**k for k in range(20)]
+        at = [(max(-scoring.BETA_LIMIT, min(scoring.BETA_LIMIT, b + x * step_b)), max(0.0, min(GAMMA_LIMIT, g + x * step_g))) for x in sizes]
+        better = next(((p, v) for p, v in zip(at, values(at), strict=True) if v > now), None)
+        if better is None:
             break
-        moved = abs(nb - b) + abs(ng - g)
-        b, g = nb, ng
+        moved = abs(better[0][0] - b) + abs(better[0][1] - g)
+        (b, g), now = better
         if moved < 1e-9:
             break
-    return (b, g) if value(b, g) > value(start, 0.0) else (start, 0.0)
+    return (b, g) if now > first else (start, 0.0)
 
 
 def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_replicates: int = 100, rounds: int = 5, symmetric: bool = False) -> DataFrame:

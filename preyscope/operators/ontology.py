@@ -88,11 +88,21 @@ def by_ontology(similar: DataFrame, namespaces: dict[str, str]) -> DataFrame:
     return rows.withColumn("first", F.coalesce(*namespaces.values()))
 
 
+#: Genes of a list that are paired with all others in one task.
+PAIRED = 1000
+
+
 def all_pairs(genes: DataFrame, listed: DataFrame) -> DataFrame:
-    """Every pair a < b of the genes in listed(gene) that have terms: a stated list, so its square is the result's size."""
-    own = listed.join(genes.select("gene").distinct(), "gene", "left_semi").select("gene").distinct()
-    a, b = own.withColumnRenamed("gene", "a"), own.withColumnRenamed("gene", "b")
-    return a.join(b, F.col("a") < F.col("b"))
+    """Every pair a < b of the genes in listed(gene) that have terms: a stated list, so its square is the result's size.
+
+    Genes are dealt by hash to parts of about PAIRED, and each part meets each other by an equi-join.
+    """
+    own = cut(listed.join(genes.select("gene").distinct(), "gene", "left_semi").select("gene").distinct())
+    parts = own.count() // PAIRED + 1
+    part = F.pmod(F.xxhash64("gene"), F.lit(parts))
+    a = own.select(F.col("gene").alias("a"), part.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("right"))
+    b = own.select(F.col("gene").alias("b"), part.alias("right"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("left"))
+    return a.join(b, ["left", "right"]).where("a < b").select("a", "b")
 
 
 def upper_median(similar: DataFrame) -> DataFrame:

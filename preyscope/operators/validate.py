@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import group_spec
-from ..sources.readers import FRAGPIPE_SUFFIX, missing_columns
+from ..sources.readers import FRAGPIPE_SUFFIX, QUANT_PREFIX, REQUIRED, missing_columns
+
+# Columns of a DIA-NN matrix that are no runs.
+DIANN_METADATA = ("Protein.Group", "Protein.Ids", "Protein.Names", "Genes", "First.Protein.Description", "N.Sequences", "N.Proteotypic.Sequences")
 
 
 def _found(df: DataFrame, rule: str, test: Column, key: str, detail: Column) -> DataFrame:
@@ -88,6 +91,27 @@ def validate_design(design: DataFrame, data: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, empty)
 
 
+def data_experiments(data: DataFrame, kind: str, quant: str = "intensity") -> DataFrame:
+    """(experiment) that a quantification file of `kind` holds, from its header or, for msstats, its rows."""
+    if kind == "msstats":
+        return data.where("LABEL = 'L'").select(F.trim("originalRUN").alias("experiment")).distinct()
+    if kind == "maxquant":
+        names = header_experiments(data.columns, "prefix", QUANT_PREFIX[quant])
+    else:
+        names = header_experiments(data.columns, "fragpipe", quant) if kind == "fragpipe" else header_experiments(data.columns, "plain", metadata=DIANN_METADATA)
+    return data.sparkSession.createDataFrame([(n,) for n in names], "experiment string")
+
+
+def validate_inputs(design: DataFrame, data: DataFrame, kind: str, quant: str = "intensity") -> DataFrame:
+    """All rules for a design and the raw table of a quantification file: its columns, that it has rows, the design's own
+    rules, and the experiments of both. Without the required columns the experiments are not compared."""
+    found = lambda rule, keys: data.sparkSession.createDataFrame([(rule, k, None) for k in keys], "rule string, key string, detail string")
+    missing = missing_columns(data, REQUIRED[kind])
+    have = design.select("experiment") if missing else data_experiments(data, kind, quant)
+    empty = data.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("empty_data").alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("detail"))
+    return found("missing_column", missing).unionByName(empty).unionByName(validate_design(design, have))
+
+
 def validate_name(names: DataFrame, used: DataFrame) -> DataFrame:
     """names(name): empty ones, ones with other characters than letters, digits and _, and ones in used(name)."""
     bad = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "empty_name").when(~F.col("name").rlike("^[A-Za-z0-9_]+$"), "invalid_name")

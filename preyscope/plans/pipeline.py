@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.stats import tail_fdr
-from ..operators import annotate, groups, impute, ingest, score_counts, score_intensity, wd
-from ..operators.validate import validate_design
+from ..operators import annotate, groups, impute, ingest, ontology, score_counts, score_intensity, wd
+from ..operators.validate import validate_design, validate_inputs
 from ..sources import readers
 
 FORMATS = ("maxquant", "diann", "fragpipe", "msstats", "scoring")
@@ -48,10 +48,32 @@ def score(inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "i
     return annotate.merge_scores(cut(scored), cut(wd.wd_scores(ingest.wd_table(inter, design), iterations=iterations)))
 
 
-def run(spark: SparkSession, kind: str, data: str, design_path: str, quant: str = "intensity", imputation: str | None = None, annotations: dict[str, DataFrame] | None = None, **how: int) -> DataFrame:
+def raw_table(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """A quantification file as it stands, for its validation."""
+    return readers.read_text_table(spark, path, sep="," if kind == "msstats" else "\t", quote="'" if kind == "maxquant" else '"')
+
+
+def annotation_tables(spark: SparkSession, files: dict[str, str], organism: str = "human") -> dict[str, DataFrame]:
+    """Tables for annotate() from files by kind: proteins, atlas, complexes, and known or physical with multivalidated;
+    an ontology (obo) gives the semantic values of its terms."""
+    kinds = [k for k in files if k not in ("obo", "physical", "multivalidated")]
+    tables = {k: cut(readers.read_annotations(spark, k, files[k])) for k in kinds}
+    if "physical" in files:
+        pairs = [readers.read_annotations(spark, k, files[k]) for k in ("physical", "multivalidated")]
+        tables["known"] = cut(annotate.summarise_known(*pairs, annotate.ORGANISMS[organism]["taxon"]))
+    if "obo" in files:
+        tables["values"] = ontology.semantic_values(ontology.weigh(ontology.edges(cut(readers.read_obo(spark, files["obo"])))))
+    return tables
+
+
+def run(
+    spark: SparkSession, kind: str, data: str, design_path: str, quant: str = "intensity", imputation: str | None = None, annotations: dict[str, DataFrame | str] | None = None,
+    organism: str = "human", iterations: int | None = None, **how: int,
+) -> DataFrame:
     """The whole pipeline for one of FORMATS: read, validate, impute, score, merge, and annotate where there are tables.
 
-    `data` is a file, or for scoring inputs a folder with bait, prey and interaction.
+    `data` is a file, or for scoring inputs a folder with bait, prey and interaction. Annotations are tables, or paths
+    of files that annotation_tables() reads; `iterations` draws p-values instead of taking them exactly.
     """
     if kind not in FORMATS:
         raise ValueError(f"unknown format: {kind}")
@@ -61,10 +83,17 @@ def run(spark: SparkSession, kind: str, data: str, design_path: str, quant: str
     if kind == "scoring":
         _, preys, rows = readers.read_scoring_inputs(spark, f"{data}/bait", f"{data}/prey", f"{data}/interaction")
         inter = rows.select("experiment", "prey", "value")
+        found = validate_design(design, inter.select("experiment"))
     else:
-        inter, preys = load(spark, kind, data, design, quant)
-    broken = validate_design(design, inter.select("experiment")).where("not startswith(rule, 'warning')").limit(20).collect()
+        found = validate_inputs(design, raw_table(spark, kind, data), kind, quant)
+    broken = found.where("not startswith(rule, 'warning')").limit(20).collect()
     if broken:
         raise ValueError("; ".join(f"{r.rule}: {r.key} {r.detail or ''}".strip() for r in broken))
-    merged = score(inter, design, preys, quant, imputation, **how)
-    return annotate.annotate(merged, design, **annotations) if annotations else merged
+    if kind != "scoring":
+        inter, preys = load(spark, kind, data, design, quant)
+    merged = score(inter, design, preys, quant, imputation, iterations=iterations, **how)
+    if not annotations:
+        return merged
+    files = {k: v for k, v in annotations.items() if isinstance(v, str)}
+    tables = {k: v for k, v in annotations.items() if not isinstance(v, str)} | annotation_tables(spark, files, organism)
+    return annotate.annotate(cut(merged), design, organism=organism, **tables)

@@ -123,6 +123,16 @@ def _rounds(n: int) -> str:
     )
 
 
+def _natural_rounds() -> str:
+    """Up to 15 rounds, ended where the likelihood rises by less than a thousandth."""
+    return ", q0 as (select distinct g, 0.0::double beta from d)" + "".join(
+        f""", q{i} as (select g, beta, d + za * beta - zn * ln(1 + exp(beta)) ll from (select *, least(15, greatest(-15, case when p <= 0 then -15 when p >= 1 then 15 else ln(p / (1 - p)) end)) beta from
+  (select g, sum(z / m) filter (not skip) / sum(1 / m) filter (not skip) p, sum(z / m) za, sum(1 / m) zn, sum((z * lt + (1 - z) * lf) / m) d from (select dens.*, (beta + lt - lf >= 0)::int z from dens join q{i - 1} using (g)) group by 1)))"""
+        for i in range(1, 16)
+    ) + ", qs as (" + " union all ".join(f"select {i} i, g, beta, ll from q{i}" for i in range(1, 16)) + """), qo as (select *, lag(ll) over (partition by g order by i) ol from qs),
+qn as (select g, coalesce(min(i) filter (ll >= ol and exp(least(ll - ol, 1)) - 1 < 1e-3), 15) i from qo group by 1), b3 as (select g, beta from qs join qn using (g, i))"""
+
+
 _REPORT = """,
 av as (select g, prey, bait, round(avg(score), 9) avg_p, max(score) max_p, min(log_odds) log_odds from sco group by 1, 2, 3),
 fv as (select avg_p, coalesce(least(1, greatest(0, 1 - sum(avg_p * n) over w / sum(n) over w)), 0) bfdr from (select avg_p, count(*) n from av group by 1)
@@ -130,20 +140,23 @@ fv as (select avg_p, coalesce(least(1, greatest(0, 1 - sum(avg_p * n) over w / s
 """
 
 
-def _count_sql(grouped: bool) -> str:
+def _count_sql(grouped: bool, controls: int = 100, replicates: int = 100, rounds: str = "") -> str:
+    """The count model; top controls and replicates by sorted lists, `rounds` in place of three fixed ones."""
     return _members(grouped) + f""",
 nc as (select g, count(*) filter ("type" = 'C') n_ctrl from d group by 1),
-ct as (select g, prey, sum(spc) s, sum(spc * spc) ss from inter join d using (experiment) where "type" = 'C' group by 1, 2),
-c1 as (select nc.g, prey.prey, gene, n_ctrl l, coalesce(s, 0) s, coalesce(ss, 0) ss, greatest(0.1, coalesce(s, 0) / n_ctrl) eta from prey cross join nc left join ct on ct.g = nc.g and ct.prey = prey.prey),
+cs as (select g, prey, sum(spc) whole, list_sort(list(spc), 'DESC')[1:{controls}] v from inter join d using (experiment) where "type" = 'C' group by 1, 2),
+ct as (select g, prey, whole, list_sum(v) s, list_sum(list_transform(v, lambda x: x * x)) ss from cs),
+c1 as (select nc.g, prey.prey, gene, n_ctrl, least(n_ctrl, {controls}) l, coalesce(whole, 0) whole, coalesce(s, 0) s, coalesce(ss, 0) ss, greatest(0.1, coalesce(s, 0) / least(n_ctrl, {controls})) eta
+  from prey cross join nc left join ct on ct.g = nc.g and ct.prey = prey.prey),
 c2 as (select *, (ss - s * s / l) / (l - 1) v from c1),
-cp as (select g, prey, gene, eta, case when v > eta then 1 - sqrt(eta / v) else 0.1 end lam, floor(s / l) ctrl_mean from c2),
+cp as (select g, prey, gene, eta, case when v > eta then 1 - sqrt(eta / v) else 0.1 end lam, floor(whole / n_ctrl) ctrl_mean from c2),
 pr as (select distinct g, prey, d.bait from inter join d using (experiment) where "type" = 'T'),
 ms as (select g, bait, count(*) m from d where "type" = 'T' group by 1, 2),
 ce as (select pr.g, pr.prey, pr.bait, d.experiment, m, cp.eta, lam, ctrl_mean, coalesce(case when gene <> pr.bait then spc end, 0) y from pr join d on d.g = pr.g and d.bait = pr.bait and d."type" = 'T'
   join ms on ms.g = pr.g and ms.bait = pr.bait join cp on cp.g = pr.g and cp.prey = pr.prey left join inter i on i.experiment = d.experiment and i.prey = pr.prey),
-dens as (select *, {_gp("floor(least(y, 5 * eta))", "5 * eta", "0.1")} lt, {_gp("floor(greatest(y, eta))", "eta", "lam")} lf, max(y) over (partition by g, prey, bait) most,
-  max(y) over (partition by g, prey, bait) = 0 skip from ce)""" + _rounds(3) + """,
-sco as (select *, beta + lt - lf log_odds, case when y <= 1 or y <= ctrl_mean or most = 1 then 0 else 1 / (1 + exp(-(beta + lt - lf))) end score from dens join b3 using (g))""" + _REPORT + """,
+dens as materialized (select *, {_gp("floor(least(y, 5 * eta))", "5 * eta", "0.1")} lt, {_gp("floor(greatest(y, eta))", "eta", "lam")} lf, max(y) over (partition by g, prey, bait) most,
+  max(y) over (partition by g, prey, bait) = 0 skip from ce)""" + (rounds or _rounds(3)) + """,
+sco as (select *, beta + lt - lf log_odds, case when y <= 1 or y <= ctrl_mean or most = 1 then 0 else 1 / (1 + exp(-(beta + lt - lf))) end score from dens join b3 using (g))""" + _REPORT.replace("avg(score)", f"list_avg(list_sort(list(score), 'DESC')[1:{replicates}])") + """,
 fo as (select g, prey, bait, sum(y) "sum", avg(y) avg, avg(y) / any_value(eta) fold_change, any_value(m) n_rep from dens group by 1, 2, 3)
 """
 
@@ -157,6 +170,13 @@ def count_scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_counts.score(_counts(spark, sf), views.design(spark, sf), views.preys(spark, sf), rounds=3, digits=6).select(*_COUNT_COLUMNS)
 
 
+@query(_count_sql(False, 3, 2, _natural_rounds()) + f"select {_COUNT_OUT} from av join fv using (avg_p) join fo using (g, prey, bait)")
+def count_scores_of_the_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Three top controls and two top replicates of more, and rounds that end by themselves."""
+    out = score_counts.score(_counts(spark, sf), views.design(spark, sf), views.preys(spark, sf), n_controls=3, n_replicates=2, digits=6)
+    return out.select(*_COUNT_COLUMNS)
+
+
 @query(_count_sql(True) + f"select g source_group, {_COUNT_OUT} from av join fv using (avg_p) join fo using (g, prey, bait)")
 def count_scores_grouped(spark: SparkSession, sf: str) -> DataFrame:
     members = groups.memberships(views.design(spark, sf))
@@ -192,6 +212,19 @@ def intensity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("prey", "bait", "avg_p", "max_p", "log_odds", "fold_change", "n_rep", "imputed_value", "bfdr"))
 
 
+_MISSING = "coalesce(nullif((ln(500 + 37 * (substr(p.prey, 2)::bigint % 100) / nullif(substr(p.prey, 2)::bigint % 3, 0)) - mu) / sd_ln, 0), t)"
+
+
+@query(_INTENSITY.replace("coalesce(mean, t) eta, t,", f"coalesce(mean, {_MISSING}) eta, {_MISSING} t,").replace("from prey p cross join t0", "from prey p cross join (select mu, sd sd_ln from sc) cross join t0") + """select prey, bait, round(avg_p, 6) avg_p,
+  round(max_p, 6) max_p, round(log_odds, 6) log_odds, round(fold_change, 6) fold_change, round(imputed_value, 6) imputed_value, round(bfdr, 6) bfdr from av join fv using (avg_p) join fo using (g, prey, bait)""")
+def intensity_scores_with_missing_values(spark: SparkSession, sf: str) -> DataFrame:
+    """A given missing value for two of three preys, the common one for the others."""
+    key = F.substring("prey", 2, 20).cast("long")
+    preys = views.preys(spark, sf).withColumn("imputed_mu", 500 + 37 * (key % 100) / F.nullif(key % 3, F.lit(0)))
+    out = score_intensity.score(_values(spark, sf), views.design(spark, sf), preys, rounds=3, digits=6)
+    return rounded(out.select("prey", "bait", "avg_p", "max_p", "log_odds", "fold_change", "imputed_value", "bfdr"))
+
+
 @query()
 def intensity_scores_imputed(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.score(_values(spark, sf), views.design(spark, sf), views.preys(spark, sf), imputation="mixture", pi=0.1)
@@ -501,9 +534,8 @@ _TERM_PAIRS = """, tp as (select a.term a, b.term b from tt a join tt b on a.ter
 @query(_ONTOLOGY + _TERM_PAIRS + """select tp.a, tp.b, round(coalesce((select sum(x.v + y.v) from sv x join sv y using (anc) where x.term = tp.a and y.term = tp.b), 0) / (p.t + q.t), 6) similarity from tp join tt p on p.term = tp.a join tt q on q.term = tp.b""")
 def term_similarity(spark: SparkSession, sf: str) -> DataFrame:
     values = _semantics(spark, sf)
-    terms = values.select("term").where("term like 'TB:%'").distinct()
-    pairs = terms.withColumnRenamed("term", "a").join(terms.withColumnRenamed("term", "b"), F.col("a") < F.col("b"))
-    return rounded(ontology.term_similarity(values, pairs).drop("namespace"))
+    terms = values.select(F.col("term").alias("gene")).where("term like 'TB:%'").distinct()
+    return rounded(ontology.term_similarity(values, ontology.all_pairs(terms, terms)).drop("namespace"))
 
 
 @query(_ONTOLOGY + SCORED + """, gp as (select distinct bait_id a, prey b from scored where score >= 0.6),
@@ -648,6 +680,145 @@ def protein_group_files(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.load(spark, "maxquant", f"{folder}/groups", readers.read_design(spark, f"{folder}/design"))[0].select("experiment", "prey", "value")
 
 
+def _run_columns(wide: DataFrame) -> list[str]:
+    return [c for c in wide.columns if c.startswith("E")]
+
+
+@query('select experiment, prey, spc "value" from inter')
+def diann_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide matrix written and read as DIA-NN's."""
+    folder, wide = _folder(spark), _wide(spark, sf)
+    wide.select(F.col("prey").alias("Protein.Group"), F.col("gene").alias("Genes"), *_run_columns(wide)).write.csv(f"{folder}/matrix", sep="\t", header=True)
+    return pipeline.load(spark, "diann", f"{folder}/matrix", views.design(spark, sf))[0].select("experiment", "prey", "value")
+
+
+@query(_KEPT + "select experiment, prey, spc \"value\" from inter where substr(prey, 2)::bigint % 50 <> 0")
+def fragpipe_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide table written and read as FragPipe's; contaminants by their prefix."""
+    folder, wide = _folder(spark), _wide(spark, sf)
+    protein = F.when(F.col("contaminant") == "+", F.concat(F.lit("contam_"), "prey")).otherwise(F.col("prey"))
+    quants = [F.col(c).alias(f"{c} Intensity") for c in _run_columns(wide)] + [F.lit(1.0).alias(f"{c} MaxLFQ Intensity") for c in _run_columns(wide)]
+    wide.select(protein.alias("Protein"), F.col("prey").alias("Protein ID"), F.col("gene").alias("Gene"), F.col("length").alias("Protein Length"), *quants).write.csv(f"{folder}/table", sep="\t", header=True)
+    return pipeline.load(spark, "fragpipe", f"{folder}/table", views.design(spark, sf))[0].select("experiment", "prey", "value")
+
+
+@query("""select 'P' || l_partkey prey, 'E' || l_suppkey % 10 || '_' || (l_orderkey % 3 + 1) experiment, round(2 ** avg(log2(l_extendedprice)), 3) "value" from lineitem where l_linestatus = 'O' and l_quantity > 5
+  and l_suppkey % 10 <> 7 group by 1, 2""")
+def msstats_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Protein-level rows written and read as MSstats'; runs of one bait are not in the design."""
+    folder, lines = _folder(spark), views.table(spark, sf, "lineitem")
+    lines.select(
+        F.expr("concat('P', l_partkey)").alias("Protein"), F.when(F.col("l_linestatus") == "O", "L").otherwise("H").alias("LABEL"), F.when(F.col("l_quantity") > 5, F.log2("l_extendedprice")).alias("LogIntensities"),
+        F.expr("concat('E', l_suppkey % 10, '_', l_orderkey % 3 + 1)").alias("originalRUN"), F.lit("g").alias("GROUP"), F.lit("s").alias("SUBJECT"), F.lit(0.5).alias("MissingPercentage"),
+    ).write.csv(f"{folder}/levels", header=True)
+    return rounded(pipeline.load(spark, "msstats", f"{folder}/levels", views.design(spark, sf).where("bait <> 'B7'"))[0], 3)
+
+
+@query("""select GROUP_ "GROUP", n from (select l_returnflag GROUP_, count(*)::varchar n from lineitem group by 1)""")
+def sidecar_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The quality sidecar keeps the columns that it knows."""
+    folder, lines = _folder(spark), views.table(spark, sf, "lineitem")
+    writers.write_sidecar(lines.groupBy(F.col("l_returnflag").alias("GROUP")).agg(F.count(F.lit(1)).alias("NumMeasuredFeature"), F.max("l_tax").alias("other")), f"{folder}/qc")
+    return spark.read.csv(f"{folder}/qc", header=True).select("GROUP", F.col("NumMeasuredFeature").alias("n"))
+
+
+@query(""", te as (select distinct replace(child, ' ', '_') child, replace(parent, ' ', '_') parent, kind from term_edges) select child, parent, kind, n_children from te join (select parent, count(*) n_children from te group by 1) using (parent)""")
+def ontology_files(spark: SparkSession, sf: str) -> DataFrame:
+    """An ontology written as stanzas, with an obsolete term and a parent of another namespace, and read as edges."""
+    folder = _folder(spark)
+    rows = views.term_edges(spark, sf).select(*[F.translate(c, " ", "_").alias(c) for c in ("child", "parent", "kind")]).distinct()
+    line = F.when(F.col("kind") == "isa", F.concat(F.lit("is_a: "), "parent", F.lit(" ! x"))).otherwise(F.concat(F.lit("relationship: part_of "), "parent", F.lit(" ! y")))
+    head = lambda term, space: F.concat(F.lit("[Term]\nid: "), term, F.lit(f"\nnamespace: {space}\n"))
+    stanzas = rows.groupBy("child").agg(F.concat(head(F.col("child"), "n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\nis_a: ELSEWHERE ! z")).alias("value")).select("value")
+    more = spark.range(1).select(F.explode(F.array(head(F.lit("ROOT"), "n"), head(F.lit("ELSEWHERE"), "m"), F.concat(head(F.lit("OLD"), "n"), F.lit("is_a: ROOT\nis_obsolete: true")))).alias("value"))
+    stanzas.union(more).write.text(f"{folder}/terms", lineSep="\n\n")
+    return ontology.edges(readers.read_obo(spark, f"{folder}/terms")).select("child", "parent", "kind", "n_children")
+
+
+@query(""", pt as (select 'P' || l_partkey first_id, count(*) n from lineitem group by 1), pr as (select 'P' || p_partkey first_id, p_type, p_brand, p_partkey, count(*) over (partition by p_type) c from part where p_partkey % 5 <> 0)
+select first_id, n, case when c > 1 then p_type end location, p_brand || '; ' || p_type motif, p_brand || '; b' go_cellular from pt left join pr using (first_id)""")
+def annotation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Protein annotations written with the file's column names, read and joined by the first id."""
+    folder, part = _folder(spark), views.table(spark, sf, "part").where("p_partkey % 5 <> 0")
+    part.select(
+        F.expr("concat('P', p_partkey)").alias("Entry"), F.concat(F.lit("SUBCELLULAR LOCATION: "), "p_type", F.lit(" {ECO:1}; x")).alias("Subcellular location [CC]"),
+        F.concat(F.lit('MOTIF 1..2; /note="'), "p_brand", F.lit('"; /note="'), "p_type", F.lit('"')).alias("Motif"), F.concat("p_brand", F.lit(" [GO:0000001]; b [GO:0000002]")).alias("Gene Ontology (cellular component)"),
+    ).write.csv(f"{folder}/proteins", sep="\t", header=True)
+    proteins = annotate.clean_proteins(readers.read_annotations(spark, "proteins", f"{folder}/proteins"))
+    rows = views.table(spark, sf, "lineitem").groupBy(F.expr("concat('P', l_partkey)").alias("first_id")).agg(F.count(F.lit(1)).alias("n"))
+    return annotate.join_proteins(rows, proteins).select("first_id", "n", "location", "motif", "go_cellular")
+
+
+@query("""select 'whole' file, 'experiment_not_in_data' rule, 'X1' "key" union all select 'whole', 'warning_experiment_not_in_design', experiment from ed where experiment = 'E0_1'
+union all select 'cut', 'missing_column', 'Reverse' from (select 1 from ed limit 1) union all select 'cut', 'empty_data', null""")
+def input_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A design with an experiment too many and one too few against a whole protein table, and one without rows and a column."""
+    wide, names = _wide(spark, sf), {v: k for k, v in readers.MAXQUANT_COLUMNS.items()}
+    whole = wide.select(*[F.col(c).alias(names.get(c, f"Intensity {c}")) for c in wide.columns])
+    one = views.design(spark, sf).where("experiment = 'E0_2'").withColumn("experiment", F.lit("X1"))
+    design = views.design(spark, sf).where("experiment <> 'E0_1'").unionByName(one)
+    found = [validate.validate_inputs(design, t, "maxquant").select(F.lit(name).alias("file"), "rule", "key") for name, t in (("whole", whole), ("cut", whole.drop("Reverse").where("false")))]
+    return found[0].unionByName(found[1])
+
+
+@query("""select case when substr(experiment, 2, 1) = '9' then 'unknown experiment' when substr(prey, 2)::bigint % 7 = 0 then 'unknown prey' end problem, case when bait in ('B8') then 'C' when bait <> 'B9' then 'T' end "type", count(*) n,
+  count(*) filter (substr(prey, 2)::bigint % 7 <> 0) n_gene from inter group by 1, 2""")
+def indexed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a design without one bait and preys without every seventh, sorted into known and unknown."""
+    design, preys = views.design(spark, sf).where("bait <> 'B9'"), views.preys(spark, sf).where("cast(substring(prey, 2) as long) % 7 <> 0")
+    good, bad = scoring.index_interactions(_counts(spark, sf), design, preys)
+    rows = good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad)
+    return rows.groupBy("problem", "type").agg(F.count(F.lit(1)).alias("n"), F.count("gene").alias("n_gene"))
+
+
+@query("""select prey, sum((spc > 40)::int) >= 0.5 * (select count(*) from ed where "type" = 'T') frequent from inter join ed using (experiment) where "type" = 'T' group by 1""")
+def frequent_preys(spark: SparkSession, sf: str) -> DataFrame:
+    test = views.design(spark, sf).where("type = 'T'").select("experiment")
+    return scoring.frequent_preys(_counts(spark, sf).join(test, "experiment").withColumn("z", F.col("value") > 40))
+
+
+@query("""select bait experiment, replicate, coalesce(bait_id, bait) bait, prey, gene, spc "count" from (select i.experiment, i.prey, i.spc, e.bait, e.bait_id, e.replicate from inter i left join (select * from ed where bait <> 'B9') e using (experiment)) left join prey using (prey)""")
+def wd_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The wd table from scoring inputs, whose design lacks one bait."""
+    return ingest.wd_from_scoring_inputs(_counts(spark, sf), views.design(spark, sf).where("bait <> 'B9'"), views.preys(spark, sf))
+
+
+@query("""select count(*) n, 0::bigint reverse, 0::bigint only_by_site, count(*) filter (substr(prey, 2)::bigint % 50 = 0) contaminant from (select distinct prey from inter)""")
+def flagged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.flagged_counts(_wide(spark, sf))
+
+
+@query(SCORED + "select prey, score from scored where bait = 'B3' and score >= 0.4 and bfdr <= 0.5")
+def bait_network(spark: SparkSession, sf: str) -> DataFrame:
+    return analytics.bait_network(scored_view(spark, sf), "B3", score=0.4, bfdr=0.5).select("prey", "score")
+
+
+def _semantics_sql(name: str, where: str) -> str:
+    """Semantic values (sv), totals (tt) and pair similarities of one part of the terms, by suffix."""
+    n = name
+    return f""", et_{n} as (select distinct * from term_edges where {where}),
+ew_{n} as (select child, parent, max(1 / (0.67 + n) + case kind when 'isa' then 0.4 else 0.3 end) w from et_{n} join (select parent, count(*) n from et_{n} group by 1) using (parent) group by 1, 2),
+pa_{n} as (select term, term anc, 1.0::double v from (select child term from et_{n} union select parent from et_{n}) union all select p.term, ew_{n}.parent, p.v * ew_{n}.w from pa_{n} p join ew_{n} on ew_{n}.child = p.anc),
+sv_{n} as (select term, anc, max(v) v from pa_{n} group by 1, 2), tt_{n} as (select term, sum(v) t from sv_{n} group by 1),
+xy_{n} as (select a, b, x.term x, y.term y from gp join prey_terms x on x.prey = a join prey_terms y on y.prey = b join tt_{n} t on t.term = x.term join tt_{n} u on u.term = y.term),
+ss_{n} as (select x, y, coalesce((select sum(p.v + q.v) from sv_{n} p join sv_{n} q using (anc) where p.term = x and q.term = y), 0) / ((select t from tt_{n} where term = x) + (select t from tt_{n} where term = y)) s from (select distinct x, y from xy_{n})),
+rw_{n} as (select a, b, x, y, s from xy_{n} join ss_{n} using (x, y)), bs_{n} as (select a, b, x t, max(s) s from rw_{n} group by 1, 2, 3 union all select a, b, y, max(s) from rw_{n} group by 1, 2, 3),
+bm_{n} as (select a, b, max(s) over (partition by a, b, t) s from bs_{n}), si_{n} as (select a, b, round(avg(s), 6) s from bm_{n} group by 1, 2)"""
+
+
+@query(SCORED + ", gp as (select distinct bait_id a, prey b from scored where score >= 0.75)" + _semantics_sql("p", "child not like 'W:%'") + _semantics_sql("f", "child like 'W:%'") + """
+select coalesce(p.a, f.a) a, coalesce(p.b, f.b) b, p.s process, f.s "function", coalesce(p.s, f.s) "first" from si_p p full join si_f f on p.a = f.a and p.b = f.b""")
+def similarity_by_ontology(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene pairs in two ontologies side by side: types and brands, and words."""
+    space = F.when(F.col("child").startswith("W:"), "f").otherwise("p")
+    raw = views.term_edges(spark, sf).distinct().select(space.alias("namespace"), "child", "parent", "kind")
+    counts = raw.groupBy("namespace", "parent").agg(F.count(F.lit(1)).alias("n_children"))
+    values = ontology.semantic_values(ontology.weigh(raw.join(counts, ["namespace", "parent"])))
+    pairs = scored_view(spark, sf).where("score >= 0.75").select(F.col("bait_id").alias("a"), F.col("first_id").alias("b")).distinct()
+    terms = views.prey_terms(spark, sf).withColumnRenamed("prey", "gene")
+    return ontology.by_ontology(ontology.gene_similarity(values, terms, pairs, digits=6), {"p": "process", "f": "function"})
+
+
 @query()
 def full_run(spark: SparkSession, sf: str) -> DataFrame:
     """Files in, annotated scores out: the pipeline over scoring inputs, with known pairs and proteins."""

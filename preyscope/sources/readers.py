@@ -18,8 +18,29 @@ MAXQUANT_COLUMNS = {
     "Reverse": "reverse", "Only identified by site": "only_by_site", "Potential contaminant": "contaminant",
 }
 ANNOTATION_FORMATS = {
-    "proteins": {"sep": "\t"}, "atlas": {"sep": "\t"}, "complexes": {"sep": "\t", "encoding": "ISO-8859-1"}, "known": {"sep": "\t"}, "known_summary": {"sep": ","},
+    "proteins": {"sep": "\t"}, "atlas": {"sep": "\t"}, "complexes": {"sep": "\t", "encoding": "ISO-8859-1"},
+    "physical": {"sep": "\t"}, "multivalidated": {"sep": "\t"}, "known": {"sep": ","},
 }
+_PAIR_COLUMNS = {
+    "Organism ID Interactor A": "organism_a", "Organism ID Interactor B": "organism_b", "Experimental System Type": "system_type", "Experimental System": "system",
+    "Author": "author", "Publication Source": "source", "SWISS-PROT Accessions Interactor A": "a", "SWISS-PROT Accessions Interactor B": "b",
+}
+ANNOTATION_COLUMNS = {
+    "proteins": {
+        "Entry": "entry", "Gene Names": "names", "Subcellular location [CC]": "location", "Gene Ontology (cellular component)": "go_cellular",
+        "Gene Ontology (biological process)": "go_process", "Gene Ontology (molecular function)": "go_function", "Motif": "motif", "Region": "region",
+        "Repeat": "repeat", "Compositional bias": "bias", "Domain [FT]": "domain",
+    },
+    "atlas": {"Gene name": "gene", "Main location": "main_location"},
+    "complexes": {"complex_name": "complex", "subunits_uniprot_id": "subunits"},
+    "physical": _PAIR_COLUMNS, "multivalidated": _PAIR_COLUMNS,
+    "known": {
+        "SWISS-PROT Accessions Interactor A": "a", "SWISS-PROT Accessions Interactor B": "b", "Experimental System": "systems", "Author": "authors",
+        "Publication Source": "sources", "Multivalidated": "multivalidated",
+    },
+}
+MSSTATS_COLUMNS = ("Protein", "originalRUN", "GROUP", "SUBJECT", "LABEL", "LogIntensities")
+REQUIRED = {"maxquant": tuple(MAXQUANT_COLUMNS), "diann": ("Protein.Group", "Genes"), "fragpipe": ("Protein", "Protein ID", "Gene", "Protein Length"), "msstats": MSSTATS_COLUMNS}
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -44,11 +65,20 @@ def _bad_utf8(df: DataFrame) -> bool:
     return not df.where(F.exists(F.array(*[F.col(f"`{c}`").contains("�") for c in df.columns]), lambda x: F.coalesce(x, F.lit(False)))).isEmpty()
 
 
-def read_design(spark: SparkSession, path: str) -> DataFrame:
-    """experiment, type, bait, bait_id, replicate, grp (strings). UTF-8 with or without a mark, else Latin-1."""
-    df = _csv(spark, path, encoding=ENCODINGS[0])
-    if _bad_utf8(df):
-        df = _csv(spark, path, encoding=ENCODINGS[1])
+def read_text_table(spark: SparkSession, path: str, encoding: str | None = None, **options: str) -> DataFrame:
+    """A file with a header in UTF-8 with or without a mark, else Latin-1, which takes any byte; any other encoding has
+    to be named. Of those that Spark has no reader for, windows-1252 is Latin-1 with other signs at 0x80 to 0x9F."""
+    if encoding == "windows-1252":
+        df = _csv(spark, path, encoding=ENCODINGS[1], **options)
+        own = {chr(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+        return df.select(*[F.translate(F.col(f"`{c}`"), "".join(own), "".join(own.values())).alias(c.translate(str.maketrans(own))) for c in df.columns])
+    df = _csv(spark, path, encoding=encoding or ENCODINGS[0], **options)
+    return _csv(spark, path, encoding=ENCODINGS[1], **options) if not encoding and df.columns and _bad_utf8(df) else df
+
+
+def read_design(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """experiment, type, bait, bait_id, replicate, grp (strings)."""
+    df = read_text_table(spark, path, encoding)
     check_columns(df, DESIGN_COLUMNS)
     optional = lambda c: F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string")
     return df.select(
@@ -94,7 +124,7 @@ def read_fragpipe(spark: SparkSession, path: str, experiments: Sequence[str], qu
 
 def read_msstats(spark: SparkSession, path: str) -> DataFrame:
     """prey, label, log_intensity (log2), experiment of a protein-level file."""
-    df = check_columns(_csv(spark, path), ["Protein", "LABEL", "LogIntensities", "originalRUN"])
+    df = check_columns(read_text_table(spark, path), ["Protein", "LABEL", "LogIntensities", "originalRUN"])
     return df.select(F.col("Protein").alias("prey"), F.col("LABEL").alias("label"), F.col("LogIntensities").try_cast("double").alias("log_intensity"), F.col("originalRUN").alias("experiment"))
 
 
@@ -112,13 +142,28 @@ def read_scoring_inputs(spark: SparkSession, baits: str, preys: str, interaction
         p = p.select(F.col("_c0").alias("prey"), F.col("_c2").alias("gene"), F.col("_c1").cast("double").alias("length"))
     else:
         p = p.select(F.col("_c0").alias("prey"), F.col("_c1").alias("gene"), F.col("_c2").try_cast("double").alias("imputed_mu"))
-    i = tsv(interactions).toDF("experiment", "bait", "prey", "value")
-    return b, p, i.withColumn("value", F.col("value").cast("double")).withColumn("ordinal", F.monotonically_increasing_id())
+    i = tsv(interactions)
+    i = i.select(*i.columns, file_order().alias("ordinal")).toDF("experiment", "bait", "prey", "value", "ordinal")
+    return b, p, i.withColumn("value", F.col("value").cast("double"))
+
+
+def file_order() -> Column:
+    """A number by which rows sort as they stand in their file, and files by name: name and start of the block read,
+    then the row's place in what a task reads of it."""
+    meta = F.col("_metadata")
+    return F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_annotations(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """proteins, atlas, complexes (Latin-1), known or known_summary, with an ordinal of the rows in file order."""
-    return _csv(spark, path, **ANNOTATION_FORMATS[kind]).withColumn("ordinal", F.monotonically_increasing_id())
+    """proteins, atlas, complexes (Latin-1), physical and multivalidated pairs, or known (their summary), with short
+    column names and an ordinal that sorts as the rows stand in the file. Columns that the file lacks are left out."""
+    names = ANNOTATION_COLUMNS[kind]
+    raw = spark.read.csv(path, header=True, **ANNOTATION_FORMATS[kind])
+    named = {c.lstrip("\ufeff").removeprefix("ï»¿"): c for c in raw.columns}
+    rows = raw.select(*[F.col(f"`{named[c]}`").alias(n) for c, n in names.items() if c in named], file_order().alias("ordinal"))
+    numbers = {c: F.col(c).try_cast("int") for c in ("organism_a", "organism_b") if c in rows.columns}
+    flags = {"multivalidated": F.coalesce(F.lower("multivalidated") == "true", F.lit(False))} if "multivalidated" in rows.columns else {}
+    return rows.withColumns(numbers | flags)
 
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The columns of the quality-control sidecar.
-SIDECAR = ("Run", "GROUP", "SUBJECT", "TotalGroupMeasurements", "NumMeasuredFeature", "MissingPercentage", "more50missing", "NumImputedFeature")
+SIDECAR = ("Protein", "originalRUN", "GROUP", "SUBJECT", "NumMeasuredFeature", "NumImputedFeature", "MissingPercentage", "more50missing")
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
