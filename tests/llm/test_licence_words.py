@@ -22,7 +22,7 @@ def test_a_file_with_every_notice(spark):
 
 def test_every_file_has_a_notice(spark):
     rng = random.Random(1)
-    texts = [prose(rng, 20) + " " + licenses.TEMPLATES[k % len(licenses.TEMPLATES)].text + " " + prose(rng, 20) for k in range(15)]
+    texts = [prose(rng, 20) + " " + licenses.TEMPLATES[k % len(licenses.TEMPLATES)].text + " " + prose(rng, 20) for k in range(len(licenses.TEMPLATES))]
     out = labels_of(spark, texts)
     assert all(t.label in out[k] for k, t in enumerate(licenses.TEMPLATES))
     same = labels_of(spark, [prose(rng, 20) + " released under the MIT License, " + prose(rng, 20) for _ in range(10)])
