@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_folder
+
 #: Java and Python spelling of the contract's word: anything but ASCII white space.
 BLANKS = "\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,23 +38,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where it names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="preyscope-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared checkpoint folder, reread: compressed, and it outlives executors."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
