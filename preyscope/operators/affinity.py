@@ -13,8 +13,8 @@ from ..functions.lineage import cut
 def affinity_clusters(similar: DataFrame, preference: float, damping: float = 0.5, rounds: int = 100, stable: int = 10) -> DataFrame:
     """(node, exemplar) of similar(a, b, similarity), both directions taken from each undirected edge.
 
-    Responsibilities need a node's two best sums, availabilities the positive responsibilities of a target: two
-    aggregates a round over the edges, checkpointed every few rounds. It ends when the exemplars stay the same for
+    Responsibilities need a node's two best sums, availabilities the positive responsibilities of a target: a shuffle of
+    the edges by node and one by target a round, checkpointed every few rounds. It ends when the exemplars stay the same for
     `stable` rounds, and warns if `rounds` run out before. Ties go to the smaller name; nodes without an exemplar among their edges stand for themselves.
     """
     both = similar.select("a", "b", "similarity").union(similar.select("b", "a", "similarity")).toDF("i", "k", "s")
@@ -23,16 +23,16 @@ def affinity_clusters(similar: DataFrame, preference: float, damping: float = 0.
     state = cut(edge.withColumn("r", F.lit(0.0)).withColumn("a", F.lit(0.0)))
     last, same = None, 0
     for n in range(rounds):
-        value = F.col("a") + F.col("s")
-        by_node = Window.partitionBy("i").orderBy(F.desc("v"), "k")
-        ranked = state.withColumn("v", value).withColumn("rank", F.row_number().over(by_node))
-        top = ranked.groupBy("i").agg(F.max(F.when(F.col("rank") == 1, F.col("v"))).alias("v1"), F.max(F.when(F.col("rank") == 2, F.col("v"))).alias("v2"))
-        new = F.col("s") - F.when(F.col("rank") == 1, F.coalesce("v2", F.lit(-1e30))).otherwise(F.col("v1"))
-        rows = ranked.join(top, "i").withColumn("r", damping * F.col("r") + (1 - damping) * F.greatest(F.lit(-1e30), new)).select("i", "k", "s", "r", "a")
-        mine = F.col("i") == F.col("k")
-        sums = rows.groupBy("k").agg(F.sum(F.when(~mine, F.greatest(F.lit(0.0), "r")).otherwise(0.0)).alias("p"), F.max(F.when(mine, F.col("r"))).alias("self_r"))
+        best = Window.partitionBy("i").orderBy(F.desc("v"), "k")
+        rows = state.withColumn("v", F.col("a") + F.col("s")).withColumn("rank", F.row_number().over(best))
+        by_node, by_target, mine = Window.partitionBy("i"), Window.partitionBy("k"), F.col("i") == F.col("k")
+        second = F.coalesce(F.max(F.when(F.col("rank") > 1, F.col("v"))).over(by_node), F.lit(-1e30))
+        new = F.col("s") - F.when(F.col("rank") == 1, second).otherwise(F.max("v").over(by_node))
+        rows = rows.withColumn("r", damping * F.col("r") + (1 - damping) * F.greatest(F.lit(-1e30), new))
+        total = F.sum(F.when(~mine, F.greatest(F.lit(0.0), "r")).otherwise(0.0)).over(by_target)
+        rows = rows.withColumn("p", total).withColumn("self_r", F.max(F.when(mine, F.col("r"))).over(by_target))
         a = F.when(mine, F.col("p")).otherwise(F.least(F.lit(0.0), F.col("self_r") + F.col("p") - F.greatest(F.lit(0.0), "r")))
-        state = rows.join(sums, "k").withColumn("a", damping * F.col("a") + (1 - damping) * a).select("i", "k", "s", "r", "a")
+        state = rows.withColumn("a", damping * F.col("a") + (1 - damping) * a).select("i", "k", "s", "r", "a")
         if n % 5 == 4:
             state = cut(state)
             heads = tuple(state.where("i = k and r + a > 0").agg(F.count(F.lit(1)), F.sum(F.xxhash64("i").cast("decimal(38,0)"))).first())

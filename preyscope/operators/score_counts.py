@@ -47,7 +47,7 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls:
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value): densities, rounds, posterior, report."""
-    keys, inter = [*by, "prey", "bait"], cut(inter)
+    keys, inter, design = [*by, "prey", "bait"], cut(inter), scoring.checked_design(design)
     cells = cut(densities(inter, design, preys, n_controls, by))
     beta = scoring._per_group(scoring.settle_labels(cells, by, rounds), by)
     odds = beta + F.col("lt") - F.col("lf")

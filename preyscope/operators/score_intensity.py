@@ -80,7 +80,7 @@ def _densities(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value); preys(prey, gene[, imputed_mu])."""
-    keys, std = [*by, "prey", "bait"], cut(log_standardise(inter, by))
+    keys, std, design = [*by, "prey", "bait"], cut(log_standardise(inter, by)), scoring.checked_design(design)
     cells = cut(_densities(std, design, preys, by))
     beta = scoring._per_group(scoring.settle_labels(cells, by, rounds), by)
     odds = beta + F.col("lt") - F.col("lf")

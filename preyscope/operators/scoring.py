@@ -19,6 +19,18 @@ from ..functions.stats import tail_fdr
 BETA_LIMIT = 15.0
 
 
+#: Experiments of a design at most: designs are broadcast, some 100 bytes a row.
+MOST_EXPERIMENTS = 100_000
+
+
+def checked_design(design: DataFrame) -> DataFrame:
+    """The design as a written table, of a size that can be broadcast."""
+    design = cut(design)
+    if (n := design.count()) > MOST_EXPERIMENTS:
+        raise ValueError(f"{n} rows are too many for a design of experiments")
+    return design
+
+
 def index_interactions(inter: DataFrame, design: DataFrame, preys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with `type` and `gene`, rows whose experiment or prey is unknown with `problem`)."""
     rows = inter.join(F.broadcast(design.select("experiment", "type", F.lit(True).alias("_e"))), "experiment", "left")

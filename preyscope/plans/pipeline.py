@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.stats import tail_fdr
-from ..operators import annotate, groups, impute, ingest, ontology, score_counts, score_intensity, wd
+from ..operators import annotate, groups, impute, ingest, ontology, score_counts, score_intensity, scoring, wd
 from ..operators.validate import validate_design, validate_inputs
 from ..sources import readers
 
@@ -33,7 +33,8 @@ def load(spark: SparkSession, kind: str, path: str, design: DataFrame, quant: st
 
 def score(inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, iterations: int | None = None, **how: int) -> DataFrame:
     """Posterior and wd scores, merged; `iterations` draws p-values instead of taking them exactly. A grouped design is scored for all its groups at once, with bfdr over them all."""
-    inter, design = cut(ingest.drop_control_only(ingest.drop_zero(inter), design)), cut(design)
+    design = scoring.checked_design(design)
+    inter = cut(ingest.drop_control_only(ingest.drop_zero(inter), design))
     if imputation and quant != "spc":
         share = pi if pi is not None else impute.estimate_pi(inter, design) if imputation == "mixture" else 0.0
         found = cut(impute.impute(inter, design, preys, imputation, share).select("prey", "imputed_mu"))
