@@ -1,20 +1,17 @@
-"""Near copies: all pairs of texts whose word shingles are alike: SimHash covering tables first, then a prefix join.
+"""Near copies: pairs of texts whose word shingles are alike, by SimHash covering tables and bands of minima, verified.
 
-The covering tables of simhash.py, over fingerprints of the same shingles, find the pairs within their radius. Sets of
-similarity 0.8 differ in about 10 of 64 bits, where the covering construction would need 2^11 tables; so a prefix join
-finds what is further apart. Every pair of either is held against the texts' whole sets.
+The covering tables of simhash.py, over fingerprints of the same shingles, find all pairs within their radius. Sets of
+similarity 0.8 differ in about 10 of 64 bits, where the covering construction would need 2^11 tables; so pairs that are
+further apart are found by bands of ROWS minima of random permutations. A pair of similarity s shares none of BANDS
+bands with a chance of (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, and less above. Every pair of either is held against the
+texts' whole sets.
 
-For the prefix join, shingles are put in one order: those that a bounded sample finds often last, the rest by hash. Two sets whose Jaccard
-similarity is at least t share a shingle among the first n - ceil(t n) + 1 of each, so no pair is missed, whatever the
-order. The order only keeps common passages out of these prefixes. Candidates are held against each other's whole sets.
-
-A family of m copies would have m^2 / 2 candidates. So each text that shares a shingle is first verified with one
-leader, and only texts that are in different components after that are listed as pairs.
+A family of m copies would have m^2 / 2 candidates. So each text that shares a band is first verified with one leader,
+and only texts that are in different components after that are listed as pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,16 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, cut
+from .common import components, cut, written
 
 SHINGLE = 5
 LEAST = 0.8
-#: About so many texts are sampled for common shingles; one in COMMON of them or more counts, up to MOST shingles.
-SAMPLED, COMMON, MOST = 10_000, 3, 50_000
+#: Bands, and minima in each.
+BANDS, ROWS = 24, 5
+#: Keys of texts to verify are broadcast up to so many, 8 bytes each; beyond, texts are shuffled.
+BROADCAST_KEYS = 1_000_000
 #: Rows of a group that are held against all others at once.
 BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-POSTING = "g long, key long, n int, p int"
+POSTING = "g long, key long, n int"
+_rng = np.random.default_rng(31)
+_TIMES, _PLUS = (_rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,8 +49,18 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix_length(n: int, least: float) -> int:
-    return n - math.ceil(least * n - 1e-9) + 1
+def bands(own: np.ndarray) -> np.ndarray:
+    """The bands of a set of hashes: minima of BANDS * ROWS permutations, mixed by the row."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(own), 4096):
+        x = own[None, at : at + 4096] * _TIMES + _PLUS
+        x ^= x >> np.uint64(31)
+        least = np.minimum(least, (x * _ODD).min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * _ODD
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -57,41 +68,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of several sampled texts, the rarest first."""
-    n = texts.count()
-    some = texts.where(F.pmod("key", F.lit(max(1, n // SAMPLED))) == 0).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], ["g"])
-
-    found = some.mapInArrow(run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    rows = found.orderBy(F.desc("n"), "g").limit(MOST).select("g").toArrow().column(0).to_numpy()
-    return rows[::-1].copy()
-
-
-def _postings(texts: DataFrame, common: np.ndarray, shingle: int, least: float) -> DataFrame:
-    """POSTING: the first shingles of every text, its key, the size of its set and the shingle's place in the order."""
-    by_hash = np.argsort(common.view(np.uint64))
-    values, ranks = common.view(np.uint64)[by_hash], by_hash + 1
+def _postings(texts: DataFrame, shingle: int) -> DataFrame:
+    """POSTING: the bands of every text, its key and the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, keys = [], batch.column(0).to_numpy(zero_copy_only=False)
-            for t in batch.column(1):
-                own = shingles(t.as_py(), shingle)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    own = own[np.argsort(np.where(values[at] == own, ranks[at], 0), kind="stable")]
-                parts.append((own[: prefix_length(len(own), least)], len(own)))
-            sizes = np.array([len(p) for p, _ in parts], np.int64)
-            if not len(sizes):
-                continue
-            places = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-            columns = [np.concatenate([p for p, _ in parts]).view(np.int64), np.repeat(keys, sizes), np.repeat(np.array([n for _, n in parts], np.int32), sizes), places]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*"abcd"])
+            keys, own = batch.column(0).to_numpy(zero_copy_only=False), [shingles(t.as_py(), shingle) for t in batch.column(1)]
+            if own:
+                columns = [np.concatenate([bands(x) for x in own]).view(np.int64), np.repeat(keys, BANDS), np.repeat(np.array([len(x) for x in own], np.int32), BANDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*"abc"])
 
     return texts.mapInArrow(run, POSTING)
 
@@ -140,23 +125,23 @@ def _batched(run: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], name
 
 
 def _led(postings: DataFrame, least: float) -> DataFrame:
-    """Postings of shingles that several texts share, with `leader`: the smallest text of a size near enough."""
+    """Postings of bands that several texts share, with `leader`: the smallest text of a size near enough."""
 
     def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         fresh = np.concatenate([[True], np.diff(group[1]) != 0]) if len(group[1]) else np.zeros(0, bool)
-        g, key, n, p = (c[fresh] for c in group)
+        g, key, n = (c[fresh] for c in group)
         if len(g) < 2:
             return
         order = np.lexsort((key, n))
-        g, key, n, p = g[order], key[order], n[order], p[order]
+        g, key, n = g[order], key[order], n[order]
         leader, at = np.empty_like(key), 0
         while at < len(n):
             stop = int(np.searchsorted(n, n[at] / least + 1e-9, "right"))
             leader[at:stop] = key[at]
             at = stop
-        yield [g, key, n, p, leader]
+        yield [g, key, n, leader]
 
-    return postings.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_batched(run, "abcde"), f"{POSTING}, leader long")
+    return postings.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_batched(run, "abcd"), f"{POSTING}, leader long")
 
 
 def _covered(texts: DataFrame, shingle: int) -> DataFrame:
@@ -171,29 +156,29 @@ def _covered(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _between(led: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs that share a posting, in different components, whose sizes and places leave the similarity open."""
+    """(a, b): pairs that share a band, in different components, whose sizes leave the similarity open."""
 
     def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, key, n, p, of = group
+        _, key, n, of = group
         if (of == of[0]).all():
             return
-        n, rest = n.astype(np.int64), (n - p).astype(np.int64)  # rest: the shingle and what is behind it
+        n = n.astype(np.int64)
         for low in range(0, len(key), BLOCK):
             i = slice(low, low + BLOCK)
-            shared = np.minimum(rest[i, None], rest[None, low:])
-            good = (shared * (1 + least) + 1e-6 >= least * (n[i, None] + n[None, low:])) & (of[i, None] != of[None, low:])
+            good = (np.minimum(n[i, None], n[None, low:]) + 1e-6 >= least * np.maximum(n[i, None], n[None, low:])) & (of[i, None] != of[None, low:])
             x, y = np.nonzero(good)
             x, y = x[y > x] + low, y[y > x] + low
             yield [np.minimum(key[x], key[y]), np.maximum(key[x], key[y])]
 
-    rows = led.drop("leader").join(groups.toDF("key", "of"), "key", "left").select("g", "key", "n", "p", F.coalesce("of", "key").alias("of"))
+    rows = led.drop("leader").join(groups.toDF("key", "of"), "key", "left").select("g", "key", "n", F.coalesce("of", "key").alias("of"))
     return rows.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_batched(run, "ab"), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """pairs(a, b) of texts whose shingle sets have at least that similarity."""
     pairs = cut(pairs)
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    keys = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], [*"ab"])
 
-    sets = cut(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(gather, "key long, own binary"))
+    sets = written(texts.join(keys, "key", "left_semi").mapInArrow(gather, "key long, own binary").dropDuplicates(["key"]))
     both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
 
@@ -221,7 +206,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     """
     texts = _keyed(docs)
     covered = _covered(texts, shingle)
-    led = cut(_led(_postings(texts, _common(texts, shingle), shingle, least), least))
+    led = written(_led(_postings(texts, shingle), least))
     pairs = led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).union(covered)
     first = _verified(pairs.distinct(), texts, shingle, least)
     rest = _verified(_between(led, cut(components(first)), least), texts, shingle, least)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -86,12 +87,16 @@ def test_mix_of_rows_that_share_an_id(spark):
     assert sum(len(WORD.findall(r.text)) for r in out) == taken > 100
 
 
-def test_prefixes_miss_no_pair():
-    for n in range(1, 60):
-        for m in range(n, 60):
-            for both in range(1, n + 1):
-                if both / (n + m - both) >= 0.8:  # shared shingles last in both orders
-                    assert n - both < near_copies.prefix_length(n, 0.8) and m - both < near_copies.prefix_length(m, 0.8)
+def test_bands_find_alike_sets():
+    """A pair of similarity s shares a band of five minima with a chance of s^5: the share of bands is near that."""
+    rng = np.random.default_rng(2)
+    shares = []
+    for _ in range(60):
+        both, one, two = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (400, 50, 50))
+        a, b = (near_copies.bands(np.unique(np.concatenate([both, x]))) for x in (one, two))
+        shares.append((a == b).mean())
+    assert all(x > 0 for x in shares) and abs(np.mean(shares) - 0.8**5) < 0.04
+    assert (near_copies.bands(both) == near_copies.bands(both[::-1])).all() and len(near_copies.bands(both)) == near_copies.BANDS
 
 
 def test_stage_on_the_test_table(spark):
