@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, edit_embedding, langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes
+from . import byte_bpe, edit_embedding, langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes, whitening
 from .common import documents
 
 
@@ -65,9 +65,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids_column=None)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints, op11_byte_bpe)
+    for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints, op11_byte_bpe, op13_whitening)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
