@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, edit_embedding, langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes, whitening
+from . import byte_bpe, conversation_trie, edit_embedding, langid, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substrings, suffixes, whitening
 from .common import documents
 
 
@@ -65,16 +65,24 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ids_column=None)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints, op11_byte_bpe, op13_whitening)
+    for f in (op1_simhash, op2_licenses, op3_pii, op4_quality, op5_langid, op6_substrings, op7_suffixes, op8_sentencepiece, op9_mixing, op10_fingerprints, op11_byte_bpe, op12_conversation_trie, op13_whitening)
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: A step of CRC-32: a byte's eight shifts.
+_CRC = "xor(a, b)"
+for _ in range(8):
+    _CRC = f"list_transform([{_CRC}], lambda v{_}: xor(v{_} >> 1, 3988292384 * (v{_} & 1)))[1]"
 #: SQL for whole results; the other operators hash with functions that the oracle lacks, or are trained models.
 ORACLE: dict[str, str] = {
     "op4_quality": rf"""
@@ -109,4 +117,20 @@ c as (select r, i, x, bool_or(again) over (partition by r order by i rows betwee
 e as (select *, gone and not coalesce(lag(gone) over (partition by r order by i), false) edge from c),
 o as (select r, count(*) filter (gone) n_removed, count(*) filter (edge) n_spans, string_agg(x, '' order by i) filter (not gone) kept from e group by 1)
 select doc_id, len(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join o using (r)""",
+    "op12_conversation_trie": rf"""
+with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, role, text) p from conversations where conv_id is not null),
+i as (select distinct c, c::varchar s from t),
+h as (select c, (xor(list_reduce(list_transform(range(1, length(s) + 1), lambda k: ascii(substr(s, k, 1))::bigint), lambda a, b: {_CRC}, 4294967295::bigint), 4294967295::bigint)) % 4 h from i),
+b as (select h.c, 0 part, p, r, x from h join t on t.c = h.c - h.c % 20 where p <= h union all select h.c, 1, p, r, x from h join t using (c) where p > h),
+m as (select c, md5(length(r) || ':' || r || x) k, len(regexp_extract_all(x, '{_WORD}+')) w, row_number() over (partition by c order by part, p) d from b),
+k as (select c, d, w, string_agg(k, '') over (partition by c order by d) k from m union all select c, 0, 0, '' from i),
+e as (select c, max_by(k, d) k from k group by 1),
+f as (select k, sha256(string_agg(c::varchar, ',' order by c)) ends from e group by 1),
+n as (select k, d, min(c) c, count(*) n, any_value(w) w from k group by 1, 2),
+q as (select substr(k, 1, 32 * (d - 1)::integer) k, count(*) kids from n where d > 0 group by 1),
+l as (select n.*, coalesce(kids, 0) kids from n left join q using (k)),
+u as (select k, d, kids, n, w, unnest(range(0, d + 1)) a from l),
+z as (select substr(k, 1, 32 * a::integer) k, count(*) filter (kids = 0) leaves, sum((n - 1) * w)::bigint saved from u group by 1)
+select l.c conv_id, l.d depth, o.c parent_conv_id, l.n n_convs, l.kids n_children, leaves n_leaves, saved saved_tokens, coalesce(ends, sha256('')) ends_sha256
+from l join z using (k) left join f using (k) left join n o on l.d > 0 and o.d = l.d - 1 and o.k = substr(l.k, 1, 32 * (l.d - 1)::integer)""",
 }
