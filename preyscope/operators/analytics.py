@@ -9,12 +9,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import leading, summed
 from ..functions.lineage import cut
 from ..functions.stats import bh_adjust, hypergeom_tail, running, t_two_sided
 from ..functions.text import features, intensities
+from . import scoring
 
 
 def apply_thresholds(scored: DataFrame, score: float = 0.0, bfdr: float = 1.0, wd: float = 0.0, wd_fdr: float = 1.0, baits: Sequence[str] | None = None) -> DataFrame:
@@ -95,38 +98,87 @@ def evidence_class(scored: DataFrame) -> DataFrame:
 
 
 def pca_matrix(inter: DataFrame, design: DataFrame, present: float = 0.5) -> DataFrame:
-    """(prey, experiment, z) in long form for preys seen in at least a share of experiments.
+    """(prey, experiment, z) in long form for preys seen in at least a share of experiments: an export of the whole grid.
 
     Missing cells take the prey's least value; z is by prey with the sample deviation. Preys without spread go.
     """
-    n = design.agg(F.countDistinct("experiment").alias("k"))
-    seen = inter.where("value > 0").groupBy("prey").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"))
-    kept = seen.crossJoin(F.broadcast(n)).where(F.col("n") >= present * F.col("k")).select("prey", "low")
-    grid = kept.crossJoin(F.broadcast(design.select("experiment").distinct()))
-    rows = grid.join(inter.where("value > 0").select("prey", "experiment", "value"), ["prey", "experiment"], "left").withColumn("value", F.coalesce("value", "low"))
-    w = Window.partitionBy("prey")
-    return rows.withColumn("sd", F.stddev_samp("value").over(w)).where("sd > 0").select("prey", "experiment", ((F.col("value") - F.avg("value").over(w)) / F.col("sd")).alias("z"))
-
-
-def pca(matrix: DataFrame, components: int = 2) -> tuple[DataFrame, list[float]]:
-    """(experiment, pc1, pc2, ...) and explained shares. The experiments' Gram matrix comes from a join on prey; only
-    that (experiments squared) reaches the driver, where its eigenvectors are taken. Signs: largest loading positive."""
-    w = Window.partitionBy("prey")
-    centred = matrix.withColumn("z", F.col("z") - F.avg("z").over(w))
-    other = centred.select("prey", F.col("experiment").alias("other"), F.col("z").alias("y"))
-    gram = centred.join(other, "prey").groupBy("experiment", "other").agg(F.sum(F.col("z") * F.col("y")).alias("g")).collect()
-    names = sorted({r.experiment for r in gram})
-    at = {e: k for k, e in enumerate(names)}
-    g = np.zeros((len(names), len(names)))
-    for r in gram:
-        g[at[r.experiment], at[r.other]] = r.g
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    scores = vectors[:, :components] * np.sqrt(values[:components])
-    scores *= np.where(scores[np.abs(scores).argmax(0), range(scores.shape[1])] < 0, -1, 1) if len(names) else 1
-    rows = [(e, *map(float, scores[k])) for k, e in enumerate(names)]
-    schema = "experiment string, " + ", ".join(f"pc{k + 1} double" for k in range(scores.shape[1]))
-    return matrix.sparkSession.createDataFrame(rows, schema), (values / (values.sum() or 1))[:components].tolist()
+    _, experiments, rows = standardised_cells(inter, design, present)
+    stored = rows.select("prey", "fill", F.explode("cells").alias("c")).select("prey", F.col("c.e").alias("e"), (F.col("fill") + F.col("c.s")).alias("z"))
+    grid = rows.select("prey", "fill").crossJoin(F.broadcast(experiments))
+    return grid.join(stored, ["prey", "e"], "left").select("prey", "experiment", F.coalesce("z", "fill").alias("z"))
+
+
+def standardised_cells(inter: DataFrame, design: DataFrame, present: float = 0.5) -> tuple[int, DataFrame, DataFrame]:
+    """(experiments, their table (experiment, e) and (prey, fill, cells)): the standardised matrix as stored cells.
+
+    A prey's z is `fill` in every experiment, with s added in its cells (e, s) alone: the absent ones, which take its
+    least value, are never rows. Counts, sums and the least value by prey give mean and sample deviation. Experiments
+    are numbered by name; the design is as small as it has to be to be broadcast (scoring.checked_design).
+    """
+    design = scoring.checked_design(design)
+    names = design.select("experiment").distinct()
+    experiments = cut(names.select("experiment", (F.row_number().over(Window.orderBy("experiment")) - 1).alias("e")))
+    n = experiments.count()
+    cells = inter.where("value > 0").join(F.broadcast(experiments), "experiment").select("prey", "e", F.col("value").cast("double").alias("v"))
+    rows = cells.groupBy("prey").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.sum("v").alias("s"), F.sort_array(F.collect_list(F.struct("e", "v"))).alias("all")).where(F.col("n") >= present * n)
+    rows = rows.withColumn("mean", (F.col("s") + (n - F.col("n")) * F.col("low")) / n)
+    off = F.aggregate("all", F.lit(0.0), lambda a, c: a + (c["v"] - F.col("mean")) * (c["v"] - F.col("mean")))
+    rows = rows.withColumn("sd", F.sqrt((off + (n - F.col("n")) * (F.col("low") - F.col("mean")) * (F.col("low") - F.col("mean"))) / F.nullif(F.lit(n - 1), F.lit(0))))
+    shifted = F.transform("all", lambda c: F.struct(c["e"].alias("e"), ((c["v"] - F.col("low")) / F.col("sd")).alias("s")))
+    return n, experiments, rows.where("sd > 0").select("prey", ((F.col("low") - F.col("mean")) / F.col("sd")).alias("fill"), shifted.alias("cells"))
+
+
+#: Cells of a batch that are multiplied at once.
+_AT_ONCE = 1 << 18
+
+
+def gram_product(rows: DataFrame, n: int, q: np.ndarray) -> np.ndarray:
+    """Z'Zq for the preys x experiments matrix Z of standardised_cells(): with Z = fill 1' + S, from stored cells alone."""
+    sums = q.sum(0)
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        lists = batch.column(1)
+        cell = lists.flatten()
+        e, s = cell.field(0).to_numpy(), cell.field(1).to_numpy()
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        fill = batch.column(0).to_numpy()
+        first = 0
+        while first < len(fill):
+            at = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, at + _AT_ONCE, side="right")))
+            sizes = np.diff(np.concatenate([[at], ends[first:last]]))
+            es, ss, f = e[at : ends[last - 1]], s[at : ends[last - 1]], fill[first:last]
+            # A prey's product with each column of q, then what it adds to every experiment and to its own.
+            y = f[:, None] * sums + np.add.reduceat(ss[:, None] * q[es], np.cumsum(sizes) - sizes, axis=0)
+            total += f @ y
+            weighed = ss[:, None] * np.repeat(y, sizes, axis=0)
+            for k in range(q.shape[1]):
+                total[:, k] += np.bincount(es, weighed[:, k], minlength=n)
+            first = last
+
+    return summed(rows.select("fill", "cells"), add, q.shape)
+
+
+def pca(inter: DataFrame, design: DataFrame, components: int = 2, present: float = 0.5) -> tuple[DataFrame, list[float]]:
+    """(experiment, pc1, pc2, ...) of the matrix of pca_matrix(), and explained shares.
+
+    The grid is not built: products with the experiments' Gram matrix come from stored cells (gram_product), and only
+    experiments x block reaches the driver, where the block is orthonormalised. Signs: the largest score is positive.
+    Without preys or with one experiment there are no rows.
+    """
+    n, experiments, rows = standardised_cells(inter, design, present)
+    rows = cut(rows)
+    trace = float(rows.count()) * (n - 1)
+    spark = inter.sparkSession
+    if not trace:
+        return spark.createDataFrame([], "experiment string, " + ", ".join(f"pc{k + 1} double" for k in range(components))), [0.0] * components
+    values, vectors = leading(lambda q: gram_product(rows, n, q), n, components)
+    values = np.maximum(values, 0)
+    scores = vectors * np.sqrt(values)
+    scores *= np.where(scores[np.abs(scores).argmax(0), range(scores.shape[1])] < 0, -1, 1)
+    schema = "e int, " + ", ".join(f"pc{k + 1} double" for k in range(scores.shape[1]))
+    found = spark.createDataFrame([(e, *map(float, x)) for e, x in enumerate(scores)], schema)
+    return experiments.join(found, "e").drop("e"), (values / trace).tolist()
 
 
 def compare_baits(inter: DataFrame, design: DataFrame, scored: DataFrame, a: str, b: str, **thresholds: float) -> DataFrame:

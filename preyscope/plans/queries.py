@@ -607,9 +607,25 @@ def pca_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(analytics.pca_matrix(_values(spark, sf), views.design(spark, sf)))
 
 
-@query()
+def _squared(name: str, times: int) -> str:
+    """CTEs that square a matrix (a, b, g) again and again, its trace held at one: what is left is vv' of its top vector."""
+    out = f"{name}0 as materialized (select a, b, g / (select sum(g) from {name} where a = b) g from {name})"
+    for k in range(times):
+        out += f""", {name}s{k} as materialized (select x.a, y.b, sum(x.g * y.g) g from {name}{k} x join {name}{k} y on x.b = y.a group by 1, 2),
+{name}{k + 1} as materialized (select a, b, g / (select sum(g) from {name}s{k} where a = b) g from {name}s{k})"""
+    m = f"{name}{times}"
+    return out + f""", {name}v as materialized (select a, g / sqrt((select g from {m} where a = b order by g desc limit 1)) v from {m} where b = (select a from {m} where a = b order by g desc, a limit 1)),
+{name}l as materialized (select sum(x.v * g * y.v) l from {name} join {name}v x using (a) join {name}v y on y.a = b),
+{name}p as (select a, v * sqrt(l) * (select sign(v) from {name}v order by abs(v) desc limit 1) p from {name}v, {name}l)"""
+
+
+@query(""", pk as (select prey, min(intensity) lo from inter group by 1 having count(*) >= 0.5 * (select count(*) from ed)), gr as (select pk.prey, ed.experiment, coalesce(intensity, lo) v from pk cross join ed left join inter i on i.prey = pk.prey and i.experiment = ed.experiment),
+zz as materialized (select prey, experiment, (v - avg(v) over w) / stddev_samp(v) over w z from gr window w as (partition by prey) qualify stddev_samp(v) over w > 0),
+g as materialized (select x.experiment a, y.experiment b, sum(x.z * y.z) g from zz x join zz y using (prey) group by 1, 2), """ + _squared("g", 16) + """,
+h as materialized (select g.a, g.b, g - l * x.v * y.v g from g join gv x on x.a = g.a join gv y on y.a = g.b, gl), """ + _squared("h", 16) + """
+select gp.a experiment, round(gp.p, 4) pc1, round(hp.p, 4) pc2 from gp join hp using (a)""")
 def pca(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(analytics.pca(analytics.pca_matrix(_values(spark, sf), views.design(spark, sf)))[0], 4)
+    return rounded(analytics.pca(_values(spark, sf), views.design(spark, sf))[0], 4)
 
 
 @query(SCORED + """, ab as (select prey, sum(case when bait = 'B0' then intensity else 0 end) sa, sum(case when bait = 'B0' then intensity * intensity else 0 end) qa, sum(case when bait = 'B1' then intensity else 0 end) sb,

@@ -228,7 +228,7 @@ def test_full_run_on_a_wide_file(spark, tmp_path):
 def test_pca_matches_a_direct_decomposition(spark):
     inter, design, _ = planted(spark)
     matrix = analytics.pca_matrix(inter, design)
-    scores, explained = analytics.pca(matrix)
+    scores, explained = analytics.pca(inter, design)
     wide = matrix.toPandas().pivot(index="experiment", columns="prey", values="z").sort_index()
     x = wide.to_numpy() - wide.to_numpy().mean(0)
     u, s, _ = np.linalg.svd(x, full_matrices=False)
