@@ -71,6 +71,24 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), out)
 
 
+def quantiles_by(df: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """(by..., quantiles): the interpolated quantiles of each group's values, as an array in the order of `shares`.
+
+    Groups share the ranges of (group, value), so a group of any size is spread over them.
+    """
+    keys = [*by]
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(counts.withColumn("_o", F.struct(*keys, "_v")), "_o", {"_upto": ("sum", "_c")})
+    groups = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_base"))
+    rows = ranked.join(F.broadcast(groups), keys).withColumn("_upto", F.col("_upto") - F.col("_base"))
+    picks = []
+    for k, share in enumerate(shares):
+        place = share * (F.col("_n") - 1)
+        low, high = (F.min(F.when(F.col("_upto") > f(place), F.col("_v"))) for f in (F.floor, F.ceil))
+        picks.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"_{k}"))
+    return rows.groupBy(*keys).agg(*picks).select(*keys, F.array(*[f"_{k}" for k in range(len(picks))]).alias("quantiles"))
+
+
 def upper_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., median): the value at place n div 2, counted from 0, of each group's ordered values that are not null."""
     keys = [*by]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..functions.stats import quantiles
+from ..functions.stats import quantiles, quantiles_by
 
 MODES = {"prior": (3, "stddev_pop", 0.95, 0.05, 2), "mixture": (5, "stddev_samp", 0.99, 0.01, 3), "one": (5, "stddev_samp", 0.99, 0.01, 3)}
 
@@ -162,48 +162,92 @@ def missingness(inter: DataFrame, experiments: DataFrame, by: tuple[str, ...] =
     return rows.select(*by, "prey", (1 - F.col("seen") / F.col("n")).alias("missing"), "mean_log2")
 
 
-def spline_basis(x: Column, knots: list[float]) -> list[Column]:
-    """Natural cubic splines over knots: linear beyond the ends, len(knots) - 1 columns besides the constant."""
-    last, before = knots[-1], knots[-2]
+def spline_basis(x: Column, knots: Column, size: int) -> Column:
+    """A constant, x and natural cubic splines over an array of at most `size` knots, linear beyond the ends: an array of
+    `size` values, zeros where there are fewer knots."""
+    last, before = F.element_at(knots, -1), F.element_at(knots, -2)
     cube = lambda k: F.pow(F.greatest(F.lit(0.0), x - k), F.lit(3.0))
-    d = lambda k: (cube(k) - cube(last)) / (last - k)
-    return [x, *[d(k) - d(before) for k in knots[:-2]]]
+    d = lambda k: (cube(k) - cube(last)) / F.nullif(last - k, F.lit(0.0))
+    bends = [F.when(F.size(knots) > k + 2, d(F.get(knots, F.lit(k))) - d(before)).otherwise(0.0) for k in range(size - 2)]
+    return F.array(F.lit(1.0), x, *bends)
 
 
-def missingness_at_top(stats: DataFrame, df: int = 5, family: str = "binomial", least: int = 10) -> float | None:
-    """The share missing that a natural-cubic-spline regression predicts at the largest mean; None below `least` preys.
+def missingness_at_top(stats: DataFrame, by: str, df: int = 5, family: str = "binomial", least: int = 10, rounds: int = 100) -> dict[object, float]:
+    """{group: the share missing that a natural-cubic-spline regression predicts at the group's largest mean}.
 
-    Knots are quantiles; the predictors are standardised and the fit is MLlib's (a handful of coefficients).
+    stats(by, prey, missing, mean_log2). Knots are `df` equidistant quantiles of the distinct means. Least squares
+    (family gaussian) or a logit by iterated reweighting (binomial, shares clamped by 1e-6); the normal equations of all
+    groups are one aggregate a round, of which df (df + 3) / 2 sums a group reach the driver. Groups of fewer than
+    `least` preys, of equal means or of under three distinct knots are left out.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-
-    knots = stats.agg(F.percentile("mean_log2", F.array(*[F.lit(k / (df - 1)) for k in range(df)])), F.count(F.lit(1)), F.stddev_pop("mean_log2"), F.avg("mean_log2")).first()
-    if (knots[1] or 0) < least or not knots[2]:
-        return None
-    at = sorted({(k - knots[3]) / knots[2] for k in knots[0]})
-    if len(at) < 3:
-        return None
-    x = (F.col("mean_log2") - knots[3]) / knots[2]
-    names = [f"b{k}" for k in range(len(at) - 1)]
-    table = stats.select(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), "missing")).alias("label"), "mean_log2", *[c.alias(n) for c, n in zip(spline_basis(x, at), names, strict=True)])
-    table = VectorAssembler(inputCols=names, outputCol="features").transform(table)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", regParam=1e-8) if family == "binomial" else LinearRegression(regParam=0.0)
-    return float(model.fit(table).transform(table.orderBy(F.desc("mean_log2")).limit(1)).first().prediction)
-
-
-def estimate_pi(inter: DataFrame, design: DataFrame, method: str = "weighted_average", bait: str | None = None, least_replicates: int = 3) -> float:
-    """pi from control baits with enough replicates: one bait's, or the mean weighted by replicates; failed fits skip."""
-    controls = design.where("type = 'C'")
-    counts = {r.bait: r.n for r in controls.groupBy("bait").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_replicates).orderBy("bait").collect()}
-    if method == "single_bait":
-        counts = {b: n for b, n in counts.items() if b == bait}
-    elif method != "weighted_average":
+    if family not in ("binomial", "gaussian"):
+        raise ValueError(f"unknown family: {family}")
+    stats = cut(stats.where("mean_log2 is not null").select(F.col(by).alias("g"), "missing", "mean_log2"))
+    knots = quantiles_by(stats.select("g", "mean_log2").distinct(), ["g"], "mean_log2", [k / (df - 1) for k in range(df)])
+    size = stats.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("mean_log2").alias("m"), F.stddev_pop("mean_log2").alias("sd"), F.max("mean_log2").alias("top"))
+    groups = size.where((F.col("n") >= least) & (F.col("sd") > 0)).join(knots, "g")
+    # Equal to nine digits is equal: a knot twice is no knot more.
+    scaled = F.array_distinct(F.transform("quantiles", lambda q: F.round((q - F.col("m")) / F.col("sd"), 9)))
+    groups = cut(groups.select("g", "m", "sd", ((F.col("top") - F.col("m")) / F.col("sd")).alias("top"), scaled.alias("knots")).where(F.size("knots") >= 3))
+    x = (F.col("mean_log2") - F.col("m")) / F.col("sd")
+    y = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), "missing")) if family == "binomial" else F.col("missing")
+    rows = cut(stats.join(F.broadcast(groups), "g").select("g", y.alias("y"), spline_basis(x, F.col("knots"), df).alias("b")))
+    tops = {r.g: np.array(r.b) for r in groups.select("g", spline_basis(F.col("top"), F.col("knots"), df).alias("b")).collect()}
+
+    at = lambda k: F.get("b", F.lit(k))
+    cells = [(i, j) for i in range(df) for j in range(i, df)]
+
+    def solve(table: DataFrame, weight: Column, target: Column, loss: Column) -> dict[object, tuple[np.ndarray, float]]:
+        sums = [F.sum(weight * at(i) * at(j)) for i, j in cells] + [F.sum(weight * target * at(i)) for i in range(df)] + [F.sum(loss)]
+        out = {}
+        for row in table.groupBy("g").agg(*[c.alias(f"s{k}") for k, c in enumerate(sums)]).collect():
+            values, left = np.array(row[1:], float), np.zeros((df, df))
+            for (i, j), v in zip(cells, values, strict=False):
+                left[i, j] = left[j, i] = v
+            # Columns of their own size first, so that small ones are no rounding.
+            scale = 1 / np.sqrt(np.where(np.diag(left) > 0, np.diag(left), 1))
+            out[row[0]] = scale * np.linalg.lstsq(left * np.outer(scale, scale), scale * values[len(cells) : -1], rcond=1e-13)[0], values[-1]
+        return out
+
+    if family == "gaussian":
+        return {g: float(tops[g] @ beta) for g, (beta, _) in solve(rows, F.lit(1.0), F.col("y"), F.lit(0.0)).items()}
+    mu = (F.col("y") + 0.5) / 2
+    eta, table = F.log(mu / (1 - mu)), rows
+    beta: dict[object, np.ndarray] = {}
+    before: dict[object, float] = {}
+    spark = stats.sparkSession
+    for _ in range(rounds):
+        q = 1 / (1 + F.exp(-eta))
+        weight = F.greatest(F.lit(1e-12), q * (1 - q))
+        loss = -2 * (F.col("y") * F.log(F.greatest(q, F.lit(1e-300))) + (1 - F.col("y")) * F.log(F.greatest(1 - q, F.lit(1e-300))))
+        found = solve(table, weight, eta + (F.col("y") - q) / weight, loss)
+        moved = [abs(np.linalg.norm(b - beta[g])) > 1e-9 * (1 + np.linalg.norm(b)) and abs(v - before[g]) > 1e-13 * (1 + abs(v)) if g in beta else True for g, (b, v) in found.items()]
+        beta, before = {g: b for g, (b, _) in found.items()}, {g: v for g, (_, v) in found.items()}
+        if not any(moved):
+            break
+        coefficients = spark.createDataFrame([(g, b.tolist()) for g, b in beta.items()], f"g {dict(rows.dtypes)['g']}, beta array<double>")
+        table = rows.join(F.broadcast(coefficients), "g")
+        eta = F.aggregate(F.zip_with("b", "beta", lambda a, c: a * c), F.lit(0.0), lambda a, v: a + v)
+    return {g: float(1 / (1 + np.exp(-(tops[g] @ b)))) for g, b in beta.items()}
+
+
+def estimate_pi(inter: DataFrame, design: DataFrame, method: str = "weighted_average", bait: str | None = None, least_replicates: int = 3, family: str = "binomial") -> float:
+    """pi from control baits with enough replicates: one bait's, or the mean weighted by replicates; failed fits skip.
+
+    All baits are fitted in the same jobs."""
+    if method not in ("weighted_average", "single_bait"):
         raise ValueError(f"unknown method: {method}")
-    found = [(n, pi) for b, n in counts.items() if (pi := missingness_at_top(missingness(inter, controls.where(F.col("bait") == b).select("experiment")))) is not None]
+    controls = design.where("type = 'C' and bait is not null")
+    counts = {r.bait: r.n for r in controls.groupBy("bait").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_replicates).collect()}
+    if method == "single_bait":
+        if bait not in counts:
+            raise ValueError(f"no control bait {bait} with {least_replicates} replicates")
+        counts = {bait: counts[bait]}
+    used = controls.where(F.col("bait").isin([*counts])).select("bait", "experiment")
+    found = missingness_at_top(missingness(inter, used, ("bait",)), "bait", family=family) if counts else {}
     if not found:
         raise ValueError("no control bait has enough replicates and preys")
-    return sum(n * pi for n, pi in found) / sum(n for n, _ in found)
+    return sum(counts[b] * pi for b, pi in sorted(found.items())) / sum(counts[b] for b in found)
 
 
 def impute(inter: DataFrame, design: DataFrame, preys: DataFrame, mode: str = "mixture", pi: float = 0.0) -> DataFrame:
