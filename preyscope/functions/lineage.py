@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,38 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder: what follows plans and reads that table, not what led to it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Workspace:
+    """Tables of one computation in the shared folder, which are removed with it, after an error too.
+
+    A table that a later one replaces can be dropped before. What outlives the computation has to be cut() or written
+    elsewhere before the workspace closes.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self._paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self._delete(self.folder)
+
+    def keep(self, df: DataFrame, sort: str | None = None) -> DataFrame:
+        """df as a table: reread, so that filters and columns reach its scan. By ranges of a column if one is named."""
+        path = f"{self.folder}/{len(self._paths)}"
+        (df.repartitionByRange(sort).sortWithinPartitions(sort) if sort else df).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[len(self._paths)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for out, path in self._paths.values():
+            if any(out is t for t in tables):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

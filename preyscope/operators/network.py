@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import Workspace, cut
 from . import scoring
 
 GAMMA_LIMIT = 10.0
@@ -41,12 +43,67 @@ def edges_from_pairs(pairs: DataFrame, preys: DataFrame) -> DataFrame:
 def neighbour_support(labelled: DataFrame, edges: DataFrame, symmetric: bool = False) -> DataFrame:
     """(prey, bait, support, neighbours): sum over the prey's neighbours of their mean label with the bait, and the
     neighbours with a true label. labelled: prey, bait, z. Edges count from the smaller to the larger prey, or both ways."""
-    mean = labelled.groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z")).where("z > 0")
-    both = edges.union(edges.select("b", "a")).distinct() if symmetric else edges
-    met = both.select(F.col("a").alias("prey"), F.col("b").alias("other")).join(mean.withColumnRenamed("prey", "other"), "other")
+    return _support(labelled.groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z")), _both(edges) if symmetric else edges)
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+
+
+def _support(means: DataFrame, edges: DataFrame) -> DataFrame:
+    met = edges.select(F.col("a").alias("prey"), F.col("b").alias("other")).join(means.where("z > 0").select(F.col("prey").alias("other"), "bait", "z"), "other")
     return met.groupBy("prey", "bait").agg(F.sum("z").alias("support"), F.array_join(F.sort_array(F.collect_set("other")), "|").alias("neighbours"))
 
 
+def colour(edges: DataFrame) -> DataFrame:
+    """(prey, colour) such that no two ends of an edge have the same colour, counted from 0.
+
+    In each round the preys whose hash is greater than those of all their neighbours without a colour take the least
+    colour that no neighbour has. Rounds grow slowly with the preys; each writes what changed, and edges between preys
+    without a colour are all that the next one compares.
+    """
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("name"))
+    with Workspace(edges.sparkSession) as ws:
+        every = ws.keep(_both(edges))
+        open_, done, n = every, [], 1
+        while n:
+            first = open_.groupBy("a").agg(F.max(rank("b")).alias("top")).where(rank("a") > F.col("top")).select(F.col("a").alias("prey"))
+            if done:
+                before = reduce(DataFrame.union, done)
+                # Preys all of whose neighbours have a colour are in no open edge.
+                last = every.select(F.col("a").alias("prey")).distinct().join(open_.select(F.col("a").alias("prey")), "prey", "left_anti").join(before.select("prey"), "prey", "left_anti")
+                first = ws.keep(first.union(last))
+                used = every.join(first.withColumnRenamed("prey", "a"), "a", "left_semi").join(before.select(F.col("prey").alias("b"), "colour"), "b").groupBy(F.col("a").alias("prey")).agg(F.collect_set("colour").alias("used"))
+                free = F.array_except(F.sequence(F.lit(0), F.coalesce(F.size("used"), F.lit(0))), F.coalesce("used", F.array().cast("array<int>")))
+                new = ws.keep(first.join(used, "prey", "left").select("prey", F.array_min(free).alias("colour")))
+            else:
+                new = ws.keep(first.select("prey", F.lit(0).alias("colour")))
+            n = new.count()
+            done.append(new)
+            for end in ("a", "b"):
+                open_ = open_.join(new.select(F.col("prey").alias(end)), end, "left_anti").select("a", "b")
+            open_ = ws.keep(open_)
+        return cut(reduce(DataFrame.union, done))
+
+
+def update_labels(ws: Workspace, cells: DataFrame, edges: DataFrame, means: list[DataFrame], beta: float, gamma: float) -> list[DataFrame]:
+    """means by colour, (prey, bait, z, support, neighbours), after one update of every label, colour by colour.
+
+    cells(prey, bait, lt, lf, colour) and edges(a, b, colour of a) are sorted by colour, so each step reads its own part
+    of them. Preys of one colour are no neighbours: their labels change together as they would one after the other, and
+    each change raises the joint likelihood or leaves it.
+    """
+    out = list(means)
+    for c in range(len(means)):
+        near = _support(reduce(DataFrame.union, [m.select("prey", "bait", "z") for m in out]), edges.where(F.col("colour") == c))
+        rows = cells.where(F.col("colour") == c).join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+        z = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf") >= 0
+        new = ws.keep(rows.groupBy("prey", "bait").agg(F.avg(z.cast("double")).alias("z"), F.first("support").alias("support"), F.first("neighbours").alias("neighbours")))
+        old, out[c] = out[c], new
+        ws.drop(old)
+    return out
+
+
 def fit_beta_gamma(pairs: DataFrame) -> tuple[float, float]:
     """(beta, gamma) that maximise sum z (beta + gamma s) - ln(1 + e^(beta + gamma s)) over pairs(z, support).
 
@@ -89,21 +146,46 @@ def fit_beta_gamma(pairs: DataFrame) -> tuple[float, float]:
 def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_replicates: int = 100, rounds: int = 5, symmetric: bool = False) -> DataFrame:
     """pairs(prey, bait, avg_p, ...) with topo_avg_p, score = the greater of both, and boosted_by.
 
-    cells are a model's replicate cells (lt, lf, z0, skip, y). Labels and (beta, gamma) take turns; all labels of a
-    round are updated at once.
+    cells are a model's replicate cells (lt, lf, z0, skip, y). Labels and (beta, gamma) take turns. Edges that count one
+    way, from the smaller to the larger prey, let a prey depend on later ones only: then updating all labels of a round
+    at once is the same as one prey after the other in order. Where they count both ways, labels that change at once can
+    swing between two states; there the preys are coloured and updated colour by colour.
     """
     beta, gamma, z = 0.0, 0.0, F.col("z0")
-    rows = cells.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
-    for _ in range(rounds):
-        labelled = rows.withColumn("z", z)
-        near = neighbour_support(labelled, edges, symmetric)
-        rows = cut(labelled.drop("support", "neighbours", "z").join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))))
-        odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
-        z = odds >= 0
-        beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))
+    if symmetric:
+        rows, beta, gamma = _by_colour(cells, edges, rounds)
+    else:
+        rows = cells.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
+        for _ in range(rounds):
+            labelled = rows.withColumn("z", z)
+            near = neighbour_support(labelled, edges)
+            rows = cut(labelled.drop("support", "neighbours", "z").join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))))
+            odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
+            z = odds >= 0
+            beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))
     odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
     seen = F.coalesce(F.col("y"), F.lit(0.0)) != 0
     scored = rows.withColumn("log_odds", odds).withColumn("score", F.when(seen, 1 / (1 + F.exp(-odds))).otherwise(0.0))
     topo = scoring.aggregate_replicates(scored, ["prey", "bait"], n_replicates).select("prey", "bait", F.col("avg_p").alias("topo_avg_p"))
     boosted = rows.select("prey", "bait", F.col("neighbours").alias("boosted_by")).distinct()
     return pairs.join(topo, ["prey", "bait"], "left").join(boosted, ["prey", "bait"], "left").withColumn("score", F.greatest("topo_avg_p", "avg_p"))
+
+
+def _by_colour(cells: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, float, float]:
+    """(cells with the support and neighbours of the last labels, beta, gamma); preys without edges have a colour of their own."""
+    with Workspace(cells.sparkSession) as ws:
+        colours = colour(edges)
+        both = _both(edges)
+        n = (colours.agg(F.max("colour")).first()[0] if not colours.isEmpty() else -1) + 2
+        tinted = ws.keep(cells.join(colours, "prey", "left").withColumn("colour", F.coalesce("colour", F.lit(n - 1))), sort="colour")
+        both = ws.keep(both.join(colours.withColumnRenamed("prey", "a"), "a"), sort="colour")
+        none = F.lit(None).cast("string").alias("neighbours")
+        start = tinted.groupBy("colour", "prey", "bait").agg(F.avg(F.col("z0").cast("double")).alias("z"))
+        means = [start.where(F.col("colour") == c).select("prey", "bait", "z", F.lit(0.0).alias("support"), none) for c in range(n)]
+        skipped = ws.keep(cells.groupBy("prey", "bait").agg(F.bool_or("skip").alias("skip")))
+        beta = gamma = 0.0
+        for _ in range(rounds):
+            means = update_labels(ws, tinted, both, means, beta, gamma)
+            beta, gamma = fit_beta_gamma(reduce(DataFrame.union, means).join(skipped.where("not skip"), ["prey", "bait"], "left_semi").select("z", "support"))
+        near = _support(reduce(DataFrame.union, [m.select("prey", "bait", "z") for m in means]), both)
+        return cut(cells.join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))), beta, gamma
