@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.lineage import cut
+from ..functions.lineage import Workspace, cut
 
 # Weights of the two kinds of edges, and the constant of the weight.
 KIND_WEIGHT = {"isa": 0.4, "partof": 0.3}
 OFFSET = 0.67
 
+#: Buckets of the table that the closure of an ontology is appended to.
+BUCKETS = 16
+
 
 def edges(terms: DataFrame) -> DataFrame:
     """(namespace, child, parent, kind, n_children) of read_obo() rows; parents outside the namespace are ignored."""
@@ -27,26 +32,39 @@ def weigh(edge: DataFrame) -> DataFrame:
     return edge.withColumn("weight", 1 / (OFFSET + F.col("n_children")) + kind)
 
 
-def semantic_values(edge: DataFrame, most: int = 64) -> DataFrame:
+def semantic_values(edge: DataFrame, most: int = 1000) -> DataFrame:
     """(namespace, term, ancestor, value): 1 for the term, for ancestors the best product of weights over all paths.
 
-    The frontier of improved values is joined with the edges until nothing improves, at most as often as the ontology
-    is deep; each round is checkpointed.
+    Terms are taken when all their parents are done, so a term's values are the best of its parents', times the edge,
+    and final: each row of the closure is written once, appended to a table in buckets of the term, whose parents' part
+    the next round looks up. Rounds are as many as the ontology is deep. Edges from a term to itself count for nothing;
+    a longer cycle is an error.
     """
-    step = edge.groupBy("namespace", "child", "parent").agg(F.max("weight").alias("weight")) if "weight" in edge.columns else weigh(edge).groupBy("namespace", "child", "parent").agg(F.max("weight").alias("weight"))
-    step = cut(step)
-    nodes = step.select("namespace", F.col("child").alias("term")).union(step.select("namespace", "parent")).distinct()
-    best = cut(nodes.select("namespace", "term", F.col("term").alias("ancestor"), F.lit(1.0).alias("value")))
-    frontier = best
-    for _ in range(most):
-        up = frontier.join(step.withColumnRenamed("child", "ancestor"), ["namespace", "ancestor"]).select("namespace", "term", F.col("parent").alias("ancestor"), (F.col("value") * F.col("weight")).alias("new"))
-        up = up.groupBy("namespace", "term", "ancestor").agg(F.max("new").alias("new"))
-        joined = cut(best.join(up, ["namespace", "term", "ancestor"], "full_outer"))
-        frontier = joined.where("new is not null and (value is null or new > value)").select("namespace", "term", "ancestor", F.col("new").alias("value"))
-        best = joined.select("namespace", "term", "ancestor", F.greatest("value", "new").alias("value"))
-        if frontier.isEmpty():
-            break
-    return best
+    weighed = edge if "weight" in edge.columns else weigh(edge)
+    spark, name, keys = edge.sparkSession, f"closure_{uuid.uuid4().hex}", ["namespace", "term"]
+    with Workspace(spark) as ws:
+        step = ws.keep(weighed.where("child <> parent").groupBy("namespace", "child", "parent").agg(F.max("weight").alias("weight")))
+        terms = [weighed.select("namespace", F.col(c).alias("term")) for c in ("child", "parent")]
+        left, waiting = ws.keep(terms[0].union(terms[1]).distinct()), step
+        try:
+            for n in range(most):
+                ready = ws.keep(left.join(waiting.select("namespace", F.col("child").alias("term")), keys, "left_anti"))
+                if ready.isEmpty() and not left.isEmpty():
+                    raise ValueError("terms that are their own ancestors")
+                rows = ready.select(*keys, F.col("term").alias("ancestor"), F.lit(1.0).alias("value"))
+                if n:
+                    asked = step.join(ready.withColumnRenamed("term", "child"), ["namespace", "child"], "left_semi")
+                    found = asked.join(spark.table(name).select("namespace", F.col("term").alias("parent"), "ancestor", "value"), ["namespace", "parent"])
+                    rows = rows.union(found.groupBy("namespace", F.col("child").alias("term"), "ancestor").agg(F.max(F.col("value") * F.col("weight")).alias("value")))
+                rows.write.mode("append").bucketBy(BUCKETS, *keys).option("path", f"{ws.folder}/closure").format("parquet").saveAsTable(name)
+                before, left = left, ws.keep(left.join(ready, keys, "left_anti"))
+                ws.drop(before)
+                if left.isEmpty():
+                    return cut(spark.table(name))
+                waiting = ws.keep(waiting.join(ready.withColumnRenamed("term", "parent"), ["namespace", "parent"], "left_anti").select(step.columns))
+            raise RuntimeError(f"an ontology of more than {most} levels")
+        finally:
+            spark.sql(f"drop table if exists {name}")
 
 
 def term_similarity(values: DataFrame, pairs: DataFrame) -> DataFrame:
