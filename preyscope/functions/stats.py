@@ -6,9 +6,11 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tails
 from .lineage import cut
 
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
@@ -136,29 +138,11 @@ def bh_adjust(df: DataFrame, p: str, into: str, by: Sequence[str] = ()) -> DataF
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p-value of Student's t for whole degrees of freedom, by its finite series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    cos2 = F.pow(F.cos(theta), F.lit(2))
-
-    def series(first: int) -> Column:
-        """1 + sum of products of (k - 1 or k) / (k or k + 1) cos^2, for k = first, first + 2, ... below df."""
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-        steps = F.filter(F.sequence(F.lit(first), F.greatest(F.lit(first), df.cast("int") - 2)), lambda k: (k <= df - 2) & (k % 2 == first % 2))
-
-        def add(a: Column, k: Column) -> Column:
-            term = a["term"] * cos2 * k / (k + 1)
-            return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
-
-        return F.aggregate(steps, start, add, lambda a: a["sum"])
-
-    odd = 2 / math.pi * (theta + F.when(df > 1, F.sin(theta) * F.cos(theta) * series(2)).otherwise(0.0))
-    even = F.sin(theta) * series(1)
-    return F.greatest(F.lit(0.0), 1 - F.when(df % 2 == 1, odd).otherwise(even))
+    """Two-sided p-value of Student's t for any degrees of freedom above 0: an incomplete beta by continued fraction."""
+    return F.pandas_udf(lambda x, n: pd.Series(tails.t_two_sided(x.to_numpy(float), n.to_numpy(float))), "double")(t.cast("double"), df.cast("double"))
 
 
 def hypergeom_tail(k: Column, draws: Column, marked: Column, total: Column) -> Column:
-    """P(at least k marked among `draws` of `total`, `marked` of which are marked)."""
-    choose = lambda n, r: log_factorial(n) - log_factorial(r) - log_factorial(n - r)
-    low, high = F.greatest(k, draws + marked - total, F.lit(0).cast("long")), F.least(draws, marked)
-    term = lambda i: F.exp(choose(marked, i) + choose(total - marked, draws - i) - choose(total, draws))
-    return F.when(low > high, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda a, i: a + term(i))))
+    """P(at least k marked among `draws` of `total`, `marked` of which are marked), summed until terms no longer count."""
+    columns = [c.cast("double") for c in (k, draws, marked, total)]
+    return F.pandas_udf(lambda a, b, c, d: pd.Series(tails.hypergeom_tail(*(x.to_numpy(float) for x in (a, b, c, d)))), "double")(*columns)
