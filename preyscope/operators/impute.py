@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.stats import quantiles, quantiles_by
 
+#: Values times candidates of a fit that are worked out at once.
+AT_ONCE = 1 << 20
+
 MODES = {"prior": (3, "stddev_pop", 0.95, 0.05, 2), "mixture": (5, "stddev_samp", 0.99, 0.01, 3), "one": (5, "stddev_samp", 0.99, 0.01, 3)}
 
 _erf = np.vectorize(math.erf, otypes=[float])
@@ -115,19 +118,21 @@ def mixture_value(p: pd.DataFrame, pi: float, floor: float = 0.0) -> Callable[[n
 def prior_value(p: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Sum of log10(density + 1e-6) of the values, of log10(Phi + 1e-6) of the zeros, and of a normal prior for mu."""
     zero, t, om, osd, n = (_column(p, c) for c in ("n_zero", "tlim", "obs_mu", "obs_sigma", "n_obs"))
-    longest = max(map(len, p.ys))
-    ys = np.full((len(p), longest), np.nan)
-    for k, y in enumerate(p.ys):
-        ys[k, : len(y)] = y
+    # All preys' values one after the other, and where each prey's begin.
+    sizes = np.array([len(y) for y in p.ys])
+    flat = np.concatenate([np.asarray(y, float) for y in p.ys])
+    starts = np.cumsum(sizes) - sizes
+    step = max(1, AT_ONCE // max(1, len(flat)))
 
     def density(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
         return np.exp(-((x - mu) ** 2) / (2 * sigma**2)) / (sigma * math.sqrt(2 * math.pi))
 
     def value(mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
         out = zero * np.log10(_phi((t - mu) / sigma) + 1e-6) + np.log10(density(mu, om, osd / np.sqrt(n)) + 1e-6)
-        for j in range(longest):  # a prey has as many values as experiments at most
-            y = ys[:, j : j + 1]
-            out = out + np.where(np.isnan(y), 0.0, np.log10(density(np.nan_to_num(y), mu, sigma) + 1e-6))
+        # A few candidates at a time, each beside every value: memory follows the values, whatever the longest prey has.
+        for k in range(0, mu.shape[1], step):
+            m, s = (np.repeat(c[:, k : k + step], sizes, axis=0) for c in (mu, sigma))
+            out[:, k : k + step] += np.add.reduceat(np.log10(density(flat[:, None], m, s) + 1e-6), starts, axis=0)
         return out
 
     return value

@@ -835,6 +835,76 @@ def similarity_by_ontology(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.by_ontology(ontology.gene_similarity(values, terms, pairs, digits=6), {"p": "process", "f": "function"})
 
 
+@query(SCORED + """, sx as (select score, wd, s::double s, coalesce(1 - wd_fdr, 0) q, is_known from scored), """ + ", ".join(
+    f"""r{c} as (select sum(count(*) filter (not is_known)) over w / sum(count(*) filter (not is_known)) over () f, sum(count(*) filter (is_known)) over w / sum(count(*) filter (is_known)) over () t
+  from sx group by {c} window w as (order by {c} desc rows between unbounded preceding and current row)), o_{c} as (select 0.0::double f, 0.0::double t union all select f, t from r{c}),
+v{c} as (select round(sum(a), 6) auc from (select (f - lag(f) over (order by f, t)) * (t + lag(t) over (order by f, t)) / 2 a from o_{c}))""" for c in ("score", "wd", "s", "q")
+) + "".join(f" {'union all' if k else ''} select '{c}' score, auc from v{c}" for k, c in enumerate(("score", "wd", "s", "q"))))
+def roc_auc_of_all_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The area for each of four score columns: posterior, wd, value and a rate, whose small values count."""
+    rows = cut(scored_view(spark, sf).withColumn("rate", F.coalesce("wd_fdr", F.lit(1.0))))
+    out = None
+    for name, column, down in (("score", "score", True), ("wd", "wd", True), ("s", "s", True), ("q", "rate", False)):
+        area = analytics.auc(analytics.roc_curve(rows, column, down)).select(F.lit(name).alias("score"), F.round("auc", 6).alias("auc"))
+        out = area if out is None else out.union(area)
+    return out
+
+
+@query(_count_sql(False) + """, vl as (select prey, bait, string_agg(coalesce(round(y, 2)::double::varchar, '.'), '|' order by experiment) "values", avg(y) mean_value from dens group by 1, 2),
+vc as (select prey, string_agg(round(spc, 2)::double::varchar, '|' order by spc desc) ctrl_values, avg(spc) mean_control from inter join ed using (experiment) where "type" = 'C' group by 1)
+select prey, bait, "values", ctrl_values, round(mean_control, 6) mean_control, round(mean_value, 6) mean_value from vl left join vc using (prey)""")
+def reported_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's replicates and controls as pipe lists, and their means by parsing them again."""
+    out = score_counts.score(_counts(spark, sf), views.design(spark, sf), views.preys(spark, sf), rounds=3)
+    rows = analytics.evidence_class(out.withColumn("multivalidated", F.lit(False)).withColumn("is_known", F.lit(False)))
+    own = text.intensities(F.col("values"))
+    mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.size(own))
+    return rounded(rows.select("prey", "bait", "values", "ctrl_values", "mean_control", mean.alias("mean_value")))
+
+
+@query(_members(True) + """, gr as (select g, prey, d.bait, sum(spc) s from inter join d using (experiment) where "type" = 'T' group by 1, 2, 3),
+gm as (select g, count(*) filter ("type" = 'T') n_test, count(*) filter ("type" = 'C') n_control from d group by 1)
+select g source_group, n_test, n_control, count(*) n_pairs, round(sum(s), 2)::double total, min(prey) first_prey from gr join gm using (g) group by all""")
+def group_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Results by group and their summary, written and read again."""
+    members = groups.memberships(views.design(spark, sf))
+    rows = groups.scope_to_groups(_counts(spark, sf), members.where("type = 'T'"))
+    pairs = rows.join(F.broadcast(members.select("experiment", "bait").distinct()), "experiment").groupBy("source_group", "bait", "prey").agg(F.sum("value").alias("s"))
+    folder = _folder(spark)
+    writers.write_groups(pairs, members, folder)
+    totals = spark.read.parquet(f"{folder}/groups").groupBy("source_group").agg(F.round(F.sum("s"), 2).cast("double").alias("total"), F.min("prey").alias("first_prey"))
+    return spark.read.schema("source_group int, n_test long, n_control long, n_pairs long").json(f"{folder}/summary").join(totals, "source_group")
+
+
+@query("""select e.bait "Experiment.ID", e.replicate "Replicate", coalesce(bait_id, e.bait) "Bait", prey "Prey", gene "Prey.Name", spc::double "Spectral.Count" from inter i join ed e using (experiment) left join prey using (prey)""")
+def wd_input_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The wd table with the older tool's column names, written and read again."""
+    path = f"{_folder(spark)}/wd"
+    writers.write_wd_input(ingest.wd_from_scoring_inputs(_counts(spark, sf), views.design(spark, sf), views.preys(spark, sf)), path)
+    return spark.read.csv(path, header=True, schema="`Experiment.ID` string, Replicate int, Bait string, Prey string, `Prey.Name` string, `Spectral.Count` double")
+
+
+@query(SCORED + "select bait, prey, score, wd, round(bfdr, 6) bfdr, 2::bigint n from scored")
+def result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A scored table written as Parquet and as CSV, both read again and compared."""
+    folder, rows = _folder(spark), scored_view(spark, sf).select("bait", "prey", "score", "wd", F.round("bfdr", 6).alias("bfdr"))
+    writers.write_table(rows, f"{folder}/parquet")
+    writers.write_table(rows, f"{folder}/csv", "csv")
+    both = spark.read.parquet(f"{folder}/parquet").union(spark.read.csv(f"{folder}/csv", header=True, schema="bait string, prey string, score double, wd double, bfdr double"))
+    return both.groupBy("bait", "prey", "score", "wd", "bfdr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select case when name = '' then 'empty_name' else 'invalid_name' end rule, name as key, null::varchar detail from (select case when c_custkey % 7 = 0 then '' when c_custkey % 5 = 0 then c_name else replace(c_name, '#', '_') end name from customer)
+  where not regexp_matches(name, '^[A-Za-z0-9_]+$') union all select 'name_in_use', n, null from (select case when c_custkey % 7 <> 0 and c_custkey % 5 <> 0 then replace(c_name, '#', '_') end n, c_custkey from customer) where n is not null and c_custkey % 11 = 0""")
+def name_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' names as names of runs: some empty, some with other characters, some in use."""
+    rows = views.table(spark, sf, "customer")
+    good = F.translate("c_name", "#", "_")
+    name = F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 5 == 0, F.col("c_name")).otherwise(good)
+    used = rows.where("c_custkey % 11 = 0 and c_custkey % 7 <> 0 and c_custkey % 5 <> 0").select(good.alias("name"))
+    return validate.validate_name(rows.select(name.alias("name")), used)
+
+
 @query()
 def full_run(spark: SparkSession, sf: str) -> DataFrame:
     """Files in, annotated scores out: the pipeline over scoring inputs, with known pairs and proteins."""

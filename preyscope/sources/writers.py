@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # The columns of the quality-control sidecar.
 SIDECAR = ("Protein", "originalRUN", "GROUP", "SUBJECT", "NumMeasuredFeature", "NumImputedFeature", "MissingPercentage", "more50missing")
 
+# The columns of the table for the older tool.
+WD_INPUT = {"experiment": "Experiment.ID", "replicate": "Replicate", "bait": "Bait", "prey": "Prey", "gene": "Prey.Name", "count": "Spectral.Count"}
+
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=header, emptyValue="")
@@ -26,6 +29,11 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.parquet(path) if kind == "parquet" else writer.csv(path, header=True)
 
 
+def write_wd_input(df: DataFrame, path: str) -> None:
+    """The wd table (ingest.wd_from_scoring_inputs) as CSV with the older tool's column names."""
+    write_table(df.select(*[F.col(c).alias(name) for c, name in WD_INPUT.items()]), path, "csv")
+
+
 def write_sidecar(df: DataFrame, path: str) -> None:
     """Those of the sidecar's columns that the table has."""
     write_table(df.select(*[c for c in SIDECAR if c in df.columns]), path, "csv")
