@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_folder
+from ..functions.lineage import Workspace, cut, shared_folder
 
 #: Java and Python spelling of the contract's word: anything but ASCII white space.
 BLANKS = "\x20\t\n\x0b\x0c\r"
@@ -45,17 +45,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, ws: Workspace | None = None) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node that can be reached.
 
     Each round alternates two star steps (every node hands its smallest neighbour to its larger, then to its smaller
     neighbours), which needs a number of rounds logarithmic in the longest path. All steps are min-aggregates and
     equi-joins on the node; a round ends in a checkpoint, and only the number of changed edges reaches the driver.
-    Self-edges only declare a node; nulls are dropped.
+    Self-edges only declare a node; nulls are dropped. In a workspace a round's table goes when the next one is there.
     """
+    keep = ws.keep if ws else cut
     edges = edges.select("a", "b").where("a is not null and b is not null")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select("b", "a")).toDF("a", "b")
@@ -63,7 +64,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a")
-        pairs = cut(linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
+        before, pairs = pairs, keep(linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
+        if ws:
+            ws.drop(before)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break

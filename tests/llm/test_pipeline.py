@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
+from preyscope.functions.lineage import Workspace
 from preyscope.llm import edit_embedding, langid, mixing, pii, queries
 from preyscope.llm.common import documents
 
@@ -56,26 +57,72 @@ def test_likeness_falls_with_edits():
     assert edit_embedding.likeness("", "") == 1.0 and edit_embedding.likeness("", a) == 0.0
 
 
-def plain_walk(text):
+def plain_walk(text, times=3):
     """A fingerprint step by step, with nothing but the shared tables of random numbers."""
     out, at, n = [], 0, len(text)
+    steps = times * n + 64 if n else 0
     octave = 0
     while True:
         low, high = (0, 64) if octave == 0 else (64 << (octave - 1), 64 << octave)
-        for _ in range(2 * n and 32):
+        for _ in range(n and 32):
             out.append("-")
-        if high >= 2 * n:
+        if high >= steps:
             break
         octave += 1
     places = {low: k for k, low in enumerate(int(j) for o in range(octave + 1) for j in edit_embedding._sampled(o))}
-    for j in range(2 * n):
+    for j in range(steps):
         c = 0
         if at < n:
             c = (ord(text[at]) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 255 + 1
         if j in places and c:
             out[places[j]] = "0123456789abcdef"[edit_embedding._DIGIT[c]]
         at += int(edit_embedding._MOVES[j % edit_embedding.PERIOD, c])
-    return "".join(out)
+    return "".join(out) if at >= n else plain_walk(text, 2 * times)
+
+
+def walked(text):
+    """The characters that the pointer of a walk of three times the text and some more has stood on."""
+    at = 0
+    for j in range(3 * len(text) + 64):
+        if at == len(text):
+            break
+        c = (ord(text[at]) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % 255 + 1
+        at += int(edit_embedding._MOVES[j % edit_embedding.PERIOD, c])
+    return at
+
+
+def test_every_text_is_walked_to_its_end(monkeypatch):
+    rng = random.Random(2)
+    assert all(walked(text) == len(text) for n in (1, 2, 5, 10, 100, 1000, 5000) for text in (prose(rng, n)[:n] for _ in range(20)))
+    # A text that isn't over by then is walked on.
+    monkeypatch.setattr(edit_embedding, "SPARE", -200)
+    texts = [prose(rng, 60)[:150], prose(rng, 300), "a" * 300]
+    longer = edit_embedding.fingerprints(texts)
+    monkeypatch.setattr(edit_embedding, "SPARE", 100_000)
+    assert all(len(f) > 0 for f in longer) and len(longer[0]) >= 32 * 3
+
+
+def test_likeness_in_blocks(spark):
+    rng = random.Random(9)
+    base = prose(rng, 60)
+    texts = [base, base + "!", base[:200] + "?" + base[200:], prose(rng, 5), "", prose(rng, 2000), base.replace("w1", "v1")]
+    prints = edit_embedding.fingerprints(texts)
+    rows = edit_embedding._digits(prints)
+    for k, f in enumerate(prints):
+        assert edit_embedding.likenesses(rows[k], rows, edit_embedding._weights(rows.shape[1])) == pytest.approx([edit_embedding.likeness(f, g) for g in prints])
+    many = [base[:k] + "#" + base[k:] for k in range(0, 300, 3)] * 8
+    many = [t + " " * (k // 100) for k, t in enumerate(many)] + [prose(rng, 60) for _ in range(1000)]
+    own = {edit_embedding.print_hash(f): f for f in edit_embedding.fingerprints(many)}
+    assert len(own) > 2 * edit_embedding.BLOCK
+    table = spark.createDataFrame([*own.items()], "h long, fingerprint string")
+    crowd = table.selectExpr("7L as band", "h", "h as of", f"{len(own)}L as n")
+    got = {(r.a, r.b) for r in edit_embedding._blocks(crowd, table, 0.8).collect()}
+    hashes, digits = list(own), edit_embedding._digits([*own.values()])
+    brute = set()
+    for k, h in enumerate(hashes):
+        near = edit_embedding.likenesses(digits[k], digits, edit_embedding._weights(digits.shape[1])) >= 0.8
+        brute |= {(min(h, hashes[j]), max(h, hashes[j])) for j in near.nonzero()[0].tolist() if j != k}
+    assert {(min(p), max(p)) for p in got} == brute and len(got) == len({(min(p), max(p)) for p in got})
 
 
 def test_walk_of_single_texts():
@@ -106,7 +153,8 @@ def test_classes_find_near_pairs(spark, small):
     texts = near_texts(random.Random(4))
     prints = edit_embedding.fingerprints([t or "" for t in texts])
     table = spark.createDataFrame(sorted({(edit_embedding.print_hash(f), f) for f in prints}), "h long, fingerprint string")
-    links = edit_embedding.linked(table, small=small).collect()
+    with Workspace(spark) as ws:
+        links = edit_embedding.linked(ws, table, small=small).collect()
     by_hash = {edit_embedding.print_hash(f): f for f in prints}
     assert links and all(edit_embedding.likeness(by_hash[r.a], by_hash[r.b]) >= 0.8 for r in links)
     root = {h: h for h in by_hash}
@@ -131,6 +179,22 @@ def test_classes_find_near_pairs(spark, small):
                 smallest[h] = min(r[0], smallest.get(h, r[0]))
         out = edit_embedding.compare_with_next(with_extra(frame(spark, rows)), classes=True).collect()
         assert len(out) == len(rows) and all(r.class_id == smallest[find(edit_embedding.print_hash(r.fingerprint))] for r in out)
+        ends = [h for r in links for h in (r.a, r.b)]
+        assert all(r.n_links == ends.count(edit_embedding.print_hash(r.fingerprint)) for r in out)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_recall_at_production_bands(spark, folder):
+    """Documents whose id 50 divides against all others: nine in ten near pairs and more share a class."""
+    out = queries.op10_fingerprints(spark, folder).select("doc_id", "fingerprint", "class_id").collect()
+    digits = edit_embedding._digits([r.fingerprint for r in out])
+    weights, found, near = edit_embedding._weights(digits.shape[1]), 0, 0
+    for k, r in enumerate(out):
+        if r.doc_id % 50 == 0 or r.doc_id % 10 == 1:
+            for j in (edit_embedding.likenesses(digits[k], digits, weights) >= 0.8).nonzero()[0].tolist():
+                if j != k:
+                    near, found = near + 1, found + (out[j].class_id == r.class_id)
+    assert near > 10 and found >= 0.9 * near
 
 
 SF = "/root/testdata/sf0.001"
