@@ -6,8 +6,10 @@ further apart are found by bands of ROWS minima of random permutations. A pair o
 bands with a chance of (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, and less above. Every pair of either is held against the
 texts' whole sets.
 
-A family of m copies would have m^2 / 2 candidates. So each text that shares a band is first verified with one leader,
-and only texts that are in different components after that are listed as pairs.
+A family of m copies would have m^2 / 2 candidates. So each text that shares a band is first verified with one leader.
+Texts of a band that are in different components after that are compared by a second, independent sketch of SKETCH minima
+of a byte each, in blocks, and only pairs that it leaves open become candidates: texts of a common template that are no
+copies cost a comparison of bytes and no row.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import Workspace
 from . import simhash
 from .common import components, cut, written
 
@@ -29,12 +32,16 @@ LEAST = 0.8
 BANDS, ROWS = 24, 5
 #: Keys of texts to verify are broadcast up to so many, 8 bytes each; beyond, texts are shuffled.
 BROADCAST_KEYS = 1_000_000
-#: Rows of a group that are held against all others at once.
-BLOCK = 512
+#: Minima of the second sketch, and the share of equal ones from which a pair is verified: at a similarity of 0.8 it has
+#: a standard deviation of 0.0177, so 0.73 is four below; pairs of 0.6 reach it with a chance of 10^-9.
+SKETCH, PLAUSIBLE = 512, 0.73
+#: Texts of a block; two blocks of a band meet in a task, STRIP rows against all at a time.
+BLOCK, STRIP = 2048, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 POSTING = "g long, key long, n int"
 _rng = np.random.default_rng(31)
 _TIMES, _PLUS = (_rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) | np.uint64(1) for _ in range(2))
+_TIMES_2, _PLUS_2 = (_rng.integers(1, 1 << 63, (SKETCH, 1), np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -49,13 +56,23 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """The bands of a set of hashes: minima of BANDS * ROWS permutations, mixed by the row."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
+def _minima(own: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    least = np.full(len(times), ~np.uint64(0))
     for at in range(0, len(own), 4096):
-        x = own[None, at : at + 4096] * _TIMES + _PLUS
+        x = own[None, at : at + 4096] * times + plus
         x ^= x >> np.uint64(31)
         least = np.minimum(least, (x * _ODD).min(1))
+    return least
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A byte of each of SKETCH minima of a set of hashes."""
+    return (_minima(own, _TIMES_2, _PLUS_2) * _ODD >> np.uint64(56)).astype(np.uint8)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """The bands of a set of hashes: minima of BANDS * ROWS permutations, mixed by the row."""
+    least = _minima(own, _TIMES, _PLUS)
     out = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         out = (out ^ row) * _ODD
@@ -155,30 +172,50 @@ def _covered(texts: DataFrame, shingle: int) -> DataFrame:
     return same.union(near).toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _between(led: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs that share a band, in different components, whose sizes leave the similarity open."""
+def _sketches(texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, sketch) of the texts with these keys."""
 
-    def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, key, n, of = group
-        if (of == of[0]).all():
-            return
-        n = n.astype(np.int64)
-        for low in range(0, len(key), BLOCK):
-            i = slice(low, low + BLOCK)
-            good = (np.minimum(n[i, None], n[None, low:]) + 1e-6 >= least * np.maximum(n[i, None], n[None, low:])) & (of[i, None] != of[None, low:])
-            x, y = np.nonzero(good)
-            x, y = x[y > x] + low, y[y > x] + low
-            yield [np.minimum(key[x], key[y]), np.maximum(key[x], key[y])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sketch(shingles(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], [*"ab"])
 
-    rows = led.drop("leader").join(groups.toDF("key", "of"), "key", "left").select("g", "key", "n", F.coalesce("of", "key").alias("of"))
-    return rows.repartition("g").sortWithinPartitions("g", "key").mapInArrow(_batched(run, "ab"), "a long, b long").distinct()
+    return texts.join(keys, "key", "left_semi").mapInArrow(run, "key long, sketch binary").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def _between(open_: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs that share a band of open_(g, key, n, of, rows), in different components, whose sizes and sketches
+    leave the similarity open. A band's texts are dealt to blocks by hash, and each two blocks are one group of rows."""
+
+    def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        _, key, n, of, own, low, high, packed = group
+        n, drawn = n.astype(np.int64), np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SKETCH)
+        right = np.flatnonzero(own == high)
+        left = np.flatnonzero(own == low)
+        for at in range(0, len(left), STRIP):
+            i = left[at : at + STRIP]
+            good = (np.minimum(n[i, None], n[None, right]) + 1e-6 >= least * np.maximum(n[i, None], n[None, right])) & (of[i, None] != of[None, right])
+            x, y = np.nonzero(good)
+            x, y = i[x], right[y]
+            if low[0] == high[0]:
+                x, y = x[y > x], y[y > x]
+            for part in range(0, len(x), 1 << 15):
+                u, v = x[part : part + (1 << 15)], y[part : part + (1 << 15)]
+                near = (drawn[u] == drawn[v]).mean(1) >= PLAUSIBLE - (LEAST - least)
+                yield [np.minimum(key[u], key[v])[near], np.maximum(key[u], key[v])[near]]
+
+    blocks = F.floor(F.col("rows") / BLOCK) + 1
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("g", "key", "n", "of", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sketches, "key")
+    dealt = dealt.select(F.xxhash64("g", "low", "high").alias("pair"), "key", "n", "of", "own", "low", "high", "sketch")
+    return dealt.repartition("pair").sortWithinPartitions("pair", "key").mapInArrow(_batched(run, "ab"), "a long, b long").distinct()
+
+
+def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """pairs(a, b) of texts whose shingle sets have at least that similarity."""
-    pairs = cut(pairs)
-    keys = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    pairs = ws.keep(pairs)
+    named = ws.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    keys = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,35 +231,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], [*"ab"])
 
-    sets = written(texts.join(keys, "key", "left_semi").mapInArrow(gather, "key long, own binary").dropDuplicates(["key"]))
+    sets = ws.keep(texts.join(keys, "key", "left_semi").mapInArrow(gather, "key long, own binary").dropDuplicates(["key"]))
     both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    out = ws.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    ws.drop(pairs, named, sets)
+    return out
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(key, component) of the texts (xxhash64 of the text, null as empty) that have a near copy.
 
-    Components chain over pairs whose similarity is at least `least`, every one of them verified.
+    Components chain over pairs whose similarity is at least `least`, every one of them verified. What is written on the
+    way goes when the components are there.
     """
     texts = _keyed(docs)
-    covered = _covered(texts, shingle)
-    led = written(_led(_postings(texts, shingle), least))
-    pairs = led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).union(covered)
-    first = _verified(pairs.distinct(), texts, shingle, least)
-    rest = _verified(_between(led, cut(components(first)), least), texts, shingle, least)
-    return components(first.union(rest)).toDF("key", "component")
+    with Workspace(docs.sparkSession) as ws:
+        led = ws.keep(_led(_postings(texts, shingle), least))
+        pairs = led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).union(_covered(texts, shingle))
+        first = _verified(ws, pairs.distinct(), texts, shingle, least)
+        names = ws.keep(components(first, ws=ws).toDF("key", "of"))
+        rows = led.drop("leader").join(names, "key", "left").select("g", "key", "n", F.coalesce("of", "key").alias("of"))
+        several = rows.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y").select("g", "rows")
+        open_ = ws.keep(rows.join(several, "g"))
+        ws.drop(led, names)
+        sketches = ws.keep(_sketches(texts, open_.select("key").distinct(), shingle))
+        rest = _verified(ws, _between(open_, sketches, least), texts, shingle, least)
+        return written(components(first.union(rest), ws=ws).toDF("key", "component"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """One row of docs for each group of near copies: the smallest doc_id (null last), then the smallest key of its text.
 
     Rows are told apart by doc_id and text, so different texts with one doc_id stay, and so does a row without a doc_id
-    that no other row is a copy of.
+    that no other row is a copy of. Of rows with the same doc_id and text, the one whose other columns, as JSON, come
+    first stays. Null and empty texts are
+    copies of one another, as are texts of blanks; very long texts are compared whole; an empty table gives an empty one.
     """
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = docs.select(key.alias("key"), "doc_id").distinct()
     named = own.join(near_copies(docs, shingle, least), "key", "left").withColumn("component", F.coalesce("component", "key"))
     best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     best = best.select(F.col("m.doc_id").alias("_d"), F.col("m.key").alias("_k"))
-    kept = docs.withColumn("_key", key).join(best, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_d", "_k", "_key")
+    kept = docs.withColumn("_key", key).join(best, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d", "_k")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit("")
+    # The first row of each is found within the tasks before rows of one id and text meet.
+    first = Window.partitionBy("doc_id", "_key").orderBy(order, F.col("text").asc_nulls_first())
+    return kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row", "_key")

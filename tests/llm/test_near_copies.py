@@ -104,3 +104,39 @@ def test_stage_on_the_test_table(spark):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     kept, _ = brute([r.text for r in rows])
     assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()} == {rows[k].doc_id for k in kept}
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_templates_are_no_candidates(spark, n):
+    """Texts that share three quarters of their words are alike by about 0.6: hardly a pair of them is verified."""
+    rng = random.Random(n)
+    common = [prose(rng, 30, 5000) for _ in range(10)]
+    docs = frame(spark, [(k, "\n".join(c + " " + prose(rng, 6, 10**6) for c in common), "en", "s", None) for k in range(n)])
+    texts = near_copies._keyed(docs)
+    own = [near_copies.shingles(r.text) for r in texts.limit(2).collect()]
+    assert 0.4 < len(np.intersect1d(*own)) / len(np.union1d(*own)) < 0.75
+    led = near_copies._led(near_copies._postings(texts, 5), 0.8)
+    open_ = led.selectExpr("g", "key", "n", "key as of", f"{4 * near_copies.BLOCK}L as rows")
+    pairs = near_copies._between(open_, near_copies._sketches(texts, texts.select("key"), 5), 0.8)
+    assert led.count() > n and pairs.count() <= n
+    assert near_copies.near_copies(docs).count() == 0
+
+
+def test_sketches_tell_similarities():
+    rng = np.random.default_rng(7)
+    for both, low, high in ((400, 0.73, 0.9), (240, 0.3, 0.68)):
+        shares = []
+        for _ in range(30):
+            a, b = (np.unique(np.concatenate([own, rng.integers(0, 1 << 63, 500 - both - (500 - both) // 2).astype(np.uint64)])) for own in [rng.integers(0, 1 << 63, both).astype(np.uint64)] * 2)
+            shares.append((near_copies.sketch(a) == near_copies.sketch(b)).mean())
+        assert low < min(shares) and max(shares) < high
+
+
+def test_the_row_that_stays_is_defined(spark):
+    rng = random.Random(2)
+    text = prose(rng, 40)
+    rows = [(4, text, "en", source, n) for source, n in (("b", 1), ("a", 2), ("a", 1), ("c", 0))] + [(4, text, None, "z", 3)]
+    for parts in (1, 4):
+        out = near_copies.keep_one(frame(spark, rows[::-1]).repartition(parts)).collect()
+        assert [tuple(r) for r in out] == [(4, text, "en", "a", 1)]
+    assert near_copies.keep_one(frame(spark, [])).collect() == []
