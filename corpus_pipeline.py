@@ -21,7 +21,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: five-word shingles of similarity 0.8 or more, found by SimHash
-    covering tables and, beyond their radius, a prefix join, and all verified."""
+    covering tables and, beyond their radius, bands of minima, and all verified."""
     return near_copies.keep_one(docs)
 
 
