@@ -35,8 +35,10 @@ BROADCAST_KEYS = 1_000_000
 #: Minima of the second sketch, and the share of equal ones from which a pair is verified: at a similarity of 0.8 it has
 #: a standard deviation of 0.0177, so 0.73 is four below; pairs of 0.6 reach it with a chance of 10^-9.
 SKETCH, PLAUSIBLE = 512, 0.73
-#: Texts of a block; two blocks of a band meet in a task, STRIP rows against all at a time.
-BLOCK, STRIP = 2048, 64
+#: Four deviations above 0.8: of such pairs only those that join parts of a block are candidates.
+SURE = 0.87
+#: Texts of a block; two blocks of a band meet in a task, a text against all at a time.
+BLOCK = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 POSTING = "g long, key long, n int"
 _rng = np.random.default_rng(31)
@@ -185,24 +187,28 @@ def _sketches(texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
 
 def _between(open_: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs that share a band of open_(g, key, n, of, rows), in different components, whose sizes and sketches
-    leave the similarity open. A band's texts are dealt to blocks by hash, and each two blocks are one group of rows."""
+    leave the similarity open. A band's texts are dealt to blocks by hash, and each two blocks are one group of rows.
+
+    A family that no leader links has the square of its size in pairs. Those that the sketch is sure of are given out only
+    where they join parts of the block, so such a family costs about a row a text.
+    """
 
     def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         _, key, n, of, own, low, high, packed = group
         n, drawn = n.astype(np.int64), np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SKETCH)
-        right = np.flatnonzero(own == high)
-        left = np.flatnonzero(own == low)
-        for at in range(0, len(left), STRIP):
-            i = left[at : at + STRIP]
-            good = (np.minimum(n[i, None], n[None, right]) + 1e-6 >= least * np.maximum(n[i, None], n[None, right])) & (of[i, None] != of[None, right])
-            x, y = np.nonzero(good)
-            x, y = i[x], right[y]
-            if low[0] == high[0]:
-                x, y = x[y > x], y[y > x]
-            for part in range(0, len(x), 1 << 15):
-                u, v = x[part : part + (1 << 15)], y[part : part + (1 << 15)]
-                near = (drawn[u] == drawn[v]).mean(1) >= PLAUSIBLE - (LEAST - least)
-                yield [np.minimum(key[u], key[v])[near], np.maximum(key[u], key[v])[near]]
+        right, of, shift = np.flatnonzero(own == high), of.copy(), least - LEAST
+        for i in np.flatnonzero(own == low).tolist():
+            j = right[right > i] if low[0] == high[0] else right
+            j = j[(of[j] != of[i]) & (np.minimum(n[j], n[i]) + 1e-6 >= least * np.maximum(n[j], n[i]))]
+            share = (drawn[j] == drawn[i]).mean(1) if len(j) else np.zeros(0)
+            sure = j[share >= SURE + shift]
+            parts, first = np.unique(of[sure], return_index=True)
+            out = sure[first]
+            of[np.isin(of, parts)] = of[i]
+            open_ = j[(share >= PLAUSIBLE + shift) & (share < SURE + shift)]
+            out = np.concatenate([out, open_[of[open_] != of[i]]])
+            if len(out):
+                yield [np.minimum(key[i], key[out]), np.maximum(key[i], key[out])]
 
     blocks = F.floor(F.col("rows") / BLOCK) + 1
     dealt = open_.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))

@@ -140,3 +140,27 @@ def test_the_row_that_stays_is_defined(spark):
         out = near_copies.keep_one(frame(spark, rows[::-1]).repartition(parts)).collect()
         assert [tuple(r) for r in out] == [(4, text, "en", "a", 1)]
     assert near_copies.keep_one(frame(spark, [])).collect() == []
+
+
+def test_families_without_a_leader_cost_a_row_a_text(spark):
+    rng = random.Random(5)
+    words = prose(rng, 400, 5000).split(" ")
+    texts = []
+    for _ in range(200):
+        own = list(words)
+        own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    keyed = near_copies._keyed(frame(spark, [(k, t, "en", "s", None) for k, t in enumerate(texts)]))
+    led = near_copies._led(near_copies._postings(keyed, 5), 0.8)
+    open_ = led.selectExpr("1L as g", "key", "n", "key as of", "200L as rows").distinct()
+    pairs = near_copies._between(open_, near_copies._sketches(keyed, keyed.select("key"), 5), 0.8).collect()
+    root = {k: k for r in pairs for k in r}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert len(root) == open_.count() and len({find(x) for x in root}) == 1 and len(pairs) < 2 * len(root)
