@@ -166,13 +166,18 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 def mix_rows(docs: DataFrame) -> DataFrame:
     """repeat(docs, mix(docs)) for rows that may share a doc_id or have none: told apart by id, source and text.
 
-    Rows that are equal in all three are taken together.
+    Rows that are equal in all three are taken together, as the one whose other columns, as JSON, come first. A null is
+    no value of its column, so rows that have theirs in different columns are different rows.
     """
-    row = F.xxhash64("doc_id", "source", "text")
+    names = ("doc_id", "source", "text")
+    row = F.xxhash64(*names, *[F.col(c).isNull() for c in names])
     plan = mix(docs.withColumn("_row", row), row="_row").groupBy("doc_id", "row").agg(
         F.max("size").alias("size"), F.sum("taken").alias("taken"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"), F.min("place").alias("place")
     )
-    return _repeated(docs.withColumn("_key", row).dropDuplicates(["doc_id", "_key"]).drop("_key"), plan, row).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    first = Window.partitionBy("doc_id", "_key").orderBy(F.to_json(F.struct(*others)) if others else F.lit(""))
+    single = docs.withColumn("_key", row).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_key", "_nth")
+    return _repeated(single, plan, row).select(*docs.columns)
 
 
 def _repeated(docs: DataFrame, mixed: DataFrame, row: Column) -> DataFrame:

@@ -120,3 +120,14 @@ def test_words_taken_against_a_plain_schedule(spark):
         assert {i: r.taken for i, r in found.items()} == taken
         for i, s, n, _ in rows:
             assert (found[i].size, found[i].source_size) == (n, sizes[s]) and abs(found[i].target - float(targets[s])) < 1e-6 * sizes[s]
+
+
+def test_rows_with_nulls_in_different_columns_and_ties(spark):
+    rows = [(4, None, "en", "x", None), (4, "x", "en", None, 1), (7, "a b c d", "fr", "s", 7), (7, "a b c d", "en", "s", 7), (None, "q r", "en", "s", 3)]
+    rows += [(k, "w " * 40, "en", "s", 80) for k in range(20, 30)]
+    docs = frame(spark, rows)
+    plan = mixing.mix(docs.withColumn("row", F.monotonically_increasing_id()), row="row")
+    assert plan.where("doc_id = 4").count() == 2
+    out = mixing.mix_rows(docs).collect()
+    assert all(r.text is not None for r in out) and any((r.doc_id, r.text, r.source) == (4, "x", None) for r in out)
+    assert {r.lang for r in out if r.doc_id == 7} <= {"en"}
