@@ -259,4 +259,4 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == [*range(1, 11)]
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == [*range(1, 14)]
