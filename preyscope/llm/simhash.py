@@ -27,6 +27,8 @@ SHINGLE = 3
 RADIUS = 2
 #: Fingerprints of more rows than this, and than a thousandth of all rows, are hot: a thousand at most, so these are broadcast.
 HOT = 1000
+#: Masked values of up to so many fingerprints are compared in a task: half a megabyte of differences at most.
+GROUP = 256
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -71,25 +73,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def covering_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) with b the smallest fingerprint of a group that a is in; connected as the pairs within the radius are.
+def _forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of x within the radius that connect its fingerprints as all such pairs do: fewer than there are in x."""
+    near, fresh = np.bitwise_count(x[:, None] ^ x) <= radius, np.ones(len(x), bool)
+    ones, others = [], []
+    for root in range(len(x)):
+        reached = [root] if fresh[root] else []
+        fresh[root] = False
+        for at in reached:
+            found = np.flatnonzero(near[at] & fresh)
+            fresh[found] = False
+            reached += found.tolist()
+            ones += found.tolist()
+            others += [at] * len(found)
+    return x[ones], x[others]
 
-    fps(fp) is distinct. Rows (table, masked value, fp) that stand alone are dropped by counting. In what is left, a
-    fingerprint names every value that differs from it in at most radius / 2 of the bits outside the mask; two that are
-    within the radius name a value in common, and two that name the same value are within the radius, so each is linked
-    to the smallest that names it. Radius 2 (or 1) is built: values that differ by one bit.
+
+def _compared(left: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links within the groups of left(mask, key, fp), which are small: held against one another in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_forest(np.array(fps.as_py(), np.int64).view(np.uint64), radius) for fps in batch.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return left.groupBy("mask", "key").agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps").mapInArrow(run, "a long, b long")
+
+
+def covering_links(fps: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """(a, b), fingerprints within the radius of one another; connected as all pairs within it are.
+
+    fps(fp) is distinct. Rows (table, masked value, fp) that stand alone are dropped by counting. Of what is left, values
+    of up to `group` fingerprints are compared in a task, which gives out fewer links than fingerprints. In larger ones a
+    fingerprint names what only those within the radius of it can name too, and each is linked to the smallest that names
+    it: at radius 2 every value that differs from it in at most one of the bits outside the mask, at radius 1 every such
+    bit with the value without it.
     """
     if radius not in (1, 2):
         raise ValueError("a radius of 1 or 2 is built")
     tables = [_signed(m) for m in masks(radius)]
     outside = [[_signed(1 << k) for k in range(BITS) if not (m >> k) & 1] for m in masks(radius)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("mask", "key"))
-    shared = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mask", "key")
+    shared = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     left = cut(keyed.join(shared, ["mask", "key"]))
-    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in bits]) for bits in outside])
-    named = left.select("mask", "fp", F.explode(F.transform(F.get(flips, "mask"), lambda x: F.col("fp").bitwiseXOR(x))).alias("value"))
-    low = named.groupBy("mask", "value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return named.join(low.select("mask", "value", "b"), ["mask", "value"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    bits = F.get(F.array(*[F.array(*[F.lit(x).cast("long") for x in own]) for own in outside]), F.col("mask"))
+    none = F.lit(0).cast("long")
+    if radius == 2:
+        names = F.transform(F.concat(F.array(none), bits), lambda x: F.struct(none.alias("place"), F.col("fp").bitwiseXOR(x).alias("value")))
+    else:
+        names = F.transform(bits, lambda x: F.struct(x.alias("place"), F.col("fp").bitwiseAND(F.bitwise_not(x)).alias("value")))
+    large = left.where(F.col("n") > group).select("mask", "fp", F.inline(names))
+    by = ["mask", "place", "value"]
+    low = large.groupBy(*by).agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    named = large.join(low, by).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return named.union(_compared(left.where(F.col("n") <= group), radius)).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from preyscope.llm import queries, simhash
@@ -49,18 +50,21 @@ def test_masks_cover_every_pair_of_positions():
                     assert any(not (m >> a) & 1 and not (m >> b) & 1 for m in masks)
 
 
-def test_links_of_close_fingerprints(spark):
+@pytest.mark.parametrize("radius", [1, 2])
+@pytest.mark.parametrize("group", [1, 12, 256])
+def test_links_of_close_fingerprints(spark, radius, group):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(20)]
     prints = {*base}
-    for x in base:  # chains of two-bit steps, and a crowd about one value
-        for _ in range(12):
-            x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+    for x in base:  # chains of steps of one or two bits, and a crowd about one value
+        for k in range(12):
+            x ^= 1 << rng.randrange(64) | (1 << rng.randrange(64) if k % 3 else 0)
             prints.add(x)
     prints |= {base[0] ^ (1 << a) for a in range(64)}
     signed = [(simhash._signed(x),) for x in prints]
-    links = simhash.covering_links(spark.createDataFrame(signed, "fp long"), 2)
-    groups = brute_groups({x: x for x in prints})
+    links = simhash.covering_links(spark.createDataFrame(signed, "fp long"), radius, group).cache()
+    groups = brute_groups({x: x for x in prints}, radius)
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= radius for r in links.collect())
     first = {}
     for x, g in groups.items():
         first.setdefault(g, set()).add(x)
