@@ -30,6 +30,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: what follows reads the columns it needs, compressed."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a written table that a task takes.
+ROWS_OF_A_TASK = 1_000_000
+
+
+def tasks_of(table: DataFrame) -> int:
+    """Tasks for a written table, of about ROWS_OF_A_TASK rows: their number grows with it, not their size."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // ROWS_OF_A_TASK + 1)
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A written table dealt by keys to tasks_of() it."""
+    return table.repartition(tasks_of(table), *keys)
+
+
 class Workspace:
     """Tables of one computation in the shared folder, which are removed with it, after an error too.
 
