@@ -10,19 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..functions.stats import quantiles, quantiles_by
+from ..functions.tails import erf
 
 #: Values times candidates of a fit that are worked out at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 MODES = {"prior": (3, "stddev_pop", 0.95, 0.05, 2), "mixture": (5, "stddev_samp", 0.99, 0.01, 3), "one": (5, "stddev_samp", 0.99, 0.01, 3)}
 
-_erf = np.vectorize(math.erf, otypes=[float])
-
-
 def _phi(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _erf(x / math.sqrt(2)))
+    return 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
 def exclude_self(inter: DataFrame, design: DataFrame) -> DataFrame:
@@ -122,7 +120,7 @@ def prior_value(p: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarra
     sizes = np.array([len(y) for y in p.ys])
     flat = np.concatenate([np.asarray(y, float) for y in p.ys])
     starts = np.cumsum(sizes) - sizes
-    step = max(1, AT_ONCE // max(1, len(flat)))
+    step, ln10, root = max(1, AT_ONCE // max(1, len(flat))), math.log(10), math.sqrt(2 * math.pi)
 
     def density(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
         return np.exp(-((x - mu) ** 2) / (2 * sigma**2)) / (sigma * math.sqrt(2 * math.pi))
@@ -131,8 +129,15 @@ def prior_value(p: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarra
         out = zero * np.log10(_phi((t - mu) / sigma) + 1e-6) + np.log10(density(mu, om, osd / np.sqrt(n)) + 1e-6)
         # A few candidates at a time, each beside every value: memory follows the values, whatever the longest prey has.
         for k in range(0, mu.shape[1], step):
-            m, s = (np.repeat(c[:, k : k + step], sizes, axis=0) for c in (mu, sigma))
-            out[:, k : k + step] += np.add.reduceat(np.log10(density(flat[:, None], m, s) + 1e-6), starts, axis=0)
+            m, s = mu[:, k : k + step], sigma[:, k : k + step]
+            rows = flat[:, None] - np.repeat(m, sizes, axis=0)
+            rows *= rows
+            rows *= np.repeat(-0.5 / (s * s), sizes, axis=0)
+            np.exp(rows, out=rows)
+            rows *= np.repeat(1 / (s * root), sizes, axis=0)
+            rows += 1e-6
+            # The natural logarithm is the quicker one of numpy.
+            out[:, k : k + step] += np.add.reduceat(np.log(rows, out=rows), starts, axis=0) / ln10
         return out
 
     return value
@@ -260,12 +265,13 @@ def impute(inter: DataFrame, design: DataFrame, preys: DataFrame, mode: str = "m
 
     Preys without a value other than their own bait's are skipped: mu is the limit and sigma null.
     """
+    inter, design = stored(inter), cut(design)
     bounds = cut(limits(inter, mode))
     rows = exclude_self(inter, design)
     own = design.where("bait_id is not null").groupBy(F.col("bait_id").alias("prey")).agg(F.count(F.lit(1)).alias("own"))
     n = design.agg(F.count(F.lit(1)).alias("n"))
     stats = censor_stats(rows, F.lit(0), bounds, mode, values=mode == "prior").crossJoin(F.broadcast(n)).join(F.broadcast(own), "prey", "left")
-    stats = cut(stats.withColumn("n_zero", F.col("n") - F.coalesce("own", F.lit(0)) - F.col("n_obs")).drop("n", "own"))
+    stats = stored(stats.withColumn("n_zero", F.col("n") - F.coalesce("own", F.lit(0)) - F.col("n_obs")).drop("n", "own"))
     fits = fit(stats, mode, pi).select("prey", "mu", "sigma", "tlim")
     skipped = preys.select("prey").join(stats.select("prey"), "prey", "left_anti").crossJoin(F.broadcast(bounds.select("upper_tlim")))
     every = fits.unionByName(skipped.select("prey", F.col("upper_tlim").alias("mu"), F.lit(None).cast("double").alias("sigma"), F.col("upper_tlim").alias("tlim")))
