@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import leading, summed
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..functions.stats import bh_adjust, hypergeom_tail, running, t_two_sided
 from ..functions.text import features, intensities
 from . import scoring
@@ -42,7 +42,7 @@ def network_degree(passing: DataFrame, known: DataFrame) -> DataFrame:
 
 def threshold_metrics(scored: DataFrame, known: DataFrame, baits: Sequence[str] | None = None, **thresholds: float) -> DataFrame:
     """One row: totals and knowns before and after, median network size, enrichment of knowns, mean degree."""
-    rows = scored if baits is None else scored.where(F.col("bait").isin([*baits]))
+    rows = stored(scored if baits is None else scored.where(F.col("bait").isin([*baits])))
     passing = apply_thresholds(rows, **thresholds)
     count = lambda df, s: df.agg(F.count(F.lit(1)).alias(f"total_{s}"), F.count_if("is_known").alias(f"known_{s}"))
     sizes = passing.groupBy("bait").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.median("n"), F.lit(0.0)).alias("median_network_size"))

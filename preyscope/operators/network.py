@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import Workspace, cut
+from ..functions.lineage import Workspace, cut, spread, stored, tasks_of
 from . import scoring
 
 GAMMA_LIMIT = 10.0
@@ -33,17 +33,17 @@ def edges_from_terms(terms: DataFrame, preys: DataFrame) -> DataFrame:
 
 def edges_from_pairs(pairs: DataFrame, preys: DataFrame) -> DataFrame:
     """(a, b), a < b: known prey pairs(a, b) in either direction, without self-pairs and unknown preys."""
-    known = preys.select("prey").distinct()
-    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = stored(preys.select("prey").distinct())
+    ordered = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     for c in ("a", "b"):
-        ordered = ordered.join(known.withColumnRenamed("prey", c), c, "left_semi")
-    return ordered.select("a", "b")
+        ordered = stored(spread(ordered, c).join(known.withColumnRenamed("prey", c), c, "left_semi"))
+    return spread(ordered, "a").select("a", "b").distinct()
 
 
 def neighbour_support(labelled: DataFrame, edges: DataFrame, symmetric: bool = False) -> DataFrame:
     """(prey, bait, support, neighbours): sum over the prey's neighbours of their mean label with the bait, and the
     neighbours with a true label. labelled: prey, bait, z. Edges count from the smaller to the larger prey, or both ways."""
-    return _support(labelled.groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z")), _both(edges) if symmetric else edges)
+    return _support(labelled.groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z")), stored(_both(edges) if symmetric else edges))
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -51,8 +51,11 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _support(means: DataFrame, edges: DataFrame) -> DataFrame:
-    met = edges.select(F.col("a").alias("prey"), F.col("b").alias("other")).join(means.where("z > 0").select(F.col("prey").alias("other"), "bait", "z"), "other")
-    return met.groupBy("prey", "bait").agg(F.sum("z").alias("support"), F.array_join(F.sort_array(F.collect_set("other")), "|").alias("neighbours"))
+    """neighbour_support() of means(prey, bait, z) over a written table of edges."""
+    tasks = tasks_of(edges)
+    near = edges.repartition(tasks, "b").select(F.col("a").alias("prey"), F.col("b").alias("other"))
+    met = near.join(means.where("z > 0").select(F.col("prey").alias("other"), "bait", "z"), "other")
+    return met.repartition(tasks, "prey").groupBy("prey", "bait").agg(F.sum("z").alias("support"), F.array_join(F.sort_array(F.collect_set("other")), "|").alias("neighbours"))
 
 
 def colour(edges: DataFrame) -> DataFrame:
@@ -155,14 +158,17 @@ def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_repl
     if symmetric:
         rows, beta, gamma = _by_colour(cells, edges, rounds)
     else:
-        rows = cells.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
-        for _ in range(rounds):
-            labelled = rows.withColumn("z", z)
-            near = neighbour_support(labelled, edges)
-            rows = cut(labelled.drop("support", "neighbours", "z").join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0))))
-            odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
-            z = odds >= 0
-            beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))
+        with Workspace(cells.sparkSession) as ws:
+            edges, rows = ws.keep(edges), cells.withColumn("support", F.lit(0.0))
+            for n in range(rounds):
+                means = ws.keep(rows.groupBy("prey", "bait").agg(F.avg(z.cast("double")).alias("z")))
+                # Only the last round's neighbours are reported, so only that one gathers their names.
+                near = _support(means, edges) if n == rounds - 1 else _support(means, edges).drop("neighbours")
+                rows = cells.join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+                rows = stored(rows) if n == rounds - 1 else ws.keep(rows)
+                odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
+                z = odds >= 0
+                beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))
     odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
     seen = F.coalesce(F.col("y"), F.lit(0.0)) != 0
     scored = rows.withColumn("log_odds", odds).withColumn("score", F.when(seen, 1 / (1 + F.exp(-odds))).otherwise(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..functions.lineage import cut, shared_folder
+from ..functions.lineage import cut, shared_folder, stored
 from ..operators import affinity, analytics, annotate, groups, impute, ingest, network, ontology, score_counts, score_intensity, scoring, validate, wd
 from ..sources import readers, writers
 from . import pipeline, views
@@ -49,9 +49,9 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     test = F.broadcast(design.where("type = 'T'").select("experiment", "bait_id"))
     rows = views.interactions(spark, sf).join(test, "experiment").groupBy("bait", "bait_id", "prey").agg(F.sum("spc").alias("s"))
     rows = rows.withColumn("score", F.round(F.col("s") / (F.col("s") + 60), 2)).withColumn("wd", F.round(F.sqrt("s"), 3)).withColumn("wd_fdr", F.when(F.col("s") % 7 != 0, F.round(1 / (1 + F.col("s")), 4)))
-    known = views.known(spark, sf).select(F.col("pa").alias("a"), F.col("pb").alias("b"), (F.col("n") >= 2).alias("multivalidated"))
+    known = views.known_of(spark, sf, design.select(F.col("bait_id").alias("pb"))).select(F.col("pa").alias("a"), F.col("pb").alias("b"), (F.col("n") >= 2).alias("multivalidated"))
     rows = annotate.join_known(rows.withColumn("first_id", text.first_item(F.col("prey"))), known)
-    return stats.tail_fdr(rows, "score")
+    return stats.tail_fdr(stored(rows), "score")
 
 
 SCORED = """,
@@ -408,7 +408,7 @@ def normalised_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select least(pa, pb) a, greatest(pa, pb) b from known group by 1, 2""")
 def prey_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return network.edges_from_pairs(views.known(spark, sf).select(F.col("pa").alias("a"), F.col("pb").alias("b")), views.preys(spark, sf))
+    return network.edges_from_pairs(views.known_once(spark, sf).select("a", "b"), views.preys(spark, sf))
 
 
 _MEMBERS = """, tm as (select 'P' || p_partkey prey, 'R' || p_partkey // 7 || p_brand term from part)"""
@@ -433,8 +433,10 @@ def neighbour_support(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def topology_scores(spark: SparkSession, sf: str) -> DataFrame:
     inter, design, preys = _counts(spark, sf), views.design(spark, sf), views.preys(spark, sf)
-    cells = cut(score_counts.densities(inter, design, preys))
-    pairs = score_counts.score(inter, design, preys, rounds=3).select("prey", "bait", "avg_p")
+    inter, design = stored(inter), cut(design)
+    scored = stored(score_counts.density_pairs(inter, design, preys))
+    cells = scoring.replicates(scored.drop("controls", "gene", "eta", "lambda2", "ctrl_mean"))
+    pairs = score_counts.posterior(scored, ["prey", "bait"], rounds=3).select("prey", "bait", "avg_p")
     return rounded(network.topology_scores(cells, prey_edges(spark, sf), pairs), 4)
 
 

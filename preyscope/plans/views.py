@@ -41,15 +41,40 @@ def preys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.expr("concat('P', p_partkey)").alias("prey"), gene.alias("gene"), features.alias("features"))
 
 
-def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pa, pb, n: directed pairs of parts in common orders, with the number of orders.
+#: Lines of orders whose pairs one task counts.
+LINES_OF_A_TASK = 250_000
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(a, b of each order's parts, a < b, part numbers; number of tasks to count them in).
 
-    An order has a few lines at most, so the pairs within orders grow with the lines.
+    An order has a few lines at most, so the pairs within orders grow with the lines, and so do the tasks.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    other = lines.select("l_orderkey", F.col("l_partkey").alias("other"))
-    pairs = lines.join(other, "l_orderkey").where("l_partkey <> other")
-    return pairs.groupBy(F.expr("concat('P', l_partkey)").alias("pa"), F.expr("concat('P', other)").alias("pb")).agg(F.count(F.lit(1)).alias("n"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES_OF_A_TASK + 1)
+    parts = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    first = parts.select("p", F.posexplode("p").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")), tasks
+
+
+def known_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, n: pairs of preys in common orders, each in one direction, with the number of orders."""
+    pairs, tasks = _part_pairs(spark, sf_dir)
+    counts = pairs.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.expr("concat('P', a)").alias("a"), F.expr("concat('P', b)").alias("b"), "n")
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pa, pb, n: directed pairs of parts in common orders, with the number of orders."""
+    return known_once(spark, sf_dir).select(F.inline(F.array(F.struct(F.col("a").alias("pa"), F.col("b").alias("pb")), F.struct(F.col("b").alias("pa"), F.col("a").alias("pb")))), "n")
+
+
+def known_of(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The rows of known() whose pb is one of ids(pb), a table to broadcast; other pairs are not counted at all."""
+    pairs, tasks = _part_pairs(spark, sf_dir)
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
+    named = ends.select(F.expr("concat('P', x)").alias("pa"), F.expr("concat('P', y)").alias("pb")).join(F.broadcast(ids.distinct()), "pb", "left_semi")
+    return named.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
