@@ -159,7 +159,7 @@ def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_repl
         rows, beta, gamma = _by_colour(cells, edges, rounds)
     else:
         with Workspace(cells.sparkSession) as ws:
-            edges, rows = ws.keep(edges), cells.withColumn("support", F.lit(0.0))
+            edges, rows = ws.keep(edges), cells.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
             for n in range(rounds):
                 means = ws.keep(rows.groupBy("prey", "bait").agg(F.avg(z.cast("double")).alias("z")))
                 # Only the last round's neighbours are reported, so only that one gathers their names.
