@@ -12,15 +12,15 @@ Texts of a batch are walked side by side in numpy, longest first, so a step cost
 under way. A text has 3n steps, so one of 10^8 characters keeps a task busy for minutes, whatever else there is.
 
 Classes of near documents come from bit-sampled bands: each of the two octaves in which a text has most steps, three
-quarters of them or more, has several bands of a few places drawn at random, the same in all texts. Fingerprints that
-agree in a band are candidates, and likeness verifies them (see linked()).
+quarters of them or more, has several bands of a few places drawn at random, the same in all texts. Where a text is over
+at some of them, as many of the octave before take their place, so a band always tells by PLACES characters. All
+fingerprints that agree in a band are candidates, however many, and likeness verifies them (see linked()).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +43,12 @@ HEAD = 32
 #: Random bits repeat after so many steps.
 PERIOD = 1 << 13
 OCTAVES = 40
-#: Bands of an octave, and places of a band at each level: bands that are crowded at one are refined at the next.
-BANDS, LEVELS = 10, (9, 15, 21)
-#: Fingerprints of a band that are all held against each other.
-SMALL = 20
+#: Bands of an octave, and places of a band.
+BANDS, PLACES = 14, 8
 #: The likeness from which documents are near.
 LEAST = 0.8
 NO_ID = -(1 << 63)
-#: Fingerprints of a band that no level has told apart, which a task holds against as many others.
+#: Fingerprints of a band that a task holds against as many others.
 BLOCK = 512
 
 _rng = np.random.default_rng(20)
@@ -59,7 +57,8 @@ _MOVES[:, 0] = 0  # past the end
 _DIGIT = _rng.integers(0, 16, 256).astype(np.uint8)
 _DIGIT[0] = 16
 _PLACES = [np.sort(_rng.choice(min(FIRST << max(0, k - 1), 1 << 20), SAMPLES, replace=False)).astype(np.int64) for k in range(OCTAVES)]
-_BANDED = [[_rng.permutation(SAMPLES)[: LEVELS[-1]] for _ in range(BANDS)] for _ in range(OCTAVES)]
+_BANDED = [[_rng.permutation(SAMPLES) for _ in range(BANDS)] for _ in range(OCTAVES)]
+_FILLED = [[np.random.default_rng([21, k, b]).permutation(SAMPLES) for b in range(BANDS)] for k in range(OCTAVES)]
 _HEX = np.frombuffer(b"0123456789abcdef-", np.uint8)
 
 
@@ -290,23 +289,31 @@ def _longest(f: str) -> list[int]:
     return [k for n, k in sorted(steps, reverse=True)[:2] if n]
 
 
-def _bands(prints: DataFrame, level: int) -> DataFrame:
-    """prints(h, fingerprint) -> (band, wide, h): the hash of each band's places at this level, and at the one before."""
+def _places(f: str, octave: int, b: int) -> str:
+    """A fingerprint's digits at a band's places; for each that is past the end also one of the octave before, of the
+    first octave one of its own."""
+    own = f[octave * SAMPLES : (octave + 1) * SAMPLES]
+    order = _BANDED[octave][b]
+    digits = "".join(own[p] for p in order[:PLACES])
+    if none := digits.count("-"):
+        before = f[(octave - 1) * SAMPLES : octave * SAMPLES] if octave else ""
+        others = "".join([before[p] for p in _FILLED[octave][b]] if octave else [own[p] for p in order[PLACES:]])
+        digits += others.replace("-", "")[:none]
+    return digits
+
+
+def _bands(prints: DataFrame) -> DataFrame:
+    """prints(h, fingerprint) -> (band, h): the hash of each band's places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int]] = []
             for h, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for octave in _longest(f):
-                    own = f[octave * SAMPLES : (octave + 1) * SAMPLES]
-                    for b, places in enumerate(_BANDED[octave]):
-                        digits = "".join(own[p] for p in places[: LEVELS[level]])
-                        if digits.strip("-"):
-                            name = f"{octave} {b} "
-                            out.append((print_hash(name + digits), print_hash(name + digits[: LEVELS[max(0, level - 1)]]), h))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], [*"abc"])
+                    out += [(print_hash(f"{octave} {b} {_places(f, octave, b)}"), h) for b in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], [*"ab"])
 
-    return prints.select("h", "fingerprint").mapInArrow(run, "band long, wide long, h long")
+    return prints.select("h", "fingerprint").mapInArrow(run, "band long, h long")
 
 
 def _led(bands: DataFrame) -> DataFrame:
@@ -368,13 +375,13 @@ def likenesses(one: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.nda
     return np.where(total > 0, same / np.where(total > 0, total, 1), 1.0)
 
 
-def _blocks(open_: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+def _blocks(open_: DataFrame, prints: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b): verified links that join all near parts within the bands of open_(band, h, of, n), for bands of any size.
 
-    A band's fingerprints are dealt to blocks of about BLOCK and each two blocks meet in a task, which gives out only links
+    A band's fingerprints are dealt to blocks of about `block` and each two blocks meet in a task, which gives out only links
     that join parts which its earlier ones haven't joined: fewer than it has fingerprints.
     """
-    blocks = F.floor(F.col("n") / BLOCK) + 1
+    blocks = F.floor(F.col("n") / block) + 1
     own = F.pmod(F.xxhash64("h", F.lit(1)), blocks)
     dealt = open_.join(prints.select("h", "fingerprint").hint("merge"), "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "h", "of", "fingerprint")
@@ -384,9 +391,13 @@ def _blocks(open_: DataFrame, prints: DataFrame, least: float) -> DataFrame:
         left, right = [x for x in group if x[3] == low], [x for x in group if x[3] == high]
         rows = _digits([x[6] for x in left + right])
         weights, right_h = _weights(rows.shape[1]), np.array([x[4] for x in right])
-        of = np.array([x[5] for x in left + right])
+        of, total = np.array([x[5] for x in left + right]), (rows != ord("-")) @ weights
         for k, x in enumerate(left):
-            good = np.flatnonzero((of[len(left) :] != of[k]) & (right_h > x[4] if low == high else True))
+            # No pair is more alike than the shares of steps that its texts have.
+            sizes = np.minimum(total[len(left) :], total[k]) + 1e-6 >= least * np.maximum(total[len(left) :], total[k])
+            good = np.flatnonzero(sizes & (of[len(left) :] != of[k]) & (right_h > x[4] if low == high else True))
+            if not len(good):
+                continue
             near = good[likenesses(rows[k], rows[len(left) :][good], weights) >= least]
             met, first = np.unique(of[len(left) :][near], return_index=True)
             for j in near[first].tolist():
@@ -406,46 +417,33 @@ def _blocks(open_: DataFrame, prints: DataFrame, least: float) -> DataFrame:
         if group and (out := [*links(group)]):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [*"ab"])
 
-    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(run, "a long, b long")
+    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "h").mapInArrow(run, "a long, b long")
 
 
-def linked(ws: Workspace, prints: DataFrame, least: float = LEAST, small: int = SMALL) -> DataFrame:
-    """(a, b): verified links between the distinct prints(h, fingerprint), whose components are the classes.
+def linked(ws: Workspace, prints: DataFrame, least: float = LEAST, small: int = BLOCK) -> DataFrame:
+    """(a, b): verified links between the distinct prints(h, fingerprint), whose components are the classes: all that
+    agree in a band and are near are in one.
 
     Every fingerprint is first held against the smallest of all its bands' smallest, then, where that doesn't connect them
-    yet, against each band's smallest. Of a band that is still in several parts, fingerprints of different parts are held
-    against one another, if it has at most `small`; a larger
-    one is refined by further sampled places, and does so again. What agrees in LEVELS[-1] places is held against one
-    another in blocks, however many.
+    yet, against each band's smallest. Of a band that is still in several parts, all fingerprints of different parts are
+    held against one another, in blocks of about `small`.
     """
-    found, crowd = [], None
-    for level in range(len(LEVELS)):
-        if crowd is None:
-            bands = _bands(prints, level)
-        else:
-            bands = _bands(prints.join(crowd.select("h").distinct(), "h", "left_semi"), level)
-            bands = bands.join(crowd.select(F.col("band").alias("wide"), "h"), ["wide", "h"], "left_semi")
-        led = ws.keep(_led(bands.select("band", "h")))
-        # Bands of one family mostly have the same smallest member, so one pair for each fingerprint links most of them.
-        one = led.where("h <> leader").groupBy(F.col("h").alias("b")).agg(F.min("leader").alias("a"))
-        star = _verified(ws, one.select("a", "b"), prints, least)
-        up = star.select(F.col("b").alias("a"), F.col("a").alias("top"))
-        names = ws.keep(star.join(up, "a", "left").select(F.col("b").alias("h"), F.coalesce("top", "a").alias("of")))
-        own = led.join(names, "h", "left").join(names.select(F.col("h").alias("leader"), F.col("of").alias("led")), "leader", "left")
-        own = ws.keep(own.select("band", "h", "leader", F.coalesce("of", "h").alias("of"), F.coalesce("led", "leader").alias("led")))
-        rest = _verified(ws, own.where("of <> led").select(F.col("leader").alias("a"), F.col("h").alias("b")), prints, least)
-        mark = rest.select(F.col("a").alias("leader"), F.col("b").alias("h"), F.lit(True).alias("near"))
-        of = own.join(mark, ["leader", "h"], "left").select("band", "h", F.when(F.col("near"), F.col("led")).otherwise(F.col("of")).alias("of"))
-        whole = Window.partitionBy("band")
-        sized = of.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("x", F.min("of").over(whole)).withColumn("y", F.max("of").over(whole))
-        open_ = ws.keep(sized.where("x <> y").select("band", "h", "of", "n"))
-        ws.drop(led, names, own)
-        few = open_.where(F.col("n") <= small) if level < len(LEVELS) - 1 else open_
-        found += [star, rest, ws.keep(_blocks(few, prints, least))]
-        crowd = open_.where(F.col("n") > small)
-        if crowd.isEmpty():
-            break
-    links = reduce(DataFrame.union, found)
+    led = ws.keep(_led(_bands(prints)))
+    # Bands of one family mostly have the same smallest member, so one pair for each fingerprint links most of them.
+    one = led.where("h <> leader").groupBy(F.col("h").alias("b")).agg(F.min("leader").alias("a"))
+    star = _verified(ws, one.select("a", "b"), prints, least)
+    up = star.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    names = ws.keep(star.join(up, "a", "left").select(F.col("b").alias("h"), F.coalesce("top", "a").alias("of")))
+    own = led.join(names, "h", "left").join(names.select(F.col("h").alias("leader"), F.col("of").alias("led")), "leader", "left")
+    own = ws.keep(own.select("band", "h", "leader", F.coalesce("of", "h").alias("of"), F.coalesce("led", "leader").alias("led")))
+    rest = _verified(ws, own.where("of <> led").select(F.col("leader").alias("a"), F.col("h").alias("b")), prints, least)
+    mark = rest.select(F.col("a").alias("leader"), F.col("b").alias("h"), F.lit(True).alias("near"))
+    of = own.join(mark, ["leader", "h"], "left").select("band", "h", F.when(F.col("near"), F.col("led")).otherwise(F.col("of")).alias("of"))
+    whole = Window.partitionBy("band")
+    sized = of.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("x", F.min("of").over(whole)).withColumn("y", F.max("of").over(whole))
+    open_ = ws.keep(sized.where("x <> y").select("band", "h", "of", "n"))
+    ws.drop(led, names, own)
+    links = star.union(rest).union(ws.keep(_blocks(open_, prints, least, small)))
     return ws.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -196,6 +196,35 @@ def test_classes_find_near_pairs(spark, small):
         assert all(r.n_links == ends.count(edit_embedding.print_hash(r.fingerprint)) for r in out)
 
 
+def test_crowded_bands_are_held_against_one_another(spark):
+    """A near pair that agrees in one band only, which many others share, and that parts in its further places."""
+    rng, samples = random.Random(3), edit_embedding.SAMPLES
+    shared, further = ([samples + int(p) for p in edit_embedding._BANDED[1][0][a:b]] for a, b in ((0, 9), (9, 15)))
+    bands = [{o * samples + int(p) for p in own[:8]} for o in (0, 1) for own in edit_embedding._BANDED[o]]
+    bands[len(bands) // 2] = set(further)
+    changed: set[int] = set()
+    while left := [b for b in bands if not b & changed]:
+        changed.add(max((p for p in range(2 * samples) if p not in shared), key=lambda p: sum(p in b for b in left)))
+    one = rng.choices("0123456789abcdef", k=2 * samples)
+    two = ["0123456789abcdef"[(int(x, 16) + 1) % 16] if k in changed else x for k, x in enumerate(one)]
+    crowd = [[one[k] if k in shared else x for k, x in enumerate(rng.choices("0123456789abcdef", k=2 * samples))] for _ in range(60)]
+    prints = ["".join(f) for f in (one, two, *crowd)]
+    hashes = [*map(edit_embedding.print_hash, prints)]
+    assert edit_embedding.likeness(*prints[:2]) >= 0.8 and min(hashes) not in hashes[:2]
+    table = spark.createDataFrame([*zip(hashes, prints, strict=True)], "h long, fingerprint string")
+    with Workspace(spark) as ws:
+        assert [set(r) for r in edit_embedding.linked(ws, table).collect()] == [set(hashes[:2])]
+
+
+def test_bands_tell_by_as_many_characters():
+    """Where a text is over at some of a band's places, others stand in: texts that just reach an octave don't crowd it."""
+    rng = random.Random(8)
+    (f,) = edit_embedding.fingerprints([prose(rng, 40)[:70]])
+    for octave in edit_embedding._longest(f):
+        for b in range(edit_embedding.BANDS):
+            assert len(edit_embedding._places(f, octave, b).replace("-", "")) == edit_embedding.PLACES
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_recall_at_production_bands(spark, folder):
     """Documents whose id 50 divides against all others: nine in ten near pairs and more share a class."""
