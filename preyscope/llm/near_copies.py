@@ -8,8 +8,10 @@ texts' whole sets.
 
 A family of m copies would have m^2 / 2 candidates. So each text that shares a band is first verified with one leader.
 Texts of a band that are in different components after that are compared by a second, independent sketch of SKETCH minima
-of a byte each, in blocks, and only pairs that it leaves open become candidates: texts of a common template that are no
-copies cost a comparison of bytes and no row.
+of a byte each, in blocks: texts of a common template that are no copies cost a comparison of bytes and no row. Pairs that
+it is sure of are verified where they join parts. Texts with pairs that it leaves open meet once more, with their whole
+sets, in blocks of the band, which hold these pairs against one another and give out only links that join parts. So rows
+grow with the texts and their bands, not with the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import Workspace
@@ -37,8 +39,8 @@ BROADCAST_KEYS = 1_000_000
 SKETCH, PLAUSIBLE = 512, 0.73
 #: Four deviations above 0.8: of such pairs only those that join parts of a block are candidates.
 SURE = 0.87
-#: Texts of a block; two blocks of a band meet in a task, a text against all at a time.
-BLOCK = 2048
+#: Texts of a block, and hashes of a block of whole sets; two blocks of a band meet in a task, a text against all at a time.
+BLOCK, HASHES = 2048, 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 POSTING = "g long, key long, n int"
 _rng = np.random.default_rng(31)
@@ -185,48 +187,105 @@ def _sketches(texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
     return texts.join(keys, "key", "left_semi").mapInArrow(run, "key long, sketch binary").dropDuplicates(["key"])
 
 
-def _between(open_: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs that share a band of open_(g, key, n, of, rows), in different components, whose sizes and sketches
-    leave the similarity open. A band's texts are dealt to blocks by hash, and each two blocks are one group of rows.
+def _dealt(open_: DataFrame, own: DataFrame, blocks: Column) -> DataFrame:
+    """open_(g, key, n, of, ...) with own(key, ...), a band's texts dealt to blocks by hash: each two blocks of a band are
+    a group of rows (pair, key, g, n, of, own, low, high, ...)."""
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("g", "key", "n", "of", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(own, "key")
+    dealt = dealt.select(F.xxhash64("g", "low", "high").alias("pair"), "key", "g", "n", "of", "own", "low", "high", *own.columns[1:])
+    return dealt.repartition("pair").sortWithinPartitions("pair", "key")
 
-    A family that no leader links has the square of its size in pairs. Those that the sketch is sure of are given out only
-    where they join parts of the block, so such a family costs about a row a text.
-    """
+
+def _plausible(group: list[np.ndarray], of: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each text of the lower block with those of the other that `of` has in other parts by then and whose sizes and
+    sketches leave the similarity open, and the shares of equal minima."""
+    n, own, low, high, packed = group[3].astype(np.int64), *group[5:9]
+    drawn, right = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SKETCH), np.flatnonzero(own == high)
+    for i in np.flatnonzero(own == low).tolist():
+        j = right[right > i] if low[0] == high[0] else right
+        j = j[(of[j] != of[i]) & (np.minimum(n[j], n[i]) + 1e-6 >= least * np.maximum(n[j], n[i]))]
+        share = (drawn[j] == drawn[i]).mean(1) if len(j) else np.zeros(0)
+        near = share >= PLAUSIBLE + least - LEAST
+        if near.any():
+            yield i, j[near], share[near]
+
+
+def _compared(open_: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(g, a, b) of open_(g, key, n, of, rows): the pairs of a band that the sketch is sure of, where they join parts of
+    two blocks; and without a b, the texts of pairs in different parts that it leaves open."""
 
     def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        _, key, n, of, own, low, high, packed = group
-        n, drawn = n.astype(np.int64), np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SKETCH)
-        right, of, shift = np.flatnonzero(own == high), of.copy(), least - LEAST
-        for i in np.flatnonzero(own == low).tolist():
-            j = right[right > i] if low[0] == high[0] else right
-            j = j[(of[j] != of[i]) & (np.minimum(n[j], n[i]) + 1e-6 >= least * np.maximum(n[j], n[i]))]
-            share = (drawn[j] == drawn[i]).mean(1) if len(j) else np.zeros(0)
-            sure = j[share >= SURE + shift]
+        key, g, of = group[1], group[2], group[4].copy()
+        unsure: list[np.ndarray] = []
+        for i, j, share in _plausible(group, of, least):
+            sure = j[share >= SURE + least - LEAST]
             parts, first = np.unique(of[sure], return_index=True)
             out = sure[first]
             of[np.isin(of, parts)] = of[i]
-            open_ = j[(share >= PLAUSIBLE + shift) & (share < SURE + shift)]
-            out = np.concatenate([out, open_[of[open_] != of[i]]])
             if len(out):
-                yield [np.minimum(key[i], key[out]), np.maximum(key[i], key[out])]
+                yield [g[out], np.minimum(key[i], key[out]), np.maximum(key[i], key[out]), np.ones(len(out), bool)]
+            rest = j[(share < SURE + least - LEAST) & (of[j] != of[i])]
+            if len(rest):
+                unsure.append(np.append(rest, i))
+        if unsure:
+            texts = np.unique(np.concatenate(unsure))
+            yield [g[texts], key[texts], key[texts], np.zeros(len(texts), bool)]
 
-    blocks = F.floor(F.col("rows") / BLOCK) + 1
-    dealt = open_.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("g", "key", "n", "of", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(sketches, "key")
-    dealt = dealt.select(F.xxhash64("g", "low", "high").alias("pair"), "key", "n", "of", "own", "low", "high", "sketch")
-    return dealt.repartition("pair").sortWithinPartitions("pair", "key").mapInArrow(_batched(run, "ab"), "a long, b long").distinct()
+    out = _dealt(open_, sketches, F.floor(F.col("rows") / BLOCK) + 1).mapInArrow(_batched(run, "abcd"), "g long, a long, b long, sure boolean")
+    return out.select("g", "a", F.when(F.col("sure"), F.col("b")).alias("b"))
 
 
-def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """pairs(a, b) of texts whose shingle sets have at least that similarity."""
-    pairs = ws.keep(pairs)
-    named = ws.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+def _sure(compared: DataFrame) -> DataFrame:
+    return compared.where("b is not null").select("a", "b").distinct()
+
+
+def _between(open_: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b): the candidates of _compared(); a family that no leader links costs about a row a text."""
+    return _sure(_compared(open_, sketches, least))
+
+
+def _settled(unsure: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links that join the texts of unsure(g, key, n, of) as all their pairs do that share a band g and
+    that the sketch leaves open. Pairs are held against whole sets in the first of the bands that they share."""
+
+    def run(group: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        key, g, of = group[1], group[2][0].astype(np.int64).view(np.uint64), group[4].copy()
+        own = [np.frombuffer(x, np.uint64) for x in group[9]]
+        banded = np.array([bands(x) for x in own])
+        for i, j, _ in _plausible(group, of, least):
+            same = banded[j] == banded[i]
+            for k in j[banded[i][same.argmax(1)] == g].tolist():
+                if of[k] == of[i]:
+                    continue
+                both = len(np.intersect1d(own[i], own[k], assume_unique=True))
+                if both + 1e-9 >= least * (len(own[i]) + len(own[k]) - both):
+                    of[of == of[k]] = of[i]
+                    yield [np.minimum(key[i : i + 1], key[k]), np.maximum(key[i : i + 1], key[k])]
+
+    sized = unsure.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes"))
+    blocks = F.floor(F.greatest(F.col("rows") / BLOCK, F.col("hashes") / HASHES)) + 1
+    return _dealt(unsure.join(sized, "g"), sketches.join(sets.toDF("key", "whole"), "key"), blocks).mapInArrow(_batched(run, "ab"), "a long, b long").distinct()
+
+
+def _sets(ws: Workspace, texts: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, own): the whole sets of the texts with these keys."""
+    named = ws.keep(keys.distinct())
     keys = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], [*"ab"])
 
+    out = ws.keep(texts.join(keys, "key", "left_semi").mapInArrow(gather, "key long, own binary").dropDuplicates(["key"]))
+    ws.drop(named)
+    return out
+
+
+def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """pairs(a, b) of texts whose shingle sets have at least that similarity."""
+    pairs = ws.keep(pairs)
+    sets = _sets(ws, texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), shingle)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -237,10 +296,9 @@ def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, shingle: int, l
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], [*"ab"])
 
-    sets = ws.keep(texts.join(keys, "key", "left_semi").mapInArrow(gather, "key long, own binary").dropDuplicates(["key"]))
     both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     out = ws.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-    ws.drop(pairs, named, sets)
+    ws.drop(pairs, sets)
     return out
 
 
@@ -261,8 +319,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
         open_ = ws.keep(rows.join(several, "g"))
         ws.drop(led, names)
         sketches = ws.keep(_sketches(texts, open_.select("key").distinct(), shingle))
-        rest = _verified(ws, _between(open_, sketches, least), texts, shingle, least)
-        return written(components(first.union(rest), ws=ws).toDF("key", "component"))
+        compared = ws.keep(_compared(open_, sketches, least))
+        sure = _verified(ws, _sure(compared), texts, shingle, least)
+        left = compared.where("b is null").select("g", F.col("a").alias("key")).distinct()
+        unsure = ws.keep(open_.select("g", "key", "n", "of").distinct().join(left, ["g", "key"]))
+        rest = ws.keep(_settled(unsure, sketches, _sets(ws, texts, unsure.select("key"), shingle), least))
+        return written(components(first.union(sure).union(rest), ws=ws).toDF("key", "component"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

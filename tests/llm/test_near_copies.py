@@ -164,3 +164,23 @@ def test_families_without_a_leader_cost_a_row_a_text(spark):
     for a, b in pairs:
         root[find(a)] = find(b)
     assert len(root) == open_.count() and len({find(x) for x in root}) == 1 and len(pairs) < 2 * len(root)
+
+
+def test_pairs_that_the_sketch_leaves_open_are_no_rows(spark):
+    """Texts around one template that are alike by 0.74 to 0.82: pairs are open, the right ones join, rows are few."""
+    rng = random.Random(6)
+    words = prose(rng, 400, 5000).split(" ")
+    texts = []
+    for k in range(100):
+        own = list(words)
+        for at in rng.sample(range(10, 390), 4 if k % 5 == 0 else 6):
+            own[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    kept, near = brute(texts)
+    assert len(near) > 10 and 10 < len(kept) < 90
+    docs = frame(spark, [(k, t, "en", "s", None) for k, t in enumerate(texts)])
+    keyed = near_copies._keyed(docs)
+    led = near_copies._led(near_copies._postings(keyed, 5), 0.8)
+    open_ = led.selectExpr("1L as g", "key", "n", "key as of", "100L as rows").distinct()
+    assert near_copies._between(open_, near_copies._sketches(keyed, keyed.select("key"), 5), 0.8).count() <= 2 * len(texts)
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == kept
