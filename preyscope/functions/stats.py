@@ -15,6 +15,9 @@ from .lineage import cut
 
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 
+#: Values with their rates that are broadcast, some 50 bytes a row.
+MOST_VALUES = 100_000
+
 
 def log_factorial(k: Column) -> Column:
     """ln k! for whole k >= 0: exact logarithms below 10, Stirling's series (error under 1e-12) from there."""
@@ -101,6 +104,22 @@ def upper_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("_upto") - F.col("_base") > F.floor(F.col("_n") / 2), F.col("_v"))).alias("median"))
 
 
+def with_rates(df: DataFrame, value: str, rates: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """A written table with the columns of rates(value, n, ...), a row for each of its values, n of them; null for null.
+
+    A frequent value would bring all its rows to one task, so up to `most` values are broadcast: all, or those that more
+    than a `most`-th of the rows have. Only rows of the others are shuffled.
+    """
+    rates = cut(rates)
+    if rates.count() <= most:
+        return df.join(F.broadcast(rates.drop("n")), value, "left")
+    heavy = rates.crossJoin(F.broadcast(rates.agg((F.sum("n") / most).alias("_least")))).withColumn("_heavy", F.col("n") > F.col("_least")).drop("_least", "n")
+    often, seldom = (F.broadcast(heavy.where("_heavy").drop("_heavy")), heavy.where("not _heavy").drop("_heavy"))
+    none = df.where(F.col(value).isNull()).withColumns({c: F.lit(None).cast(t) for c, t in often.dtypes if c != value})
+    rare = df.join(often.select(value), value, "left_anti").where(F.col(value).isNotNull()).join(seldom, value, "left")
+    return df.join(often, value).unionByName(rare).unionByName(none)
+
+
 def tail_fdr(df: DataFrame, score: str, into: str = "bfdr") -> DataFrame:
     """df with 1 - mean(score of all rows with a strictly greater score), in [0, 1]; 0 for the top, equal for ties.
 
@@ -111,8 +130,8 @@ def tail_fdr(df: DataFrame, score: str, into: str = "bfdr") -> DataFrame:
     rows = running(sums, "_v", {"above": ("sum", "s"), "count": ("sum", "n")}, descending=True)
     greater = F.col("count") - F.col("n")
     rate = 1 - (F.col("above") - F.col("s")) / F.nullif(greater, F.lit(0))
-    rates = rows.select("_v", F.when(greater == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate))).alias(into))
-    return df.withColumn("_v", value).join(rates, "_v").drop("_v")
+    rates = rows.select("_v", "n", F.when(greater == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate))).alias(into))
+    return with_rates(df.withColumn("_v", value), "_v", rates).drop("_v")
 
 
 def bh_adjust(df: DataFrame, p: str, into: str, by: Sequence[str] = ()) -> DataFrame:
@@ -133,6 +152,7 @@ def bh_adjust(df: DataFrame, p: str, into: str, by: Sequence[str] = ()) -> DataF
         ranked = running(counts, "_p", {"rank": ("sum", "c")})
         ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("c").alias("n")))).withColumn("value", value)
         least = running(ranked, "_p", {"least": ("min", "value")}, descending=True)
+        return with_rates(df.withColumn("_p", F.col(p)), "_p", least.select("_p", F.col("c").alias("n"), F.least(F.lit(1.0), "least").alias(into))).drop("_p")
     adjusted = least.select(*keys, "_p", F.least(F.lit(1.0), "least").alias(into))
     return df.withColumn("_p", F.col(p)).join(adjusted, [*keys, "_p"], "left").drop("_p")
 

@@ -10,48 +10,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import stored
 from ..functions.stats import bh_adjust, quantiles
 
 
 def dedupe_replicates(counts: DataFrame) -> DataFrame:
     """(experiment, replicate, bait, prey, count): the largest count of each replicate cell, with its smallest bait id."""
-    return counts.groupBy("experiment", "prey", "replicate").agg(F.min("bait").alias("bait"), F.max("count").alias("count"))
+    return counts.groupBy("prey", "experiment", "replicate").agg(F.min("bait").alias("bait"), F.max("count").alias("count"))
 
 
-def replicate_entropy(values: Column) -> Column:
-    """Entropy in bits of p = (x + 1/n) / (sum + 1) over the n replicates that are present."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.transform(values, lambda x: (x + 1 / n) / (total + 1)), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+def average_counts(counts: DataFrame) -> DataFrame:
+    """One row for each (experiment, prey): avg_count over present replicates, n_saw (replicates above 0), entropy.
 
+    Entropy is in bits, of p = (x + 1/n) / (sum + 1) over the n replicates that are present. Rows move once, by prey, and
+    are sorted once, by prey, experiment and replicate.
+    """
+    cells = dedupe_replicates(counts.repartition("prey"))
+    w = Window.partitionBy("prey", "experiment")
+    p = (F.col("count").cast("double") + 1 / F.count("count").over(w)) / (F.coalesce(F.sum(F.col("count").cast("double")).over(w), F.lit(0.0)) + 1)
+    cells = cells.withColumn("_p", p)
+    return cells.groupBy("prey", "experiment").agg(
+        F.min("bait").alias("bait"), F.avg("count").alias("avg_count"), F.count_if(F.col("count") > 0).alias("n_saw"), F.coalesce(F.sum(0 - F.col("_p") * F.log2("_p")), F.lit(0.0)).alias("entropy")
+    ).select("experiment", "prey", "bait", "avg_count", "n_saw", "entropy")
 
-def average_counts(counts: DataFrame) -> DataFrame:
-    """One row for each (experiment, prey): avg_count over present replicates, n_saw (replicates above 0), entropy."""
-    cells = dedupe_replicates(counts).groupBy("experiment", "prey").agg(
-        F.min("bait").alias("bait"), F.avg("count").alias("avg_count"), F.count_if(F.col("count") > 0).alias("n_saw"), F.sort_array(F.collect_list(F.col("count").cast("double"))).alias("values")
-    )
-    return cells.withColumn("entropy", replicate_entropy(F.col("values"))).drop("values")
+
+def prey_sums(cells: DataFrame) -> DataFrame:
+    """cells with self and the sums over each prey's cells that its statistics are made of; one window by prey."""
+    w = Window.partitionBy("prey")
+    rows = cells.withColumn("self", F.coalesce(F.col("bait") == F.col("prey"), F.lit(False)))
+    x, not_self = F.col("avg_count"), F.when(~F.col("self"), F.col("avg_count"))
+    sums = {
+        "_selves": F.sum(F.col("self").cast("int")), "_positive": F.sum((x > 0).cast("int")), "_seen": F.sum((F.col("n_saw") > 0).cast("int")),
+        "_n": F.count(not_self), "_x": F.sum(not_self), "_xx": F.sum(not_self * not_self),
+    }
+    return rows.select("*", *[f.over(w).alias(name) for name, f in sums.items()])
 
 
 def prey_statistics(cells: DataFrame) -> DataFrame:
-    """cells with self, self_only, n_exp, prey_mean, prey_sd over the K experiments; one window by prey."""
-    k = cells.agg(F.countDistinct("experiment").alias("k"))
-    w = Window.partitionBy("prey")
-    x, own = F.col("avg_count"), F.col("bait") == F.col("prey")
-    rows = cells.crossJoin(F.broadcast(k)).withColumn("self", F.coalesce(own, F.lit(False)))
-    not_self = F.when(~F.col("self"), x)
-    rows = rows.withColumn("self_only", F.sum(F.col("self").cast("int")).over(w) == F.sum((x > 0).cast("int")).over(w))
-    rows = rows.withColumn("n_exp", F.when(F.col("self_only"), 1).otherwise(F.sum((F.col("n_saw") > 0).cast("int")).over(w)))
-    mean = F.coalesce(F.sum(not_self).over(w), F.lit(0.0)) / F.col("k")
-    rows = rows.withColumn("mean", F.when(F.col("self_only"), x / F.col("k")).otherwise(mean))
+    """cells with self, self_only, n_exp, prey_mean, prey_sd over the K experiments."""
+    sums = stored(prey_sums(cells))
+    k = sums.agg(F.countDistinct("experiment").alias("k"))
+    x, total, squares = F.col("avg_count"), F.coalesce("_x", F.lit(0.0)), F.coalesce("_xx", F.lit(0.0))
+    rows = sums.crossJoin(F.broadcast(k)).withColumn("self_only", F.col("_selves") == F.col("_positive"))
+    rows = rows.withColumn("n_exp", F.when(F.col("self_only"), 1).otherwise(F.col("_seen")))
+    rows = rows.withColumn("mean", F.when(F.col("self_only"), x / F.col("k")).otherwise(total / F.col("k")))
     # Squared errors: other cells x - mean, own cells none, absent cells mean.
-    m, n, n_self = F.col("mean"), F.count(not_self).over(w), F.sum(F.col("self").cast("int")).over(w)
-    sse = F.coalesce(F.sum(not_self * not_self).over(w), F.lit(0.0)) - 2 * m * F.coalesce(F.sum(not_self).over(w), F.lit(0.0)) + n * m * m + (F.col("k") - n - n_self) * m * m
+    m, n = F.col("mean"), F.col("_n")
+    sse = squares - 2 * m * total + n * m * m + (F.col("k") - n - F.col("_selves")) * m * m
     alone = F.pow(x - m, F.lit(2)) + m * m * F.col("k")
     rows = rows.withColumn("sse", F.when(F.col("self_only"), alone).otherwise(F.greatest(F.lit(0.0), sse)))
     sd = F.sqrt(F.col("sse") / F.nullif(F.col("k") - 1, F.lit(0)))
-    return rows.withColumn("prey_sd", F.nullif(sd, F.lit(0.0))).withColumn("prey_mean", F.nullif(F.col("mean"), F.lit(0.0))).drop("mean", "sse")
+    rows = rows.withColumn("prey_sd", F.nullif(sd, F.lit(0.0))).withColumn("prey_mean", F.nullif(F.col("mean"), F.lit(0.0)))
+    return rows.select(*[c for c in cells.columns], "k", "self", "self_only", "n_exp", "prey_sd", "prey_mean")
 
 
 def z_score() -> Column:
@@ -128,10 +138,11 @@ def resampled_p(df: DataFrame, iterations: int, seed: int = 1) -> DataFrame:
 
 def wd_scores(counts: DataFrame, quantile: float | None = 0.98, iterations: int | None = None, seed: int = 1) -> DataFrame:
     """All scores of (experiment, replicate, bait, prey, count): entropy, z, wd (normalised), p_value, wd_fdr."""
-    rows = cut(prey_statistics(cut(average_counts(counts))).withColumn("z", z_score()).withColumn("wd", wd_score()))
+    # Written, as a filter on wd would work out its nested formula anew in every place where it stands.
+    rows = stored(prey_statistics(average_counts(counts)).withColumn("z", z_score()).withColumn("wd", wd_score()))
     rows = quantile_normalise(rows, "wd", quantile)
     rows = resampled_p(rows, iterations, seed) if iterations else permutation_p(rows)
-    return bh_adjust(cut(rows), "p_value", "wd_fdr")
+    return bh_adjust(stored(rows), "p_value", "wd_fdr")
 
 
 def d_scores(counts: DataFrame, by_counts: bool = True) -> DataFrame:

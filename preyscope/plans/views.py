@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,13 +26,12 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """experiment, bait, prey, spc, intensity; only cells with a value."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    keyed = lines.select(
-        F.expr("concat('E', l_suppkey % 10, '_', l_orderkey % 3 + 1)").alias("experiment"), F.expr("concat('B', l_suppkey % 10)").alias("bait"),
-        F.expr("concat('P', l_partkey)").alias("prey"), "l_quantity", "l_extendedprice",
-    )
-    return keyed.groupBy("experiment", "bait", "prey").agg(F.sum("l_quantity").alias("spc"), F.round(F.sum("l_extendedprice"), 2).alias("intensity"))
+    """experiment, bait, prey, spc, intensity; only cells with a value. Lines are added up by numbers, names come last."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("b"), (F.col("l_orderkey") % 3 + 1).alias("r"), "l_partkey", "l_quantity", "l_extendedprice")
+    # Without a bait there is no experiment, whatever the replicate.
+    cells = lines.groupBy("b", F.when(F.col("b").isNotNull(), F.col("r")).alias("r"), "l_partkey").agg(F.sum("l_quantity").alias("spc"), F.round(F.sum("l_extendedprice"), 2).alias("intensity"))
+    names = [F.expr("concat('E', b, '_', r)").alias("experiment"), F.expr("concat('B', b)").alias("bait"), F.expr("concat('P', l_partkey)").alias("prey")]
+    return cells.select(*names, "spc", "intensity")
 
 
 def preys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,9 @@ def preys(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lines of orders whose pairs one task counts.
 LINES_OF_A_TASK = 250_000
 
+#: Orders with a wanted part that are broadcast, some 50 bytes each.
+MOST_ORDERS = 200_000
+
 
 def _part_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """(a, b of each order's parts, a < b, part numbers; number of tasks to count them in).
@@ -70,11 +74,14 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_of(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
-    """The rows of known() whose pb is one of ids(pb), a table to broadcast; other pairs are not counted at all."""
-    pairs, tasks = _part_pairs(spark, sf_dir)
-    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
-    named = ends.select(F.expr("concat('P', x)").alias("pa"), F.expr("concat('P', y)").alias("pb")).join(F.broadcast(ids.distinct()), "pb", "left_semi")
-    return named.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("n"))
+    """The rows of known() whose pb is one of ids(pb), a table to broadcast; other pairs are not counted at all.
+
+    The orders that hold these parts come first, then all lines are held against them.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("concat('P', l_partkey)").alias("pa"))
+    orders = cut(lines.withColumnRenamed("pa", "pb").join(F.broadcast(ids.distinct()), "pb", "left_semi").distinct())
+    orders = F.broadcast(orders) if orders.count() <= MOST_ORDERS else orders
+    return lines.join(orders, "l_orderkey").where("pa <> pb").distinct().groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
