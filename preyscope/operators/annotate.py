@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.text import clean_go, feature_notes, first_item, first_location, go_ids
 from . import ontology
+from .scoring import MOST_EXPERIMENTS
 
 # Taxonomy ids, and whether there are an atlas of locations and a table of complexes.
 ORGANISMS = {
@@ -68,8 +69,10 @@ def match_by_synonym(genes: DataFrame, proteins: DataFrame, atlas: DataFrame) ->
 
 def prey_is_bait(df: DataFrame, bait_ids: DataFrame) -> DataFrame:
     """df with prey_is_bait: any of the prey's ids is a bait id. bait_ids(bait_id) has one row a bait."""
-    hits = df.select("prey").distinct().select("prey", F.explode(F.split("prey", ";")).alias("bait_id")).join(bait_ids.select("bait_id").distinct(), "bait_id", "left_semi")
-    return df.join(hits.select("prey", F.lit(True).alias("prey_is_bait")).distinct(), "prey", "left").withColumn("prey_is_bait", F.coalesce("prey_is_bait", F.lit(False)))
+    ids = F.broadcast(bait_ids.select("bait_id").distinct())
+    hits = cut(df.select("prey", F.explode(F.split("prey", ";")).alias("bait_id")).join(ids, "bait_id", "left_semi").select("prey", F.lit(True).alias("prey_is_bait")).distinct())
+    hits = F.broadcast(hits) if hits.count() <= MOST_EXPERIMENTS else hits
+    return df.join(hits, "prey", "left").withColumn("prey_is_bait", F.coalesce("prey_is_bait", F.lit(False)))
 
 
 def self_interaction(df: DataFrame) -> DataFrame:
@@ -102,8 +105,11 @@ def summarise_known(physical: DataFrame, multivalidated: DataFrame, organism: in
     return rows.groupBy("a", "b").agg(listed("system"), listed("author"), listed("source"), F.coalesce(F.bool_or("mv"), F.lit(False)).alias("multivalidated"))
 
 
-def join_known(df: DataFrame, known: DataFrame) -> DataFrame:
-    """df(first_id, bait_id) with the known pair (a = first_id, b = bait_id), directed; no pair gives false flags."""
+def join_known(df: DataFrame, known: DataFrame, bait_ids: DataFrame | None = None) -> DataFrame:
+    """df(first_id, bait_id) with the known pair (a = first_id, b = bait_id), directed; no pair gives false flags. With the
+    design's bait_ids(bait_id) known pairs of others are not shuffled."""
+    if bait_ids is not None:
+        known = known.join(F.broadcast(bait_ids.select(F.col("bait_id").alias("b")).distinct()), "b", "left_semi")
     side = known.select(F.col("a").alias("first_id"), F.col("b").alias("bait_id"), *[c for c in known.columns if c not in ("a", "b")], F.lit(True).alias("is_known"))
     rows = df.join(side, ["first_id", "bait_id"], "left")
     return rows.withColumn("is_known", F.coalesce("is_known", F.lit(False))).withColumn("multivalidated", F.coalesce("multivalidated", F.lit(False)))
@@ -124,14 +130,15 @@ def annotate(
     merged: DataFrame, design: DataFrame, proteins: DataFrame, known: DataFrame, atlas: DataFrame | None = None, complexes: DataFrame | None = None,
     similarity: DataFrame | None = None, values: DataFrame | None = None, organism: str = "human",
 ) -> DataFrame:
-    """merged(prey, gene, bait, ...) with protein columns, flags, known pairs; atlas and complexes where they are given
+    """A written table merged(prey, gene, bait, ...) with protein columns, flags, known pairs; atlas and complexes where they are given
     (human data alone), and the similarity of bait and prey: a table (bait_id, first_id, similarity), or from the
     semantic values of the ontology and the proteins' cellular components."""
     ids = cut(design.select("bait", "bait_id").distinct())
-    rows = cut(first_ids(merged.join(ids, "bait", "left")))
+    rows = first_ids(merged.join(F.broadcast(ids), "bait", "left"))
     if similarity is None and values is not None and "go_cellular" in proteins.columns:
+        rows = cut(rows)
         similarity = component_similarity(rows, proteins, values)
-    rows = join_known(self_interaction(prey_is_bait(join_proteins(rows, clean_proteins(proteins)), ids)), known)
+    rows = join_known(self_interaction(prey_is_bait(join_proteins(rows, clean_proteins(proteins)), ids)), known, ids)
     human = ORGANISMS[organism]["human_tables"]
     if atlas is not None and human:
         rows = cut(rows)

@@ -30,9 +30,10 @@ def melt_quant(wide: DataFrame, design: DataFrame, experiments: Sequence[str], k
 
 def drop_control_only(inter: DataFrame, design: DataFrame) -> DataFrame:
     """Rows of preys whose values over test experiments sum to more than 0."""
-    test = design.where("type = 'T'").select("experiment")
-    seen = inter.join(F.broadcast(test), "experiment", "left_semi").groupBy("prey").agg(F.sum("value").alias("s")).where("s > 0")
-    return inter.join(seen.select("prey"), "prey", "left_semi")
+    test = design.where("type = 'T'").select("experiment", F.lit(True).alias("_test")).distinct()
+    seen = F.sum(F.when(F.col("_test"), F.col("value"))).over(Window.partitionBy("prey"))
+    rows = inter.join(F.broadcast(test), "experiment", "left").withColumn("_seen", seen)
+    return rows.where("_seen > 0 and prey is not null").select(*inter.columns)
 
 
 def name_preys(wide: DataFrame) -> DataFrame:

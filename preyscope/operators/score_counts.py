@@ -55,14 +55,14 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls:
     return scoring.replicates(density_pairs(inter, design, preys, n_controls, by).drop("controls")).drop("low")
 
 
-def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2) -> DataFrame:
+def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_controls: int = 100, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2, rate: bool = True) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value): densities, rounds, posterior, report."""
     keys, inter, design = [*by, "prey", "bait"], stored(inter), scoring.checked_design(design)
     pairs = stored(density_pairs(inter, design, preys, n_controls, by))
-    return posterior(pairs, keys, n_replicates, by, rounds, digits)
+    return posterior(pairs, keys, n_replicates, by, rounds, digits, rate)
 
 
-def posterior(pairs: DataFrame, keys: Sequence[str], n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2) -> DataFrame:
+def posterior(pairs: DataFrame, keys: Sequence[str], n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 2, rate: bool = True) -> DataFrame:
     """score() of a written table of density_pairs()."""
     beta = scoring._per_group(scoring.settle_labels(scoring.label_cells(pairs, by), by, rounds), by)
 
@@ -73,4 +73,4 @@ def posterior(pairs: DataFrame, keys: Sequence[str], n_replicates: int = 100, by
 
     fold = scoring.total(F.col("cells.y")) / F.size("cells") / F.col("eta")
     rows = pairs.select(*keys, fold.alias("fold_change"), "gene", "m", F.transform("cells", cell).alias("cells"), "controls")
-    return scoring.report(rows, keys, n_replicates, digits)
+    return scoring.report(rows, keys, n_replicates, digits, rate)

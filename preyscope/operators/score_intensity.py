@@ -64,9 +64,9 @@ def parameters(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence
     return rows.select(*keys, "gene", "t", "eta", "sd_false", "d", F.greatest("floor", F.coalesce("spread", "sd_false")).alias("sd_true"), "controls")
 
 
-def density_pairs(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def density_pairs(std: DataFrame, design: DataFrame, preys: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Pairs of a written table of log_standardise() with the prey's parameters, skip and cells, (experiment, y, at, lt,
-    lf, z0) of each replicate; missing y is taken at t."""
+    lf, z0) of each replicate; missing y is taken at t. With `digits` controls are text, made once a prey."""
     top = F.col("eta") + F.col("d")
 
     def cell(y: Column) -> dict[str, Column]:
@@ -74,7 +74,10 @@ def density_pairs(std: DataFrame, design: DataFrame, preys: DataFrame, by: Seque
         lt, lf = normal_log_pdf_clamped(F.least(at, top), top, F.col("sd_true")), normal_log_pdf_clamped(F.greatest(at, F.col("eta")), F.col("eta"), F.col("sd_false"))
         return {"y": y, "at": at, "lt": lt, "lf": lf, "z0": F.coalesce(y > F.col("eta") + FIRST_LABEL, F.lit(False))}
 
-    rows = scoring.replicate_pairs(std.select(*by, "experiment", "prey", "value"), design, stored(parameters(std, design, preys, by)), by, "inner", cell)
+    own = parameters(std, design, preys, by)
+    if digits is not None:
+        own = own.withColumn("controls", scoring.listed(F.transform("controls", F.exp), digits))
+    rows = scoring.replicate_pairs(std.select(*by, "experiment", "prey", "value"), design, stored(own), by, "inner", cell)
     return rows.withColumn("skip", ~F.exists("cells.y", lambda y: y.isNotNull()))
 
 
@@ -83,10 +86,10 @@ def densities(inter: DataFrame, design: DataFrame, preys: DataFrame, by: Sequenc
     return scoring.replicates(density_pairs(stored(log_standardise(inter, by)), design, preys, by).drop("controls"))
 
 
-def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3) -> DataFrame:
+def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: int = 100, by: Sequence[str] = (), rounds: int | None = None, digits: int = 3, rate: bool = True) -> DataFrame:
     """Scores of every (prey, bait) pair of inter(experiment, prey, value); preys(prey, gene[, imputed_mu])."""
     keys, std, design = [*by, "prey", "bait"], stored(log_standardise(stored(inter), by)), scoring.checked_design(design)
-    pairs = stored(density_pairs(std, design, preys, by))
+    pairs = stored(density_pairs(std, design, preys, by, digits))
     beta = scoring._per_group(scoring.settle_labels(scoring.label_cells(pairs, by), by, rounds), by)
 
     def cell(x: Column) -> Column:
@@ -94,5 +97,5 @@ def score(inter: DataFrame, design: DataFrame, preys: DataFrame, n_replicates: i
         return F.struct(x["experiment"].alias("experiment"), F.exp(x["y"]).alias("y"), odds.alias("log_odds"), F.when(x["y"].isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds))).alias("score"))
 
     fold = scoring.total(F.transform("cells.at", F.exp)) / F.size("cells") / F.exp("eta")
-    rows = pairs.select(*keys, fold.alias("fold_change"), "gene", F.exp("t").alias("imputed_value"), "m", F.transform("cells", cell).alias("cells"), F.transform("controls", F.exp).alias("controls"))
-    return scoring.report(rows, keys, n_replicates, digits)
+    rows = pairs.select(*keys, fold.alias("fold_change"), "gene", F.exp("t").alias("imputed_value"), "m", F.transform("cells", cell).alias("cells"), "controls")
+    return scoring.report(rows, keys, n_replicates, digits, rate)

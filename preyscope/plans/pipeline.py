@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..functions.stats import tail_fdr
 from ..operators import annotate, groups, impute, ingest, ontology, score_counts, score_intensity, scoring, wd
 from ..operators.validate import validate_design, validate_inputs, validate_name
@@ -37,15 +37,19 @@ def load(spark: SparkSession, kind: str, path: str, design: DataFrame, quant: st
 Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
-def _checkpointed(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    return cut(build())
+#: Steps that are read once here: kept where a stopped run goes on from them, else not written.
+READ_ONCE = ("scored", "wd")
+
+
+def _written(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return build() if name in READ_ONCE else stored(build())
 
 
 def score(
-    inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, iterations: int | None = None, keep: Keep = _checkpointed, **how: int
+    inter: DataFrame, design: DataFrame, preys: DataFrame, quant: str = "intensity", imputation: str | None = None, pi: float | None = None, iterations: int | None = None, keep: Keep = _written, **how: int
 ) -> DataFrame:
     """Posterior and wd scores, merged; `iterations` draws p-values instead of taking them exactly. A grouped design is
-    scored for all its groups at once, with bfdr over them all. Steps go through `keep`, checkpoints if not said otherwise."""
+    scored for all its groups at once, with bfdr over them all. Steps go through `keep`, written tables if not said otherwise."""
     design = scoring.checked_design(design)
     given = inter
     inter = keep("interactions", lambda: ingest.drop_control_only(ingest.drop_zero(given), design))
@@ -62,7 +66,7 @@ def score(
     run = score_counts.score if quant == "spc" else score_intensity.score
     if groups.is_grouped(design):
         members = groups.memberships(design)
-        each = keep("scored_by_group", lambda: run(groups.scope_to_groups(inter, members), members, preys_used, by=["source_group"], **how).drop("bfdr"))
+        each = keep("scored_by_group", lambda: run(groups.scope_to_groups(inter, members), members, preys_used, by=["source_group"], rate=False, **how))
         scored = keep("scored", lambda: tail_fdr(each, "avg_p"))
     else:
         scored = keep("scored", lambda: run(inter, design, preys_used, **how))
@@ -90,7 +94,7 @@ def annotation_tables(spark: SparkSession, files: dict[str, str], organism: str
 
 def run(
     spark: SparkSession, kind: str, data: str, design_path: str, quant: str = "intensity", imputation: str | None = None, annotations: dict[str, DataFrame | str] | None = None,
-    organism: str = "human", iterations: int | None = None, keep: Keep = _checkpointed, **how: int,
+    organism: str = "human", iterations: int | None = None, keep: Keep = _written, **how: int,
 ) -> DataFrame:
     """The whole pipeline for one of FORMATS: read, validate, impute, score, merge, and annotate where there are tables.
 
@@ -99,13 +103,13 @@ def run(
     """
     if kind not in FORMATS:
         raise ValueError(f"unknown format: {kind}")
-    design = readers.read_design(spark, design_path)
+    design = cut(readers.read_design(spark, design_path))
     if kind == "msstats" and imputation:
         warnings.warn("these data were imputed before", stacklevel=2)
     if kind == "scoring":
         _, preys, rows = readers.read_scoring_inputs(spark, f"{data}/bait", f"{data}/prey", f"{data}/interaction")
-        inter = rows.select("experiment", "prey", "value")
-        found = validate_design(design, inter.select("experiment"))
+        inter = stored(rows.select("experiment", "prey", "value"))
+        found = validate_design(design, cut(inter.select("experiment").distinct()))
     else:
         found = validate_inputs(design, raw_table(spark, kind, data), kind, quant)
     broken = found.where("not startswith(rule, 'warning')").limit(20).collect()

@@ -910,11 +910,11 @@ def name_violations(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def full_run(spark: SparkSession, sf: str) -> DataFrame:
     """Files in, annotated scores out: the pipeline over scoring inputs, with known pairs and proteins."""
-    folder, design = _folder(spark), views.design(spark, sf)
+    folder, design = _folder(spark), cut(views.design(spark, sf))
     inter = views.interactions(spark, sf).withColumn("value", F.col("intensity"))
     writers.write_scoring_inputs(design, views.preys(spark, sf), inter, folder)
     design.select(F.col("experiment").alias("Experiment Name"), F.col("type").alias("Type"), F.col("bait").alias("Bait"), F.col("replicate").alias("Replicate"), F.col("bait_id").alias("Bait ID"), F.col("grp").alias("Group")).write.csv(f"{folder}/design", header=True)
     part = views.table(spark, sf, "part")
     proteins = part.select(F.expr("concat('P', p_partkey)").alias("entry"), F.expr("concat('G', p_partkey)").alias("names"), F.concat(F.lit("SUBCELLULAR LOCATION: "), "p_type").alias("location"), F.col("p_partkey").alias("ordinal"))
-    known = views.known(spark, sf).select(F.col("pa").alias("a"), F.col("pb").alias("b"), (F.col("n") >= 2).alias("multivalidated"))
+    known = views.known_of(spark, sf, design.select(F.col("bait_id").alias("pb"))).select(F.col("pa").alias("a"), F.col("pb").alias("b"), (F.col("n") >= 2).alias("multivalidated"))
     return pipeline.run(spark, "scoring", folder, f"{folder}/design", annotations={"proteins": proteins, "known": known})
