@@ -46,11 +46,6 @@ def tasks_of(table: DataFrame) -> int:
     return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // ROWS_OF_A_TASK + 1)
 
 
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """A written table dealt by keys to tasks_of() it."""
-    return table.repartition(tasks_of(table), *keys)
-
-
 class Workspace:
     """Tables of one computation in the shared folder, which are removed with it, after an error too.
 
@@ -59,12 +54,14 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self._paths = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self._paths, self._named = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", {}, []
 
     def __enter__(self) -> Workspace:
         return self
 
     def __exit__(self, *error: object) -> None:
+        for name in self._named:
+            self.spark.sql(f"drop table if exists {name}")
         self._delete(self.folder)
 
     def keep(self, df: DataFrame, sort: str | None = None) -> DataFrame:
@@ -75,6 +72,13 @@ class Workspace:
         self._paths[len(self._paths)] = (out, path)
         return out
 
+    def deal(self, df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+        """df as a table in buckets of the keys, a file each: joins and groups by these keys read it without a shuffle."""
+        name = f"dealt_{uuid.uuid4().hex}"
+        self._named.append(name)
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         for out, path in self._paths.values():

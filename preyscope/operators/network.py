@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import Workspace, cut, spread, stored, tasks_of
+from ..functions.lineage import Workspace, cut, stored, tasks_of
 from . import scoring
 
 GAMMA_LIMIT = 10.0
 
+#: Baits whose labels go along an edge in one row.
+BLOCK = 8
 
 #: Preys of a term that are paired in one task; larger terms are dealt over several.
 TERM_PREYS = 1000
@@ -32,12 +34,18 @@ def edges_from_terms(terms: DataFrame, preys: DataFrame) -> DataFrame:
 
 
 def edges_from_pairs(pairs: DataFrame, preys: DataFrame) -> DataFrame:
-    """(a, b), a < b: known prey pairs(a, b) in either direction, without self-pairs and unknown preys."""
+    """(a, b), a < b: known prey pairs(a, b) in either direction, without self-pairs and unknown preys.
+
+    Pairs move twice, by each of their ends, and are told apart on the way.
+    """
     known = stored(preys.select("prey").distinct())
-    ordered = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    rows = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    tasks = max(tasks_of(rows), tasks_of(known))
     for c in ("a", "b"):
-        ordered = stored(spread(ordered, c).join(known.withColumnRenamed("prey", c), c, "left_semi"))
-    return spread(ordered, "a").select("a", "b").distinct()
+        ends = known.withColumnRenamed("prey", c).repartition(tasks, c).hint("shuffle_hash")
+        rows = rows.repartition(tasks, c).join(ends, c, "left_semi").select("a", "b")
+        rows = rows.distinct() if c == "a" else rows
+    return rows
 
 
 def neighbour_support(labelled: DataFrame, edges: DataFrame, symmetric: bool = False) -> DataFrame:
@@ -149,32 +157,99 @@ def fit_beta_gamma(pairs: DataFrame) -> tuple[float, float]:
 def topology_scores(cells: DataFrame, edges: DataFrame, pairs: DataFrame, n_replicates: int = 100, rounds: int = 5, symmetric: bool = False) -> DataFrame:
     """pairs(prey, bait, avg_p, ...) with topo_avg_p, score = the greater of both, and boosted_by.
 
-    cells are a model's replicate cells (lt, lf, z0, skip, y). Labels and (beta, gamma) take turns. Edges that count one
-    way, from the smaller to the larger prey, let a prey depend on later ones only: then updating all labels of a round
-    at once is the same as one prey after the other in order. Where they count both ways, labels that change at once can
-    swing between two states; there the preys are coloured and updated colour by colour.
+    cells are a written table of a model's replicate cells (lt, lf, z0, skip, y), a row each or, with skip, an array of
+    each pair. Labels and (beta, gamma) take turns. Edges that count one way, from the smaller to the larger prey, let a
+    prey depend on later ones only: then updating all labels of a round at once is the same as one prey after the other
+    in order. Where they count both ways, labels that change at once can swing between two states; there the preys are
+    coloured and updated colour by colour.
     """
-    beta, gamma, z = 0.0, 0.0, F.col("z0")
     if symmetric:
-        rows, beta, gamma = _by_colour(cells, edges, rounds)
+        flat = cells.select("prey", "bait", "skip", F.inline("cells")) if "cells" in cells.columns else cells
+        rows, beta, gamma = _by_colour(flat, edges, rounds)
+        rows = rows.groupBy("prey", "bait").agg(F.collect_list(F.struct("lt", "lf", _seen(F.col("y")))).alias("cells"), F.first("support").alias("support"), F.first("neighbours").alias("neighbours"))
     else:
-        with Workspace(cells.sparkSession) as ws:
-            edges, rows = ws.keep(edges), cells.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
-            for n in range(rounds):
-                means = ws.keep(rows.groupBy("prey", "bait").agg(F.avg(z.cast("double")).alias("z")))
-                # Only the last round's neighbours are reported, so only that one gathers their names.
-                near = _support(means, edges) if n == rounds - 1 else _support(means, edges).drop("neighbours")
-                rows = cells.join(near, ["prey", "bait"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
-                rows = stored(rows) if n == rounds - 1 else ws.keep(rows)
-                odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
-                z = odds >= 0
-                beta, gamma = fit_beta_gamma(rows.where("not skip").withColumn("z", z).groupBy("prey", "bait").agg(F.avg(F.col("z").cast("double")).alias("z"), F.first("support").alias("support")))
-    odds = F.lit(beta) + gamma * F.col("support") + F.col("lt") - F.col("lf")
-    seen = F.coalesce(F.col("y"), F.lit(0.0)) != 0
-    scored = rows.withColumn("log_odds", odds).withColumn("score", F.when(seen, 1 / (1 + F.exp(-odds))).otherwise(0.0))
-    topo = scoring.aggregate_replicates(scored, ["prey", "bait"], n_replicates).select("prey", "bait", F.col("avg_p").alias("topo_avg_p"))
-    boosted = rows.select("prey", "bait", F.col("neighbours").alias("boosted_by")).distinct()
-    return pairs.join(topo, ["prey", "bait"], "left").join(boosted, ["prey", "bait"], "left").withColumn("score", F.greatest("topo_avg_p", "avg_p"))
+        rows, beta, gamma = _at_once(cells, edges, rounds)
+    # The n best replicate scores, as in scoring.aggregate_replicates(); a cell that was not seen has none.
+    scores = F.transform("cells", lambda x: F.when(x["seen"], 1 / (1 + F.exp(-_odds(x, beta, gamma)))).otherwise(0.0))
+    best = F.slice(F.sort_array(F.filter(scores, lambda x: x.isNotNull()), asc=False), 1, n_replicates)
+    topo = rows.select("prey", "bait", (F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)).alias("topo_avg_p"), F.col("neighbours").alias("boosted_by"))
+    return pairs.join(topo, ["prey", "bait"], "left").withColumn("score", F.greatest("topo_avg_p", "avg_p"))
+
+
+def _seen(y: Column) -> Column:
+    return (F.coalesce(y, F.lit(0.0)) != 0).alias("seen")
+
+
+def _odds(cell: Column, beta: float, gamma: float) -> Column:
+    return F.lit(beta) + gamma * F.col("support") + cell["lt"] - cell["lf"]
+
+
+def _by_pair(cells: DataFrame) -> DataFrame:
+    """A row for each (prey, bait) with its cells (lt, lf, z0, skip, seen), the number of those with a label (n) and of those that count for the fit (live)."""
+    cell = lambda x: F.struct(x("lt").alias("lt"), x("lf").alias("lf"), x("z0").alias("z0"), F.col("skip").alias("skip"), _seen(x("y")))
+    found = F.transform("cells", lambda x: cell(lambda c: x[c])) if "cells" in cells.columns else F.array(cell(F.col))
+    rows = cells.select("prey", "bait", found.alias("cells")).groupBy("prey", "bait").agg(F.flatten(F.collect_list("cells")).alias("cells")).where(F.size("cells") > 0)
+    return rows.withColumn("n", F.size(F.filter("cells", lambda x: (x["lt"] - x["lf"]).isNotNull()))).withColumn("live", F.size(F.filter("cells", lambda x: ~x["skip"])))
+
+
+def _places(cells: DataFrame) -> DataFrame:
+    """(bait, block, place): baits in blocks of BLOCK, to broadcast."""
+    rows = cells.select("bait").where("bait is not null").distinct().coalesce(1).select("bait", F.monotonically_increasing_id().alias("at"))
+    return rows.select("bait", F.floor(F.col("at") / BLOCK).alias("block"), (F.col("at") % BLOCK).cast("int").alias("place"))
+
+
+def _of_place(columns: list[Column]) -> Column:
+    """That column of a block that belongs to the row's place."""
+    return F.coalesce(*[F.when(F.col("place") == k, c) for k, c in enumerate(columns)])
+
+
+def _gathered(means: DataFrame, edges: DataFrame, tasks: int, names: bool) -> DataFrame:
+    """(prey, block, s0.., and n0.. if `names`): for each place of the block the sum of the neighbours' mean labels and
+    the neighbours with a true one. means(prey, block, place, z); edges are dealt by b to as many tasks.
+
+    What an edge brings is a row for each block of baits, not for each bait.
+    """
+    places = range(BLOCK)
+    labels = means.where("z > 0 and block is not null").repartition(tasks, "prey").groupBy(F.col("prey").alias("b"), "block").agg(*[F.max(F.when(F.col("place") == k, F.col("z"))).alias(f"z{k}") for k in places])
+    met = edges.join(labels.hint("shuffle_hash"), "b").select(F.col("a").alias("prey"), "block", *["b"] * names, *[f"z{k}" for k in places]).repartition(tasks, "prey", "block")
+    sets = [F.collect_set(F.when(F.col(f"z{k}").isNotNull(), F.col("b"))).alias(f"n{k}") for k in places] if names else []
+    return met.groupBy("prey", "block").agg(*[F.sum(f"z{k}").alias(f"s{k}") for k in places], *sets)
+
+
+def _at_once(cells: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, float, float]:
+    """(a row for each (prey, bait) with its cells and the support and neighbours of the last labels, beta, gamma).
+
+    Pairs and edges are dealt once, so that a round moves only labels, along edges.
+    """
+    beta = gamma = 0.0
+    share = lambda found, of: F.size(found) / F.nullif(of, F.lit(0))
+    with Workspace(cells.sparkSession) as ws:
+        tasks = tasks_of(cells)
+        edges = ws.deal(edges.select("a", "b"), tasks, "b")
+        if (most := tasks_of(edges)) > 4 * tasks:
+            tasks, edges = most, ws.deal(edges, most, "b")
+        state = ws.deal(_by_pair(cells).join(F.broadcast(ws.keep(_places(cells))), "bait", "left"), tasks, "prey", "block")
+        means = state.select("prey", "block", "place", share(F.filter("cells", lambda x: x["z0"]), F.size(F.filter("cells", lambda x: x["z0"].isNotNull()))).alias("z"))
+        rows = state.withColumn("support", F.lit(0.0)).withColumn("neighbours", F.lit(None).cast("string"))
+        if not rounds:
+            rows = stored(rows)
+        for k in range(rounds):
+            # Only the last round's neighbours are reported, so only that one gathers their names.
+            last = k == rounds - 1
+            rows = state.join(_gathered(means, edges, tasks, last).hint("shuffle_hash"), ["prey", "block"], "left")
+            rows = rows.withColumn("support", F.coalesce(_of_place([F.col(f"s{i}") for i in range(BLOCK)]), F.lit(0.0)))
+            if last:
+                named = _of_place([F.col(f"n{i}") for i in range(BLOCK)])
+                rows = rows.withColumn("neighbours", F.when(F.size(named) > 0, F.array_join(F.sort_array(named), "|")))
+            true = lambda x: _odds(x, beta, gamma) >= 0
+            live = F.filter("cells", lambda x: ~x["skip"])
+            part = share(F.filter(live, true), F.size(F.filter(live, lambda x: true(x).isNotNull())))
+            rows = rows.withColumn("z", share(F.filter("cells", true), F.col("n"))).withColumn("live_z", F.when(F.col("live") == F.size("cells"), F.col("z")).when(F.col("live") > 0, part))
+            kept = ["prey", "bait", "block", "place", "z", "live", "live_z", "support"]
+            rows = stored(rows.select(*kept, "cells", "neighbours")) if last else ws.keep(rows.select(kept))
+            means = rows.select("prey", "block", "place", "z")
+            beta, gamma = fit_beta_gamma(rows.where("live > 0").select(F.col("live_z").alias("z"), "support"))
+        return rows.select("prey", "bait", "cells", "support", "neighbours"), beta, gamma
 
 
 def _by_colour(cells: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame, float, float]:

@@ -435,9 +435,8 @@ def topology_scores(spark: SparkSession, sf: str) -> DataFrame:
     inter, design, preys = _counts(spark, sf), views.design(spark, sf), views.preys(spark, sf)
     inter, design = stored(inter), cut(design)
     scored = stored(score_counts.density_pairs(inter, design, preys))
-    cells = scoring.replicates(scored.drop("controls", "gene", "eta", "lambda2", "ctrl_mean"))
     pairs = score_counts.posterior(scored, ["prey", "bait"], rounds=3).select("prey", "bait", "avg_p")
-    return rounded(network.topology_scores(cells, prey_edges(spark, sf), pairs), 4)
+    return rounded(network.topology_scores(scored.select("prey", "bait", "skip", "cells"), prey_edges(spark, sf), pairs), 4)
 
 
 @query(_count_sql(False) + WD + """select av.prey, av.bait, round(avg_p, 6) avg_p, round(wd, 6) wd, round(p_value, 6) p_value, null::int source_group from av left join w9 on w9.experiment = av.bait and w9.prey = av.prey""")
