@@ -539,7 +539,7 @@ def term_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ontology.term_similarity(values, ontology.all_pairs(terms, terms)).drop("namespace"))
 
 
-@query(_ONTOLOGY + SCORED + """, gp as (select distinct bait_id a, prey b from scored where score >= 0.6),
+@query(_ONTOLOGY + SCORED + """, gp as (select distinct bait_id a, prey b from scored),
 xy as (select a, b, x.term x, y.term y from gp join prey_terms x on x.prey = a join prey_terms y on y.prey = b),
 ss as (select x, y, coalesce((select sum(p.v + q.v) from sv p join sv q using (anc) where p.term = x and q.term = y), 0) / ((select t from tt where term = x) + (select t from tt where term = y)) s from (select distinct x, y from xy)),
 rw as (select a, b, x, y, s from xy join ss using (x, y)), bs as (select a, b, x t, max(s) s from rw group by 1, 2, 3 union all select a, b, y, max(s) from rw group by 1, 2, 3),
@@ -547,7 +547,7 @@ bm as (select a, b, max(s) over (partition by a, b, t) s from bs)
 select a bait_id, b first_id, round(avg(s), 6) similarity from bm group by 1, 2""")
 def semantic_pairs(spark: SparkSession, sf: str) -> DataFrame:
     terms = views.prey_terms(spark, sf).withColumnRenamed("prey", "gene")
-    pairs = scored_view(spark, sf).where("score >= 0.6").select(F.col("bait_id").alias("a"), F.col("first_id").alias("b"))
+    pairs = scored_view(spark, sf).select(F.col("bait_id").alias("a"), F.col("first_id").alias("b"))
     return ontology.gene_similarity(_semantics(spark, sf), terms, pairs, digits=6).select(F.col("a").alias("bait_id"), F.col("b").alias("first_id"), "similarity")
 
 
