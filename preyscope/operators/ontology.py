@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.lineage import Workspace, cut
+from ..functions.lineage import Workspace, cut, stored, tasks_of
 
 # Weights of the two kinds of edges, and the constant of the weight.
 KIND_WEIGHT = {"isa": 0.4, "partof": 0.3}
@@ -79,24 +79,32 @@ def term_similarity(values: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.join(shared, ["namespace", "a", "b"], "left").select("namespace", "a", "b", (F.coalesce("common", F.lit(0.0)) / (F.col("ta") + F.col("tb"))).alias("similarity"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df written, and broadcast where it is used if it has few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= stats.MOST_VALUES else df
+
+
 def gene_similarity(values: DataFrame, genes: DataFrame, pairs: DataFrame, digits: int = 3) -> DataFrame:
     """pairs(a, b) of genes by namespace: the mean of every term's best match on the other side, both ways.
 
     genes(gene, term). A side without known terms gives no row. Similarities are computed once for each distinct pair
-    of terms.
+    of terms. Pairs move once, by b; where the genes a are few, as baits are, and so the pairs of terms, both are broadcast.
     """
     known = values.select("namespace", "term").distinct()
-    own = genes.join(known, "term").select("namespace", "gene", "term").distinct()
-    want = pairs.select("a", "b").distinct()
-    left = want.join(own.select("namespace", F.col("gene").alias("a"), F.col("term").alias("x")), "a")
-    rows = left.join(own.select("namespace", F.col("gene").alias("b"), F.col("term").alias("y")), ["namespace", "b"])
-    similar = term_similarity(values, rows.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).toDF("namespace", "x", "y", "s")
-    rows = rows.join(similar, ["namespace", "x", "y"])
-    one = rows.groupBy("namespace", "a", "b", F.col("x").alias("t")).agg(F.max("s").alias("s")).withColumn("side", F.lit(1))
-    two = rows.groupBy("namespace", "a", "b", F.col("y").alias("t")).agg(F.max("s").alias("s")).withColumn("side", F.lit(2))
-    # A term of both sides has one best match: the larger.
-    both = one.union(two).withColumn("s", F.max("s").over(Window.partitionBy("namespace", "a", "b", "t")))
-    return both.groupBy("namespace", "a", "b").agg(F.round(F.avg("s"), digits).alias("similarity"))
+    own = stored(genes.join(known, "term").select("namespace", "gene", "term").distinct())
+    want = stored(pairs.select("a", "b").distinct())
+    tasks = tasks_of(want)
+    right = want.repartition(tasks, "b").join(own.select("namespace", F.col("gene").alias("b"), F.col("term").alias("y")).repartition(tasks, "b"), "b")
+    left = _few(own.select("namespace", F.col("gene").alias("a"), F.col("term").alias("x")).join(want.select("a").distinct(), "a", "left_semi"))
+    met = right.select("namespace", "a", "y").distinct().join(left, ["namespace", "a"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    similar = _few(term_similarity(values, met).toDF("namespace", "x", "y", "s"))
+    rows = right.join(left, ["namespace", "a"]).join(similar, ["namespace", "x", "y"])
+    side = lambda term, one, two: F.struct(F.col(term).alias("t"), F.lit(one).alias("one"), F.lit(two).alias("two"))
+    sides = rows.select("namespace", "a", "b", "s", F.inline(F.array(side("x", 1, 0), side("y", 0, 1))))
+    # A term of both sides has one best match, the larger, and counts twice.
+    best = sides.groupBy("namespace", "a", "b", "t").agg(F.max("s").alias("s"), (F.max("one") + F.max("two")).alias("n"))
+    return best.groupBy("namespace", "a", "b").agg(F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), digits).alias("similarity"))
 
 
 def by_ontology(similar: DataFrame, namespaces: dict[str, str]) -> DataFrame:

@@ -1,5 +1,11 @@
 """semantic_pairs answers for every scored pair, however low its score."""
 
+import random
+
+import pytest
+
+from preyscope.functions import stats
+from preyscope.operators import ontology
 from preyscope.plans import queries
 
 
@@ -21,3 +27,40 @@ def test_pairs_of_low_scores(spark, tmp_path):
 
 def test_sql_has_no_cut_either():
     assert "0.6" not in queries.ORACLE["semantic_pairs"].partition("gp as")[2]
+
+
+def plain_similarity(values, genes, a, b):
+    """Mean over the terms of both sides of their best match on the other; a term of both sides has the larger best."""
+    of = {}
+    for term, ancestor, v in values:
+        of.setdefault(term, {})[ancestor] = v
+    x, y = ({t for g, t in genes if g == side and t in of} for side in (a, b))
+    if not x or not y:
+        return None
+    like = lambda p, q: sum(of[p][c] + of[q][c] for c in of[p].keys() & of[q].keys()) / (sum(of[p].values()) + sum(of[q].values()))
+    one, two = {t: max(like(t, q) for q in y) for t in x}, {t: max(like(p, t) for p in x) for t in y}
+    best = [max(s, two.get(t, s)) for t, s in one.items()] + [max(s, one.get(t, s)) for t, s in two.items()]
+    return sum(best) / len(best)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_similarity_with_few_and_with_many_genes(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "MOST_VALUES", few)
+    rng = random.Random(3)
+    values = [(f"T{t}", f"T{t}", 1.0) for t in range(12)] + [(f"T{t}", f"T{u}", round(rng.random(), 3)) for t in range(12) for u in range(t) if rng.random() < 0.4]
+    genes = sorted({(f"G{rng.randrange(15)}", f"T{rng.randrange(14)}") for _ in range(50)}) + [("G0", None), (None, "T1")]
+    pairs = sorted({(f"G{rng.randrange(4)}", f"G{rng.randrange(17)}") for _ in range(60)})
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    closure = df([("n", *v) for v in values], "namespace string, term string, ancestor string, value double")
+    out = ontology.gene_similarity(closure, df(genes + genes, "gene string, term string"), df(pairs + pairs[:5] + [(None, "G1"), ("G1", None)], "a string, b string"), digits=6).collect()
+    want = {(a, b): s for a, b in pairs if (s := plain_similarity(values, genes, a, b)) is not None}
+    assert len(out) == len(want) and all(r.similarity == pytest.approx(want[r.a, r.b], abs=1e-6) for r in out)
+
+
+def test_pairs_move_once(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    closure = df([("n", "T1", "T1", 1.0), ("n", "T2", "T2", 1.0)], "namespace string, term string, ancestor string, value double")
+    out = ontology.gene_similarity(closure, df([("A", "T1"), ("B", "T2")], "gene string, term string"), df([("A", "B")], "a string, b string"))
+    # The pairs and the terms of b; what they make stays where it is.
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert out.first().similarity == 0
