@@ -41,9 +41,9 @@ def stored(df: DataFrame) -> DataFrame:
 ROWS_OF_A_TASK = 1_000_000
 
 
-def tasks_of(table: DataFrame) -> int:
-    """Tasks for a written table, of about ROWS_OF_A_TASK rows: their number grows with it, not their size."""
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // ROWS_OF_A_TASK + 1)
+def tasks_of(table: DataFrame, rows: int = ROWS_OF_A_TASK) -> int:
+    """Tasks for a written table, of about so many rows: their number grows with it, not their size."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // rows + 1)
 
 
 class Workspace:

@@ -15,6 +15,9 @@ GAMMA_LIMIT = 10.0
 #: Baits whose labels go along an edge in one row.
 BLOCK = 8
 
+#: Pairs with their cells, or cells, that a task of a round takes, with what its neighbours bring.
+PAIRS_OF_A_TASK = 250_000
+
 #: Preys of a term that are paired in one task; larger terms are dealt over several.
 TERM_PREYS = 1000
 
@@ -224,7 +227,7 @@ def _at_once(cells: DataFrame, edges: DataFrame, rounds: int) -> tuple[DataFrame
     beta = gamma = 0.0
     share = lambda found, of: F.size(found) / F.nullif(of, F.lit(0))
     with Workspace(cells.sparkSession) as ws:
-        tasks = tasks_of(cells)
+        tasks = tasks_of(cells, PAIRS_OF_A_TASK)
         edges = ws.deal(edges.select("a", "b"), tasks, "b")
         if (most := tasks_of(edges)) > 4 * tasks:
             tasks, edges = most, ws.deal(edges, most, "b")
